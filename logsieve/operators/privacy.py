@@ -14,18 +14,18 @@ _FLAGS = "(?Umd)"
 def redact(df: DataFrame, policy: PrivacyPolicy = PrivacyPolicy(), text: str = "text") -> DataFrame:
     """Replaces ``text`` and adds ``redaction_counts`` and ``redaction_applied``.
 
-    Each rule sees the output of the rule before, so the whole text has to be given, not lines. One
-    projection per rule keeps every intermediate text from being worked out more than once.
+    Each rule sees the output of the rule before, so the whole text has to be given, not lines. Hits
+    are counted first and only texts that have any are rewritten; one projection per step keeps every
+    intermediate text from being worked out more than once.
     """
     rules = policy.rules
     token = policy.token.replace("\\", "\\\\").replace("$", "\\$")
     out, counts = df, {}
     for position, (label, regex) in enumerate(rules):
         hits = f"_hits_{position}"
-        out = out.withColumns({
-            hits: F.regexp_count(F.col(text), F.lit(_FLAGS + regex)),
-            text: F.regexp_replace(text, _FLAGS + regex, token),
-        })
+        out = out.withColumn(hits, F.regexp_count(F.col(text), F.lit(_FLAGS + regex)))
+        replaced = F.regexp_replace(text, _FLAGS + regex, token)
+        out = out.withColumn(text, F.when(F.col(hits) > 0, replaced).otherwise(F.col(text)))
         counts.setdefault(label, []).append(hits)
     none = F.create_map().cast("map<string,int>")
     if not rules:

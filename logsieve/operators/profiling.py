@@ -38,13 +38,13 @@ def profile_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     lined = texts.withColumn("_lines", split_lines(F.col(text))).withColumn(
         "_lowered", F.transform("_lines", F.lower)
     )
-    counts = {
-        f"{term}_count": F.size(F.filter("_lowered", lambda line, t=term: F.contains(line, F.lit(t))))
-        for term in SIGNAL_TERMS
-    }
+
+    def holding(term: str) -> Column:
+        return F.size(F.filter("_lowered", lambda line: F.contains(line, F.lit(term))))
+
     return lined.withColumns({
         "line_count": F.size("_lines"),
-        **counts,
+        **{f"{term}_count": holding(term) for term in SIGNAL_TERMS},
         "sample_head": F.slice("_lines", 1, SAMPLE_LINES),
         "sample_tail": F.when(
             F.size("_lines") > SAMPLE_LINES, F.slice("_lines", -SAMPLE_LINES, SAMPLE_LINES)

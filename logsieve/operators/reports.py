@@ -31,10 +31,7 @@ def file_parts(
     packed = placed.groupBy("job_id", "part_no").agg(
         F.sort_array(F.collect_list(F.struct("_nth", *columns))).alias("_files")
     )
-    return packed.select(
-        "job_id", "part_no",
-        *[F.transform("_files", lambda x, n=name: x[n]).alias(name) for name in columns],
-    )
+    return packed.select("job_id", "part_no", *[F.col(f"_files.{name}").alias(name) for name in columns])
 
 
 def _with_parts(jobs: DataFrame, parts: DataFrame, files_per_part: int) -> DataFrame:
@@ -111,6 +108,7 @@ def markdown_reports(
     )
     parts = file_parts(summaries, bucket, {"blocks": block}, files_per_part)
     actions = F.array_join(F.transform("recommended_actions", lambda a: F.concat(F.lit("- "), a)), "\n")
+    # Layout of the report.
     opening = _lines(
         _labelled("# RCA Summary – Job ", F.col("job_id")),
         F.lit(""),
@@ -131,6 +129,7 @@ def markdown_reports(
         F.lit("## File Highlights"),
         F.lit(""),
     )
+    # End of fixed values.
     body = F.concat(_only_first(opening), F.array_join("blocks", "\n"))
     trimmed = F.when(F.col("part_no") == F.col("n_parts") - 1, F.regexp_replace(
         body, "(?U)[\\s\\x1c-\\x1f]+$", "")).otherwise(body)
@@ -158,6 +157,7 @@ def html_reports(
     actions = F.array_join(
         F.transform("recommended_actions", lambda a: F.concat(F.lit("<li>"), html_escape(a), F.lit("</li>"))), ""
     )
+    # Layout of the report.
     opening = F.concat(
         F.lit("<article><h1>RCA Summary – Job "), html_escape(F.col("job_id").cast("string")),
         F.lit("</h1><section>"),
@@ -173,6 +173,7 @@ def html_reports(
               "<th>Errors</th><th>Warnings</th><th>Critical</th></tr></thead><tbody>"),
     )
     closing = F.lit("</tbody></table></section></article>")
+    # End of fixed values.
     return _with_parts(jobs, parts, files_per_part).select(
         "job_id", "part_no", "n_parts",
         F.concat(_only_first(opening), F.array_join("rows", ""), _only_last(closing)).alias("html"),
