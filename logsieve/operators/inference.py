@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logsieve.settings import FAILED_SUMMARY
 
@@ -49,8 +50,11 @@ def run_inference(
     A failed call moves on to the next healthy provider, at most ``max_retries`` calls in all. A job
     whose calls all fail keeps its row with ``error`` set and the standing summary.
     """
-    schema = prompts.schema.add("answered_by", "string").add("summary", "string").add(
-        "prompt_tokens", "long").add("completion_tokens", "long").add("error", "string")
+    added = {
+        "answered_by": T.StringType(), "summary": T.StringType(), "prompt_tokens": T.LongType(),
+        "completion_tokens": T.LongType(), "error": T.StringType(),
+    }
+    schema = T.StructType([*prompts.schema.fields, *[T.StructField(n, t) for n, t in added.items()]])
 
     def answer(provider: str, model: str, prompt: str) -> tuple:
         order = ([provider] if provider in healthy else []) + [p for p in healthy if p != provider]
@@ -69,8 +73,7 @@ def run_inference(
         for batch in batches:
             answers = [answer(*row) for row in zip(batch["provider"], batch["model"], batch["prompt"])]
             columns = pd.DataFrame(
-                answers, columns=["answered_by", "summary", "prompt_tokens", "completion_tokens", "error"],
-                index=batch.index,
+                answers, columns=list(added), index=batch.index
             ).astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
             yield pd.concat([batch, columns], axis=1)
 

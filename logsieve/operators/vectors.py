@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logsieve.functions.ordering import top_per_key
 from logsieve.settings import FALLBACK_DIMENSION, MODEL_DIMENSIONS
@@ -58,7 +59,7 @@ def embed(
 ) -> DataFrame:
     """Adds vectors by a replaceable embedder, built once per task and called ``batch_size`` texts at a time."""
     kept = df.drop(into)
-    schema = kept.schema.add(into, "array<float>")
+    schema = T.StructType([*kept.schema.fields, T.StructField(into, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embedder = make_embedder()
@@ -225,7 +226,7 @@ def _nearest_by_blocks(queries, corpus, k, metric, cells, rows_per_block=50_000)
         return df.select(
             key, "embedding",
             F.pmod(F.xxhash64(key), F.lit(own_blocks)).alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).cast("long").alias(other),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_blocks - 1).cast("long"))).alias(other),
         )
 
     left = spread(queries, "query_id", "qb", query_blocks, "cb", corpus_blocks)
@@ -271,7 +272,8 @@ def assign_lists(corpus: DataFrame, centroids: np.ndarray) -> DataFrame:
                     [*batch.columns, pa.array(nearest_list.astype(np.int32))], names=[*batch.schema.names, "list_id"]
                 )
 
-    return corpus.mapInArrow(run, corpus.schema.add("list_id", "int"))
+    schema = T.StructType([*corpus.schema.fields, T.StructField("list_id", T.IntegerType())])
+    return corpus.mapInArrow(run, schema)
 
 
 def nearest_in_lists(

@@ -303,7 +303,7 @@ def log_lifecycle(spark, sf_dir):
 # ---- reports ------------------------------------------------------------------------------------
 
 
-def _report_inputs(spark, sf_dir):
+def report_inputs(spark, sf_dir):
     """Log files as jobs of files: rows for the jobs and for their files."""
     lines = view(spark, sf_dir, "lines")
     born = lines.groupBy("job_id", "file_id").agg(F.min("ts").alias("created_at"))
@@ -327,8 +327,8 @@ def _report_inputs(spark, sf_dir):
     return jobs.withColumn("categories", rollup.categories(F.col("mode"))), made
 
 
-_PER_PART = 5
-_REPORT = f"""
+PER_PART = 5
+REPORT_SQL = f"""
     , w AS (SELECT file_id, line_no, unnest(words) AS word, generate_subscripts(words, 1) AS place
             FROM (SELECT file_id, line_no, regexp_extract_all(lower(line), '[a-z]{{4,}}') AS words FROM lines)),
       c AS (SELECT file_id, word, count(*) AS n, min((line_no, place)) AS first_place FROM w GROUP BY file_id, word),
@@ -343,14 +343,14 @@ _REPORT = f"""
       m AS (SELECT job_id, count(*) AS files, sum(line_count) AS lines, sum(error_count) AS errors,
                    sum(warning_count) AS warnings, sum(critical_count) AS critical FROM s GROUP BY job_id),
       j AS (SELECT m.*, tags, {_SEVERITY} AS severity FROM m JOIN tags USING (job_id)),
-      parts AS (SELECT job_id, CAST(nth // {_PER_PART} AS INT) AS part_no, list(BLOCK ORDER BY nth) AS blocks
-                FROM s GROUP BY job_id, nth // {_PER_PART}),
-      p AS (SELECT *, CAST(ceil(files / {_PER_PART}) AS INT) AS n_parts FROM parts JOIN j USING (job_id))"""
+      parts AS (SELECT job_id, CAST(nth // {PER_PART} AS INT) AS part_no, list(BLOCK ORDER BY nth) AS blocks
+                FROM s GROUP BY job_id, nth // {PER_PART}),
+      p AS (SELECT *, CAST(ceil(files / {PER_PART}) AS INT) AS n_parts FROM parts JOIN j USING (job_id))"""
 _TITLED = "upper(severity[1]) || severity[2:]"
 
 
 def _report_sql(block: str, body: str) -> str:
-    return with_views("lines", _REPORT.replace("BLOCK", block) + body)
+    return with_views("lines", REPORT_SQL.replace("BLOCK", block) + body)
 
 
 @query("log_prompt", "O-LOG-14", _report_sql(
@@ -361,8 +361,8 @@ def _report_sql(block: str, body: str) -> str:
            || chr(10) ELSE '' END || array_to_string(blocks, chr(10)) || CASE WHEN part_no = n_parts - 1 THEN chr(10) || chr(10)
            || 'Focus on likely causes, impacted areas, and actionable remediation steps.' ELSE '' END AS prompt FROM p"""))
 def log_prompt(spark, sf_dir):
-    jobs, made = _report_inputs(spark, sf_dir)
-    return reports.prompts(jobs, made, time_bucket("created_at"), _PER_PART)
+    jobs, made = report_inputs(spark, sf_dir)
+    return reports.prompts(jobs, made, time_bucket("created_at"), PER_PART)
 
 
 @query("report_markdown", "O-LOG-15", _report_sql(
@@ -379,8 +379,8 @@ def log_prompt(spark, sf_dir):
           '## Recommended Actions', '- Check the <error> handler', '- Watch ''signup'' warnings', '', '## File Highlights', '')
           ELSE '' END || array_to_string(blocks, chr(10)) AS t FROM p)"""))
 def report_markdown(spark, sf_dir):
-    jobs, made = _report_inputs(spark, sf_dir)
-    return reports.markdown_reports(jobs, made, time_bucket("created_at"), _PER_PART)
+    jobs, made = report_inputs(spark, sf_dir)
+    return reports.markdown_reports(jobs, made, time_bucket("created_at"), PER_PART)
 
 
 @query("report_html", "O-LOG-16", _report_sql(
@@ -398,8 +398,8 @@ def report_markdown(spark, sf_dir):
           || '<th>Critical</th></tr></thead><tbody>' ELSE '' END || array_to_string(blocks, '')
           || CASE WHEN part_no = n_parts - 1 THEN '</tbody></table></section></article>' ELSE '' END AS html FROM p"""))
 def report_html(spark, sf_dir):
-    jobs, made = _report_inputs(spark, sf_dir)
-    return reports.html_reports(jobs, made, time_bucket("created_at"), _PER_PART)
+    jobs, made = report_inputs(spark, sf_dir)
+    return reports.html_reports(jobs, made, time_bucket("created_at"), PER_PART)
 
 
 @query("report_json", "O-LOG-17", _report_sql(
@@ -409,8 +409,8 @@ def report_html(spark, sf_dir):
               '2024-02-01T00:00:00+00:00' AS generated_at FROM p"""))
 def report_json(spark, sf_dir):
     """The bundle, read back field by field."""
-    jobs, made = _report_inputs(spark, sf_dir)
-    bundles = reports.json_bundles(jobs, made, time_bucket("created_at"), "2024-02-01T00:00:00+00:00", _PER_PART)
+    jobs, made = report_inputs(spark, sf_dir)
+    bundles = reports.json_bundles(jobs, made, time_bucket("created_at"), "2024-02-01T00:00:00+00:00", PER_PART)
     read = F.from_json(
         "json",
         "severity string, generated_at string, tags array<string>, metrics struct<errors: long>, "
