@@ -89,12 +89,12 @@ def latency_by_endpoint(requests: DataFrame, accuracy: int = 10_000) -> DataFram
 
 
 def step_counts(events: DataFrame, ts: str, flags: dict[str, Column], step: int = STEP_SECONDS) -> DataFrame:
-    """Events per evaluation step: ``at`` is the end of the step in epoch seconds.
+    """Events per evaluation step: ``tick`` is the end of the step in epoch seconds.
 
     Everything after this works on one row per step, whatever the number of events.
     """
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
-    return events.groupBy(((F.floor(seconds / step) + 1) * step).alias("at")).agg(
+    return events.groupBy(((F.floor(seconds / step) + 1) * step).alias("tick")).agg(
         *[F.count_if(flag).alias(name) for name, flag in flags.items()]
     )
 
@@ -104,9 +104,9 @@ def evaluation_grid(steps: DataFrame, columns: list[str], window: int, hold: int
 
     Without the empty ones, an evaluation nobody made would look like a condition that held.
     """
-    ends = steps.agg(F.min("at").alias("_from"), (F.max("at") + window + hold).alias("_to"))
-    grid = ends.select(F.explode(F.sequence("_from", "_to", F.lit(step).cast("long"))).alias("at"))
-    return grid.join(steps, "at", "left").na.fill(0, columns)
+    ends = steps.agg(F.min("tick").alias("_from"), (F.max("tick") + window + hold).alias("_to"))
+    grid = ends.select(F.explode(F.sequence("_from", "_to", F.lit(step).cast("long"))).alias("tick"))
+    return grid.join(steps, "tick", "left").na.fill(0, columns)
 
 
 def rolling(grid: DataFrame, columns: list[str], window: int) -> DataFrame:
@@ -115,12 +115,12 @@ def rolling(grid: DataFrame, columns: list[str], window: int) -> DataFrame:
     Each evaluation belongs to its own day; the tail of the day before is copied over for the sums,
     so no task holds more than two days of steps.
     """
-    day = F.floor(F.col("at") / 86400)
+    day = F.floor(F.col("tick") / 86400)
     own = grid.withColumn("_day", day).withColumn("_own", F.lit(True))
-    tail = grid.where(F.col("at") % 86400 >= 86400 - window).withColumn("_day", day + 1).withColumn(
+    tail = grid.where(F.col("tick") % 86400 >= 86400 - window).withColumn("_day", day + 1).withColumn(
         "_own", F.lit(False)
     )
-    span = Window.partitionBy("_day").orderBy("at").rangeBetween(-window + 1, 0)
+    span = Window.partitionBy("_day").orderBy("tick").rangeBetween(-window + 1, 0)
     summed = own.unionByName(tail).withColumns({c: F.sum(c).over(span) for c in columns})
     return summed.where("_own").drop("_own", "_day")
 
@@ -130,21 +130,21 @@ def held(evaluations: DataFrame, condition: Column, hold: int, step: int = STEP_
 
     Works on the last evaluation that failed, found by day and carried over between days.
     """
-    day = F.floor(F.col("at") / 86400)
+    day = F.floor(F.col("tick") / 86400)
     judged = evaluations.withColumn("_ok", F.coalesce(condition, F.lit(False))).withColumn("_day", day)
-    failed_at = F.when(~F.col("_ok"), F.col("at"))
-    by_day = judged.groupBy("_day").agg(F.max(failed_at).alias("_failed"), F.min("at").alias("_opens"))
+    failed_at = F.when(~F.col("_ok"), F.col("tick"))
+    by_day = judged.groupBy("_day").agg(F.max(failed_at).alias("_failed"), F.min("tick").alias("_opens"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     carried = by_day.select(
         "_day", F.max("_failed").over(earlier).alias("_before"),
         F.min("_opens").over(Window.partitionBy(F.lit(0))).alias("_first"),
     )
-    inside = Window.partitionBy("_day").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_day").orderBy("tick").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last_failed = F.coalesce(F.max(failed_at).over(inside), F.col("_before"), F.col("_first") - step)
     return (
         judged.join(carried, "_day")
         .withColumn("pending_since", F.when(F.col("_ok"), last_failed + step))
-        .withColumn("firing", F.col("_ok") & (F.col("at") - F.col("pending_since") >= hold))
+        .withColumn("firing", F.col("_ok") & (F.col("tick") - F.col("pending_since") >= hold))
         .drop("_ok", "_day", "_before", "_first")
     )
 
@@ -183,8 +183,8 @@ def latency_alert(
         F.struct(F.lit(float(b)).alias("bound"), F.col(n).alias("bucket"))
         for n, b in zip(names, [*bounds, float("inf")])
     ])
-    buckets = summed.select("at", F.inline(rows))
-    return held(quantile_from_buckets(buckets, ["at"], q), F.col("quantile") > threshold, hold)
+    buckets = summed.select("tick", F.inline(rows))
+    return held(quantile_from_buckets(buckets, ["tick"], q), F.col("quantile") > threshold, hold)
 
 
 def gauge_alerts(samples: DataFrame) -> DataFrame:
