@@ -55,72 +55,66 @@ def _walk(span: int):
     return run
 
 
-def _combine(span: int, level: int):
-    """Entries of a node from its two halves: request time to end of the window it leads out with."""
+def _raise(below: DataFrame, span: int, level: int) -> DataFrame:
+    """Entries of the nodes of ``level``: request time to the end of the window it leads out with.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = int(pdf["node"].iloc[0]) << level
-        middle = (start + (1 << (level - 1))) * span
-        left = pdf[pdf["t"] < middle].sort_values("t")
-        right = pdf[pdf["t"] >= middle].sort_values("t")
-        if len(right):
-            exits = left["exit"].to_numpy()
-            at = np.searchsorted(right["t"].to_numpy(), exits)
-            inside = at < len(right)
-            exits = np.where(inside, right["exit"].to_numpy()[np.minimum(at, len(right) - 1)], exits)
-            left = pd.concat([left.assign(exit=exits), right.head(1)])
-        later = left[left["t"] >= (start + 1) * span]
-        return pd.concat([left[left["t"] < (start + 1) * span], later.head(1)])[["key", "node", "t", "exit"]]
-
-    return run
-
-
-def _hand_down(span: int, level: int):
-    """Entry ends of both halves of a node from the entry end of the node."""
+    A window that leaves the left half goes on at the first entry of the right half that is not
+    before its end; where there is none it leaves the node as it is. Of the entries past the first
+    bucket only the earliest can still be looked up from outside.
+    """
+    node = F.floor(F.col("node") / 2)
+    left = F.col("node") % 2 == 0
+    asked = below.withColumns({"_left": left, "_at": F.when(left, F.col("exit")).otherwise(F.col("t")), "node": node})
+    not_before = (
+        Window.partitionBy("key", "node").orderBy(F.desc("_at"), F.asc("_left"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    onward = F.last(F.when(~F.col("_left"), F.col("exit")), ignorenulls=True).over(not_before)
+    first_end = (F.shiftleft("node", level) + 1) * span
+    earliest = F.row_number().over(Window.partitionBy("key", "node", "_later").orderBy("t"))
+    return (
+        asked.withColumn("exit", F.when(F.col("_left"), F.coalesce(onward, "exit")).otherwise(F.col("exit")))
+        .withColumn("_later", F.col("t") >= first_end)
+        .withColumn("_nth", earliest)
+        .where(~F.col("_later") | (F.col("_nth") == 1))
+        .select("key", "node", "t", "exit")
+    )
 
-    def run(states: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        if not len(states):
-            return pd.DataFrame({"key": [], "node": [], "entered": []})
-        entered, node = int(states["entered"].iloc[0]), int(states["node"].iloc[0])
-        middle = ((node << level) + (1 << (level - 1))) * span
-        left = entries[entries["t"] < middle].sort_values("t")
-        at = np.searchsorted(left["t"].to_numpy(), entered)
-        passed = int(left["exit"].iloc[at]) if at < len(left) else entered
-        key = states["key"].iloc[0]
-        return pd.DataFrame({"key": [key, key], "node": [2 * node, 2 * node + 1], "entered": [entered, passed]})
 
-    return run
+def _hand_down(states: DataFrame, below: DataFrame) -> DataFrame:
+    """Ends of the windows in force on entering both halves of each node."""
+    entries = below.where(F.col("node") % 2 == 0).select("key", F.floor(F.col("node") / 2).alias("node"), "t", "exit")
+    reached = F.col("t") >= F.col("entered")
+    right = (
+        states.join(entries, ["key", "node"], "left")
+        .groupBy("key", "node", "entered")
+        .agg(F.min_by(F.when(reached, F.col("exit")), F.when(reached, F.col("t"))).alias("_exit"))
+        .select("key", (F.col("node") * 2 + 1).alias("node"), F.coalesce("_exit", "entered").alias("entered"))
+    )
+    halves = states.select("key", (F.col("node") * 2).alias("node"), "entered").unionByName(right)
+    return halves.join(below.select("key", "node").distinct(), ["key", "node"], "left_semi")
 
 
 def _walk_as_tree(busy: DataFrame, span: int) -> DataFrame:
     """The same as walking each client whole, in groups of at most two buckets. ``busy``: ``key, t``."""
     bounds = busy.agg(F.min("t"), F.max("t")).first()
     origin = bounds[0] // span
-    levels = max(1, math.ceil(math.log2(bounds[1] // span - origin + 2)))
+    levels = max(1, math.ceil(math.log2(bounds[1] // span - origin + 1)))
     shift = origin * span
     times = busy.select("key", (F.col("t") - shift).alias("t")).distinct()
     floors = [materialise(
         times.select("key", F.floor(F.col("t") / span).alias("node"), "t", (F.col("t") + span).alias("exit")), "limits"
     )]
     for level in range(1, levels + 1):
-        raised = floors[-1].withColumn("node", F.floor(F.col("node") / 2))
-        floors.append(materialise(
-            raised.groupBy("key", "node").applyInPandas(_combine(span, level), floors[0].schema), "limits"
-        ))
-    states = times.select("key").distinct().select(
-        "key", F.lit(0).cast("long").alias("node"), F.lit(-(1 << 62)).cast("long").alias("entered")
-    )
+        floors.append(materialise(_raise(floors[-1], span, level), "limits"))
+    before_all = -(1 << 62)
+    states = floors[levels].select("key", "node").distinct().withColumn("entered", F.lit(before_all).cast("long"))
     for level in range(levels, 0, -1):
-        below = floors[level - 1]
-        halves = below.withColumn("node", F.floor(F.col("node") / 2))
-        handed = states.groupBy("key", "node").cogroup(halves.groupBy("key", "node")).applyInPandas(
-            _hand_down(span, level), states.schema
-        )
-        # nodes without requests below them pass nothing on
-        states = materialise(handed.join(below.select("key", "node").distinct(), ["key", "node"], "left_semi"), "limits")
+        states = materialise(_hand_down(states, floors[level - 1]), "limits")
+    opened = F.col("entered") > before_all
     return states.select(
         "key", (F.col("node") + origin).alias("bucket"),
-        F.when(F.col("entered") > -(1 << 61), F.col("entered") + shift).otherwise(F.col("entered")).alias("entered"),
+        F.when(opened, F.col("entered") + shift).otherwise(F.col("entered")).alias("entered"),
     )
 
 

@@ -159,7 +159,7 @@ def limit_requests(spark, sf_dir):
     SELECT event_id, client, window_start, n AS window_count, n <= {_MAIN.limit} AS allowed FROM main""", recursive=True))
 def limit_busy_clients(spark, sf_dir):
     """The same windows found by the walk over a tree, as for clients with very many requests."""
-    seen = limits.fixed_window(view(spark, sf_dir, "requests"), ["client"], "ts", "event_id", _MAIN, busy_rows=250)
+    seen = limits.fixed_window(view(spark, sf_dir, "requests"), ["client"], "ts", "event_id", _MAIN, busy_rows=100)
     return seen.select("event_id", "client", "window_start", "window_count", "allowed")
 
 
