@@ -30,6 +30,26 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
 
 
+def java_regex(pattern: str) -> str:
+    """A Python regex for Java: white space there lacks the four separator characters.
+
+    To be used with the flags ``(?Umd)``: Unicode classes, ``^`` and ``$`` at lines, only ``\\n``
+    ending one.
+    """
+    out, in_class, i = "", False, 0
+    while i < len(pattern):
+        step = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        if step == "\\s":
+            out += "\\s\\x1c-\\x1f" if in_class else "[\\s\\x1c-\\x1f]"
+        elif step == "\\S":
+            out += "[^\\s\\x1c-\\x1f]"
+        else:
+            out += step
+            in_class = step == "[" or (in_class and step != "]")
+        i += len(step)
+    return out
+
+
 def title_case(text: Column) -> Column:
     return F.initcap(text)
 

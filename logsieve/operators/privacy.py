@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsieve.functions.text import java_regex
 from logsieve.settings import PrivacyPolicy
 
-# Unicode classes, ^ and $ at each line, only \n ending a line.
 _FLAGS = "(?Umd)"
 
 
@@ -22,9 +22,9 @@ def redact(df: DataFrame, policy: PrivacyPolicy = PrivacyPolicy(), text: str = "
     token = policy.token.replace("\\", "\\\\").replace("$", "\\$")
     out, counts = df, {}
     for position, (label, regex) in enumerate(rules):
-        hits = f"_hits_{position}"
-        out = out.withColumn(hits, F.regexp_count(F.col(text), F.lit(_FLAGS + regex)))
-        replaced = F.regexp_replace(text, _FLAGS + regex, token)
+        hits, rule = f"_hits_{position}", _FLAGS + java_regex(regex)
+        out = out.withColumn(hits, F.regexp_count(F.col(text), F.lit(rule)))
+        replaced = F.regexp_replace(text, rule, token)
         out = out.withColumn(text, F.when(F.col(hits) > 0, replaced).otherwise(F.col(text)))
         counts.setdefault(label, []).append(hits)
     none = F.create_map().cast("map<string,int>")

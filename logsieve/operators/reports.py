@@ -28,8 +28,9 @@ def file_parts(
         summaries.select("job_id", "created_at", "file_id", *[c.alias(n) for n, c in columns.items()]),
         ["job_id"], ["created_at", "file_id"], bucket, "_nth",
     ).withColumn("part_no", F.floor((F.col("_nth") - 1) / files_per_part).cast("int"))
+    in_place = F.collect_list(F.struct("_nth", *columns))
     packed = placed.groupBy("job_id", "part_no").agg(
-        F.sort_array(F.collect_list(F.struct("_nth", *columns))).alias("_files")
+        F.array_sort(in_place, lambda a, b: (a["_nth"] - b["_nth"]).cast("int")).alias("_files")
     )
     return packed.select("job_id", "part_no", *[F.col(f"_files.{name}").alias(name) for name in columns])
 

@@ -13,6 +13,8 @@ from logsieve.functions.ordering import numbered
 from logsieve.functions.text import any_glob, base_name, extension
 from logsieve.settings import PRINTABLE_SHARE, SCAN_BYTES, FilePolicy, WatchConfig
 
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
 
 def discover(spark: SparkSession, config: WatchConfig) -> DataFrame:
     """Files below the watched roots that match an include glob and no exclude glob."""
@@ -23,7 +25,7 @@ def discover(spark: SparkSession, config: WatchConfig) -> DataFrame:
 def discover_stream(spark: SparkSession, config: WatchConfig, files_per_trigger: int = 1000) -> DataFrame:
     """The same as an endless source; each root is watched by its own file stream."""
     streams = [
-        spark.readStream.format("binaryFile")
+        spark.readStream.format("binaryFile").schema(BINARY_FILE)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(root)

@@ -61,14 +61,15 @@ def batch_windows_stream(files: DataFrame, ts: str, seconds: int = 5, watermark:
     return windowed_counts(files, ts, [], f"{seconds} seconds", None, watermark)
 
 
-def limit_stream(requests: DataFrame, client: str, ts: str, order: str, limit: RateLimit) -> DataFrame:
+def limit_stream(
+    requests: DataFrame, client: str, ts: str, order: str, limit: RateLimit, watermark: str = "1 minute"
+) -> DataFrame:
     """Request-anchored windows with the window's end and count as state per client.
 
-    Requests are taken in the order they arrive, by time within a micro-batch. State of a client is
-    dropped after an hour without requests or one window, whichever is longer.
+    Requests are taken in the order they arrive, by time within a micro-batch. A client's state is
+    dropped once the watermark passes the end of its window: whatever comes then opens a new one.
     """
     span = limit.seconds * 1_000_000
-    keep_ms = max(3_600_000, limit.seconds * 1000)
     columns = f"{client} string, {order} long, at long, window_start long, window_count long, allowed boolean"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -85,15 +86,17 @@ def limit_stream(requests: DataFrame, client: str, ts: str, order: str, limit: R
             starts.append(end - span)
             counts.append(count)
         state.update((int(end), int(count)))
-        state.setTimeoutDuration(keep_ms)
+        state.setTimeoutTimestamp(int(max(end // 1000, state.getCurrentWatermarkMs()) + 1))
         yield rows.assign(
             window_start=starts, window_count=counts, allowed=[c <= limit.limit for c in counts]
         )[[client, order, "at", "window_start", "window_count", "allowed"]]
 
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    slim = requests.select(F.col(client).cast("string").alias(client), F.col(order).cast("long").alias(order), at.alias("at"))
+    slim = requests.withWatermark(ts, watermark).select(
+        ts, F.col(client).cast("string").alias(client), F.col(order).cast("long").alias(order),
+        F.unix_micros(F.col(ts)).alias("at"),
+    )
     return slim.groupBy(client).applyInPandasWithState(
-        run, columns, "end long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, columns, "end long, count long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
