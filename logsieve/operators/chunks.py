@@ -31,8 +31,8 @@ def chunk_rows(files: DataFrame, max_chars: int = CHUNK_CHARS) -> DataFrame:
     redacted = F.col("redaction_applied") if "redaction_applied" in files.columns else F.lit(False)
     return files.select(
         "job_id", "file_id", "filename", redacted.alias("_redacted"),
-        F.posexplode(chunk_texts(F.col("text"), max_chars)).alias("chunk_index", "content"),
-    ).select(
+        F.posexplode_outer(chunk_texts(F.col("text"), max_chars)).alias("chunk_index", "content"),
+    ).where("chunk_index IS NOT NULL").select(
         "job_id", "file_id", "chunk_index", "content",
         F.lit("text/plain").alias("content_type"),
         F.length("content").alias("chunk_size"),

@@ -24,8 +24,10 @@ def add_lines(texts: DataFrame, text: str = "text") -> DataFrame:
 def to_lines(texts: DataFrame, text: str = "text") -> DataFrame:
     """One row per line, numbered from 1."""
     kept = [c for c in texts.columns if c != text]
-    return texts.select(*kept, F.posexplode(split_lines(F.col(text))).alias("_at", "line")).select(
-        *kept, (F.col("_at") + 1).alias("line_no"), "line"
+    return (
+        texts.select(*kept, F.posexplode_outer(split_lines(F.col(text))).alias("_at", "line"))
+        .where("_at IS NOT NULL")
+        .select(*kept, (F.col("_at") + 1).alias("line_no"), "line")
     )
 
 
@@ -85,13 +87,16 @@ def line_samples(lines: DataFrame, keys: list[str]) -> DataFrame:
 def words_of_texts(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Every keyword with its place; line breaks are no letters, so the text needs no splitting."""
     found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({_WORD})"), 1)
-    return texts.select(*keys, F.posexplode(found).alias("place", "word"))
+    # outer, as a plain explode would search the text a second time to filter its input
+    return texts.select(*keys, F.posexplode_outer(found).alias("place", "word")).where("word IS NOT NULL")
 
 
 def words_of_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     found = F.regexp_extract_all(F.lower("line"), F.lit(f"({_WORD})"), 1)
-    return lines.select(*keys, "line_no", F.posexplode(found).alias("_at", "word")).select(
-        *keys, F.struct("line_no", "_at").alias("place"), "word"
+    return (
+        lines.select(*keys, "line_no", F.posexplode_outer(found).alias("_at", "word"))
+        .where("word IS NOT NULL")
+        .select(*keys, F.struct("line_no", "_at").alias("place"), "word")
     )
 
 

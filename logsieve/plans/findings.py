@@ -9,6 +9,7 @@ from logsieve.operators import chunks, privacy, profiling, reports, rollup
 from logsieve.plans.ingest import HITS, REDACTED
 from logsieve.plans.registry import query
 from logsieve.plans.views import table, view, with_views
+from logsieve.session import materialise
 
 _BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{0085}\\x{2028}\\x{2029}]"
 
@@ -137,8 +138,11 @@ def log_line_samples(spark, sf_dir):
 
 
 def _summaries(spark, sf_dir):
-    """File summaries of the documents: redacted, profiled, chunks counted."""
-    done = privacy.redact(view(spark, sf_dir, "files").drop("lang"))
+    """File summaries of the documents: redacted, profiled, chunks counted.
+
+    The redacted text is written once, as profile and keywords both read it.
+    """
+    done = materialise(privacy.redact(view(spark, sf_dir, "files").drop("lang")), "redacted")
     sized = done.withColumns({
         "file_size": F.octet_length("text"),
         "chunk_count": F.size(chunks.chunk_texts(F.col("text"))),

@@ -201,7 +201,7 @@ def pii_redact(spark, sf_dir):
     SELECT file_id, label, hits FROM ({HIT_ROWS})"""))
 def pii_hits(spark, sf_dir):
     done = privacy.redact(view(spark, sf_dir, "files"))
-    return done.select("file_id", F.explode("redaction_counts").alias("label", "hits"))
+    return privacy.redaction_hits(done, ["file_id"])
 
 
 @query("pii_switched_off", "O-PII-04", with_views("files", """

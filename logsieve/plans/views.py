@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logsieve.session import spread
+
 VIEWS = {
     # one line of a log per event
     "lines": """
@@ -118,6 +120,8 @@ VIEWS = {
         FROM (@@lines) AS l GROUP BY file_id, DAYDATE(ts)""",
 }
 
+_TEXTS = {"files", "uploads", "paths", "turns"}  # heavy work per row
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -144,7 +148,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = _expand(name, {**_SPARK, "TIMESTAMP '": "TIMESTAMP_NTZ '"})
     for table_name in TABLES:
         text = text.replace(f"@{table_name}", f"parquet.`{sf_dir.rstrip('/')}/{table_name}.parquet`")
-    return spark.sql(text)
+    rows = spark.sql(text)
+    return spread(rows) if name in _TEXTS else rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

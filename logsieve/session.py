@@ -47,6 +47,15 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when its scan gives fewer partitions than there are (one big row group).
+
+    Large inputs have more splits than the cluster has cores and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back: cuts lineage and survives executor loss."""
     path = scratch_dir(df.sparkSession, purpose)
