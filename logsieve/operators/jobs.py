@@ -143,13 +143,17 @@ def jobs_with_children(jobs: DataFrame, children: dict[str, DataFrame]) -> DataF
 
     ``children`` maps a kind to ``job_id, child_id, child``. A job may have any number of children, so
     they stay rows; the kinds are stacked before the one join, which keeps them from multiplying each
-    other. A job without children has one row with nulls.
+    other. The join is an inner one with the children on its left, so adaptive execution can split a
+    job that owns most of them; jobs without children are added after, with one row of nulls each.
     """
     stacked = None
     for kind, rows in children.items():
         tagged = rows.select("job_id", F.lit(kind).alias("child_kind"), "child_id", "child")
         stacked = tagged if stacked is None else stacked.unionByName(tagged)
-    return jobs.join(stacked, "job_id", "left")
+    owned = stacked.join(jobs, "job_id")
+    childless = jobs.join(stacked.select("job_id").distinct(), "job_id", "left_anti")
+    shown = [*jobs.columns, "child_kind", "child_id", "child"]
+    return owned.select(shown).unionByName(childless, allowMissingColumns=True).select(shown)
 
 
 def child_counts(jobs: DataFrame, children: dict[str, DataFrame]) -> DataFrame:

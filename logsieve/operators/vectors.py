@@ -217,14 +217,18 @@ def nearest(
     return _finish(corpus.select("vec_id", "embedding").mapInArrow(run, _PAIRS), k, metric)
 
 
-def _nearest_by_blocks(queries, corpus, k, metric, cells, rows_per_block=50_000):
+def _nearest_by_blocks(queries, corpus, k, metric, cells, within=(), rows_per_block=50_000):
+    """Candidates from every pair of a query block and a corpus block that agree on ``within``.
+
+    Both sides meet in groups of bounded size; a block pair gives ``k`` rows per query, never its pairs.
+    """
     width = queries.select(F.size("embedding").alias("d")).first().d
     query_blocks = math.ceil(queries.count() * width / cells)
     corpus_blocks = max(1, math.ceil(corpus.count() / rows_per_block))
 
     def spread(df, key, own, own_blocks, other, other_blocks):
         return df.select(
-            key, "embedding",
+            key, "embedding", *within,
             F.pmod(F.xxhash64(key), F.lit(own_blocks)).alias(own),
             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_blocks - 1).cast("long"))).alias(other),
         )
@@ -240,7 +244,8 @@ def _nearest_by_blocks(queries, corpus, k, metric, cells, rows_per_block=50_000)
                 leaders.offer(query, ids, _scores(vector[None, :], _matrix(stored.column("embedding")), metric)[0])
         return pa.Table.from_batches([leaders.table(asked.column("query_id").to_pylist(), pa.int64())])
 
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(run, _PAIRS)
+    keys = [*within, "qb", "cb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _PAIRS)
 
 
 # ---- inverted lists -------------------------------------------------------------------------
@@ -276,6 +281,25 @@ def assign_lists(corpus: DataFrame, centroids: np.ndarray) -> DataFrame:
     return corpus.mapInArrow(run, schema)
 
 
+def _probes(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
+    """One row per query and list it looks into, worked out where the queries are."""
+    shared = queries.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                scores = _scores(_matrix(batch.column("embedding")), shared.value, "l2")
+                lists = np.argsort(-scores, axis=1, kind="stable")[:, :nprobe]
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), lists.shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.take(rows) for c in batch.columns], pa.array(lists.ravel().astype(np.int32))],
+                    names=[*batch.schema.names, "list_id"],
+                )
+
+    slim = queries.select("query_id", "embedding")
+    return slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("list_id", T.IntegerType())]))
+
+
 def nearest_in_lists(
     queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int, nprobe: int = 10,
     metric: str = "l2", broadcast_cells: int = MAX_BROADCAST_CELLS,
@@ -287,7 +311,8 @@ def nearest_in_lists(
     """
     held = _bounded_queries(queries, broadcast_cells)
     if held is None:
-        raise ValueError("search in batches: the query set exceeds the broadcast bound, or use nearest()")
+        probes = _probes(queries, centroids, nprobe)
+        return _finish(_nearest_by_blocks(probes, indexed, k, metric, broadcast_cells, ["list_id"]), k, metric)
     query_ids, matrix = held
     order = np.argsort(-_scores(matrix, centroids, "l2"), axis=1, kind="stable")[:, :nprobe]
     probing = {int(c): np.flatnonzero((order == c).any(1)) for c in np.unique(order)}

@@ -25,7 +25,7 @@ def drop_duplicate_files(files: DataFrame, ts: str = "created_at", watermark: st
 def debounce_stream(events: DataFrame, quiet_seconds: int = 5, watermark: str = "10 seconds") -> DataFrame:
     """Sessions of file events that close after ``quiet_seconds``; only those with a create are ready.
 
-    Follow with ``drop_repeated_paths`` to let each path through once.
+    All built-in, and a path that is created again later is ready again; ``debounce_once`` is exact.
     """
     sessions = events.withWatermark("ts", watermark).groupBy(
         F.session_window("ts", f"{quiet_seconds} seconds"), "path"
@@ -38,6 +38,130 @@ def debounce_stream(events: DataFrame, quiet_seconds: int = 5, watermark: str =
     )
 
 
+def debounce_once(events: DataFrame, quiet_seconds: int = 5, watermark: str = "10 seconds") -> DataFrame:
+    """Each path once, when untouched for ``quiet_seconds`` after it was created.
+
+    The state of a path that is done is one flag and is kept, as a path must never come again.
+    """
+    quiet = quiet_seconds * 1_000_000
+    columns = "path string, created_us long, ready_us long, touches long"
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        created, last, touches, done = state.get if state.exists else (-1, -1, 0, False)
+        if done:
+            return
+        ready = False
+        if state.hasTimedOut:
+            ready = True
+        else:
+            for kind, at in pd.concat(list(batches)).sort_values("at")[["kind", "at"]].itertuples(index=False):
+                if created < 0 and kind != "created":
+                    continue
+                if created >= 0 and at - last >= quiet:
+                    ready = True
+                    break
+                created, last, touches = (int(at) if created < 0 else created), int(at), touches + 1
+        if ready:
+            state.update((created, last, touches, True))
+            yield pd.DataFrame({
+                "path": [key[0]], "created_us": [created], "ready_us": [last + quiet], "touches": [touches]
+            })
+        elif created >= 0:
+            state.update((created, last, touches, False))
+            state.setTimeoutTimestamp(int(max((last + quiet) // 1000, state.getCurrentWatermarkMs()) + 1))
+
+    slim = events.withWatermark("ts", watermark).select("ts", "path", "kind", F.unix_micros("ts").alias("at"))
+    made = slim.groupBy("path").applyInPandasWithState(
+        run, columns, "created long, last long, touches long, done boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return made.select(
+        "path", F.timestamp_micros("created_us").alias("created_at"), F.timestamp_micros("ready_us").alias("ready_at"),
+        "touches",
+    )
+
+
+def job_state_stream(transitions: DataFrame) -> DataFrame:
+    """Current state of a job after every micro-batch that touched it; cancellations of ended jobs are ignored.
+
+    ``transitions``: ``job_id, status, ts, seq``. A job's state is four values; use update mode.
+    """
+    columns = "job_id string, status string, started_us long, completed_us long, retry_count long"
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, started, completed, failures = state.get if state.exists else ("", -1, -1, 0)
+        for new, at in pd.concat(list(batches)).sort_values(["at", "seq"])[["status", "at"]].itertuples(index=False):
+            if new == "cancelled" and status in TERMINAL_STATUSES:
+                continue
+            status, failures = new, failures + (new == "failed")
+            if new == "running" and started < 0:
+                started = int(at)
+            if new in TERMINAL_STATUSES and completed < 0:
+                completed = int(at)
+        state.update((status, started, completed, int(failures)))
+        row = {"job_id": key[0], "status": status, "started_us": started, "completed_us": completed, "retry_count": failures}
+        yield pd.DataFrame([row])
+
+    slim = transitions.select(
+        F.col("job_id").cast("string").alias("job_id"), "status", "seq",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+    )
+    made = slim.groupBy("job_id").applyInPandasWithState(
+        run, columns, "status string, started long, completed long, failures long", "update", GroupStateTimeout.NoTimeout
+    )
+    return made.select(
+        "job_id", "status",
+        *[F.when(F.col(f"{c}_us") >= 0, F.timestamp_micros(f"{c}_us")).alias(f"{c}_at") for c in ("started", "completed")],
+        "retry_count",
+    )
+
+
+def append_turns_stream(turns: DataFrame, order: str) -> DataFrame:
+    """Turns numbered on per job in the order they arrive; the state is the last sequence of the job."""
+    columns = "job_id string, turn_id long, role string, sequence long"
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else 0
+        rows = pd.concat(list(batches)).sort_values("turn_id")
+        state.update((last + len(rows),))
+        yield rows.assign(sequence=range(last + 1, last + 1 + len(rows)))[["job_id", "turn_id", "role", "sequence"]]
+
+    slim = turns.select(
+        F.col("job_id").cast("string").alias("job_id"), F.col(order).cast("long").alias("turn_id"), "role"
+    )
+    return slim.groupBy("job_id").applyInPandasWithState(
+        run, columns, "last long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def heartbeat_stream(events: DataFrame, idle: str = "15 seconds") -> DataFrame:
+    """A heartbeat per job and idle stretch, by the clock of the cluster.
+
+    The state of a job only says it is open; it ends with the event that ends the job. Runs for as
+    long as the query does, so start it with a processing-time trigger.
+    """
+    columns = "job_id string, kind string"
+    seconds = pd.Timedelta(idle).total_seconds()
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.update((True,))
+            state.setTimeoutDuration(int(seconds * 1000))
+            yield pd.DataFrame({"job_id": [key[0]], "kind": ["heartbeat"]})
+            return
+        if any(batch["event_type"].isin(TERMINAL_STATUSES).any() for batch in batches):
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"job_id": [key[0]], "kind": ["complete"]})
+            return
+        state.update((True,))
+        state.setTimeoutDuration(int(seconds * 1000))
+
+    slim = events.select(F.col("job_id").cast("string").alias("job_id"), "event_type")
+    return slim.groupBy("job_id").applyInPandasWithState(
+        run, columns, "open boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
 def windowed_counts(
     events: DataFrame, ts: str, labels: list[str], width: str = "5 minutes", slide: str | None = None,
     watermark: str = "10 minutes",

@@ -11,7 +11,7 @@ from logsieve.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
-        "logsieve-tests", master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        "logsieve-tests", master="local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
         spark__driver__memory="6g", spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -171,6 +171,9 @@ def test_search_ways_agree(spark):
     indexed = vectors.assign_lists(corpus, centroids)
     exact = vectors.nearest(asked, corpus, 7, "l2")
     assert answer(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=10)) == answer(exact)
+    assert answer(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=10, broadcast_cells=32)) == answer(exact)
+    few = vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=3)
+    assert answer(few) == answer(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=3, broadcast_cells=32))
     some = vectors.recall(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=4), exact)
     assert some.agg(F.avg("recall")).first()[0] > 0.5
 
