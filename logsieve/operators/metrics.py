@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
+from logsieve.functions.text import let
+from logsieve.session import materialise
 from logsieve.settings import HISTOGRAM_BOUNDS
 
 STEP_SECONDS = 30
@@ -41,25 +44,36 @@ def _shown(bound: float) -> str:
     return repr(float(bound))
 
 
-def quantile_from_buckets(buckets: DataFrame, labels: list[str], q: float) -> DataFrame:
-    """Quantile by linear interpolation inside the bucket it falls into.
+def quantile(buckets: Column, q: float) -> Column:
+    """Quantile of one array of ``bound, bucket`` structs in order of their bounds.
 
-    A rank in the last bucket gives the highest finite bound; labels without samples give null.
+    Linear inside the bucket the rank falls into. A rank in the last bucket gives the highest finite
+    bound; without samples the quantile is null.
     """
+
+    def ranked(b: Column) -> Column:
+        total = F.element_at(b, -1)["bucket"]
+        return F.struct(b.alias("b"), total.alias("total"), (F.lit(q) * total).alias("rank"))
+
+    def placed(s: Column) -> Column:
+        below = F.size(F.filter(s["b"], lambda x: x["bucket"] < s["rank"]))
+        return let(below, lambda n: inside(s, n))
+
+    def inside(s: Column, n: Column) -> Column:
+        here, last = F.element_at(s["b"], n + 1), F.element_at(s["b"], n)
+        low = F.when(n > 0, last["bound"]).otherwise(0.0)
+        passed = F.when(n > 0, last["bucket"]).otherwise(0)
+        value = low + (here["bound"] - low) * (s["rank"] - passed) / F.nullif(here["bucket"] - passed, F.lit(0))
+        highest = F.element_at(s["b"], -2)["bound"]
+        return F.when(s["total"] == 0, None).when(n >= F.size(s["b"]) - 1, highest).otherwise(value)
+
+    return let(let(buckets, ranked), placed)
+
+
+def quantile_from_buckets(buckets: DataFrame, labels: list[str], q: float) -> DataFrame:
+    """Quantile per label set from the rows of a histogram."""
     ordered = F.sort_array(F.collect_list(F.struct("bound", "bucket")))
-    packed = buckets.groupBy(*labels).agg(ordered.alias("_b"))
-    total = F.element_at("_b", -1)["bucket"]
-    rank = F.lit(q) * total
-    at = F.size(F.filter("_b", lambda b: b["bucket"] < F.col("_rank"))) + 1
-    placed = packed.withColumn("_total", total).withColumn("_rank", rank).withColumn("_at", at)
-    here = F.element_at("_b", F.least(F.col("_at"), F.size("_b")))
-    before = F.try_element_at("_b", F.greatest(F.col("_at") - 1, F.lit(1)))
-    low = F.when(F.col("_at") > 1, before["bound"]).otherwise(0.0)
-    below = F.when(F.col("_at") > 1, before["bucket"]).otherwise(0)
-    inside = low + (here["bound"] - low) * (F.col("_rank") - below) / F.nullif(here["bucket"] - below, F.lit(0))
-    top = F.element_at("_b", -2)["bound"]
-    value = F.when(F.col("_total") == 0, None).when(F.col("_at") >= F.size("_b"), top).otherwise(inside)
-    return placed.select(*labels, value.alias("quantile"))
+    return buckets.groupBy(*labels).agg(ordered.alias("_b")).select(*labels, quantile(F.col("_b"), q).alias("quantile"))
 
 
 def last_values(samples: DataFrame, labels: list[str]) -> DataFrame:
@@ -102,50 +116,40 @@ def step_counts(events: DataFrame, ts: str, flags: dict[str, Column], step: int
 def evaluation_grid(steps: DataFrame, columns: list[str], window: int, hold: int, step: int = STEP_SECONDS) -> DataFrame:
     """All evaluations from the first step to ``window + hold`` past the last; empty steps count 0.
 
-    Without the empty ones, an evaluation nobody made would look like a condition that held.
+    Without the empty ones, an evaluation nobody made would look like a condition that held. The
+    steps are written once, so the events are read once.
     """
+    steps = materialise(steps, "steps")
     ends = steps.agg(F.min("tick").alias("_from"), (F.max("tick") + window + hold).alias("_to"))
     grid = ends.select(F.explode(F.sequence("_from", "_to", F.lit(step).cast("long"))).alias("tick"))
     return grid.join(steps, "tick", "left").na.fill(0, columns)
 
 
-def rolling(grid: DataFrame, columns: list[str], window: int) -> DataFrame:
-    """Sum of each column over the window ending at each evaluation, by day with the day before.
+# One row per evaluation, about a million a year whatever the number of events: small enough to be
+# walked in order by one task.
+def _in_order() -> WindowSpec:
+    return Window.partitionBy(F.lit(0)).orderBy("tick")
 
-    Each evaluation belongs to its own day; the tail of the day before is copied over for the sums,
-    so no task holds more than two days of steps.
-    """
-    day = F.floor(F.col("tick") / 86400)
-    own = grid.withColumn("_day", day).withColumn("_own", F.lit(True))
-    tail = grid.where(F.col("tick") % 86400 >= 86400 - window).withColumn("_day", day + 1).withColumn(
-        "_own", F.lit(False)
-    )
-    span = Window.partitionBy("_day").orderBy("tick").rangeBetween(-window + 1, 0)
-    summed = own.unionByName(tail).withColumns({c: F.sum(c).over(span) for c in columns})
-    return summed.where("_own").drop("_own", "_day")
+
+def rolling(grid: DataFrame, columns: list[str], window: int, step: int = STEP_SECONDS) -> DataFrame:
+    """Sum of each column over the steps of the window that ends at each evaluation."""
+    span = _in_order().rowsBetween(1 - window // step, Window.currentRow)
+    return grid.withColumns({c: F.sum(c).over(span) for c in columns})
 
 
 def held(evaluations: DataFrame, condition: Column, hold: int, step: int = STEP_SECONDS) -> DataFrame:
     """Adds ``pending_since`` and ``firing``: the condition was true at every evaluation of the hold.
 
-    Works on the last evaluation that failed, found by day and carried over between days.
+    A run of true evaluations begins one step after the last that failed, or with the first of all.
     """
-    day = F.floor(F.col("tick") / 86400)
-    judged = evaluations.withColumn("_ok", F.coalesce(condition, F.lit(False))).withColumn("_day", day)
-    failed_at = F.when(~F.col("_ok"), F.col("tick"))
-    by_day = judged.groupBy("_day").agg(F.max(failed_at).alias("_failed"), F.min("tick").alias("_opens"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = by_day.select(
-        "_day", F.max("_failed").over(earlier).alias("_before"),
-        F.min("_opens").over(Window.partitionBy(F.lit(0))).alias("_first"),
-    )
-    inside = Window.partitionBy("_day").orderBy("tick").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last_failed = F.coalesce(F.max(failed_at).over(inside), F.col("_before"), F.col("_first") - step)
+    so_far = _in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    judged = evaluations.withColumn("_ok", F.coalesce(condition, F.lit(False)))
+    last_failed = F.max(F.when(~F.col("_ok"), F.col("tick"))).over(so_far)
+    began = F.coalesce(last_failed + step, F.min("tick").over(so_far))
     return (
-        judged.join(carried, "_day")
-        .withColumn("pending_since", F.when(F.col("_ok"), last_failed + step))
+        judged.withColumn("pending_since", F.when(F.col("_ok"), began))
         .withColumn("firing", F.col("_ok") & (F.col("tick") - F.col("pending_since") >= hold))
-        .drop("_ok", "_day", "_before", "_first")
+        .drop("_ok")
     )
 
 
@@ -183,8 +187,7 @@ def latency_alert(
         F.struct(F.lit(float(b)).alias("bound"), F.col(n).alias("bucket"))
         for n, b in zip(names, [*bounds, float("inf")])
     ])
-    buckets = summed.select("tick", F.inline(rows))
-    return held(quantile_from_buckets(buckets, ["tick"], q), F.col("quantile") > threshold, hold)
+    return held(summed.select("tick", quantile(rows, q).alias("quantile")), F.col("quantile") > threshold, hold)
 
 
 def gauge_alerts(samples: DataFrame) -> DataFrame:

@@ -62,14 +62,16 @@ def signal_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def line_samples(lines: DataFrame, keys: list[str]) -> DataFrame:
+def line_samples(lines: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
     """First five lines of each key, and the last five where there are more than five.
 
-    Both ends are cut per task before the shuffle, so a huge file sends ten lines per task.
+    Both ends are cut per task before the shuffle, so a huge file sends ten lines per task. Give
+    ``counts`` (the keys and ``line_count``) where they are known.
     """
     first = top_per_key(lines, keys, [F.col("line_no")], SAMPLE_LINES, "_rank")
     last = top_per_key(lines, keys, [F.col("line_no").desc()], SAMPLE_LINES, "_rank")
-    sizes = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("line_count"))
 
     def packed(ends: DataFrame, name: str) -> DataFrame:
         ordered = F.sort_array(F.collect_list(F.struct("line_no", "line")))
@@ -77,10 +79,10 @@ def line_samples(lines: DataFrame, keys: list[str]) -> DataFrame:
 
     empty = F.array().cast("array<string>")
     return (
-        sizes.join(packed(first, "sample_head"), keys)
+        counts.join(packed(first, "sample_head"), keys)
         .join(packed(last, "_tail"), keys)
-        .withColumn("sample_tail", F.when(F.col("_n") > SAMPLE_LINES, F.col("_tail")).otherwise(empty))
-        .drop("_n", "_tail")
+        .withColumn("sample_tail", F.when(F.col("line_count") > SAMPLE_LINES, F.col("_tail")).otherwise(empty))
+        .drop("_tail")
     )
 
 
@@ -141,8 +143,7 @@ def analysis_metadata(summaries: DataFrame) -> DataFrame:
 def line_file_summaries(lines: DataFrame, keys: list[str]) -> DataFrame:
     """The summary of files given as lines."""
     return (
-        signal_counts(lines, keys)
-        .join(line_samples(lines, keys), keys)
+        line_samples(lines, keys, signal_counts(lines, keys))
         .join(keyword_lists(words_of_lines(lines, keys), keys), keys, "left")
         .withColumn("top_keywords", F.coalesce("top_keywords", F.array().cast("array<string>")))
     )

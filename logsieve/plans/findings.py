@@ -300,7 +300,7 @@ def jobs_without_input(spark, sf_dir):
                 CASE WHEN ssn > 0 THEN '"ssn":' || ssn END, CASE WHEN credit_card > 0 THEN '"credit_card":' || credit_card END,
                 CASE WHEN ip_address > 0 THEN '"ip_address":' || ip_address END) || '}}}}' FROM summaries""", recursive=True))
 def log_lifecycle(spark, sf_dir):
-    made = _summaries(spark, sf_dir)
+    made = materialise(_summaries(spark, sf_dir), "summaries")
     return rollup.lifecycle_events(made, rollup.job_metrics(made), "log_analysis")
 
 
@@ -308,7 +308,10 @@ def log_lifecycle(spark, sf_dir):
 
 
 def report_inputs(spark, sf_dir):
-    """Log files as jobs of files: rows for the jobs and for their files."""
+    """Log files as jobs of files: rows for the jobs and for their files.
+
+    The summaries, one row per file, are written once: jobs, tags and every report read them.
+    """
     lines = view(spark, sf_dir, "lines")
     born = lines.groupBy("job_id", "file_id").agg(F.min("ts").alias("created_at"))
     made = (
@@ -318,6 +321,7 @@ def report_inputs(spark, sf_dir):
             "filename": F.concat(F.lit("node <"), "file_id", F.lit(">.log")), "chunk_count": F.lit(1),
         })
     )
+    made = materialise(made, "summaries")
     advice = F.lit("Signals & causes:\n- Check the <error> handler\n* Watch 'signup' warnings")
     jobs = (
         rollup.add_severity(rollup.job_metrics(made))

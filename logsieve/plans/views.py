@@ -120,7 +120,7 @@ VIEWS = {
         FROM (@@lines) AS l GROUP BY file_id, DAYDATE(ts)""",
 }
 
-_TEXTS = {"files", "uploads", "paths", "turns"}  # heavy work per row
+_TEXTS = {"files"}  # heavy work per row
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
