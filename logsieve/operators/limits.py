@@ -187,9 +187,9 @@ def enforce(
     """
     keys = [client] if scope is None else [scope, client]
     added = ["window_start", "window_count", "remaining", "reset", "allowed"]
-    first = fixed_window(requests, keys, ts, order, main, busy_rows).withColumnsRenamed(
-        {c: f"main_{c}" for c in added}
-    )
+    judged = fixed_window(requests, keys, ts, order, main, busy_rows)
+    # written once: the burst limit reads it several times
+    first = materialise(judged.withColumnsRenamed({c: f"main_{c}" for c in added}), "limits")
     passed = fixed_window(first.where("main_allowed"), [client], ts, order, burst, busy_rows).withColumnsRenamed(
         {c: f"burst_{c}" for c in added}
     )

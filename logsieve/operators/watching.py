@@ -21,18 +21,15 @@ def debounce(events: DataFrame, bucket: Column, quiet_seconds: int = 5) -> DataF
     """When each path is ready: untouched for ``quiet_seconds`` after it was created.
 
     ``events``: ``path, kind (created or modified), ts, event_id``. Modifications extend the wait but
-    do not start one, and each path is ready once. Gives ``path, created_at, ready_at, touches``.
+    do not start one, and each path is ready once. Gives ``path, created_at, ready_at``.
     """
     started = events.where(F.col("kind") == "created").groupBy("path").agg(F.min("ts").alias("created_at"))
-    alive = events.join(started, "path").where(F.col("ts") >= F.col("created_at"))
-    with_next = following(alive, ["path"], ["ts", "event_id"], bucket, F.col("ts"), "_next")
+    with_next = following(events, ["path"], ["ts", "event_id"], bucket, F.col("ts"), "_next")
     gap = F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("_next"))
-    quiet = F.col("_next").isNull() | (gap >= quiet_seconds * 1_000_000)
-    settled = with_next.groupBy("path").agg(F.min(F.when(quiet, F.col("ts"))).alias("_last"))
-    touches = alive.join(settled, "path").where(F.col("ts") <= F.col("_last"))
-    return touches.groupBy("path", "created_at", "_last").agg(F.count(F.lit(1)).alias("touches")).select(
-        "path", "created_at", (F.col("_last") + F.make_dt_interval(secs=F.lit(quiet_seconds))).alias("ready_at"),
-        "touches",
+    quiet = with_next.where(F.col("_next").isNull() | (gap >= quiet_seconds * 1_000_000)).select("path", "ts")
+    settled = quiet.join(started, "path").where(F.col("ts") >= F.col("created_at"))
+    return settled.groupBy("path", "created_at").agg(F.min("ts").alias("_last")).select(
+        "path", "created_at", (F.col("_last") + F.make_dt_interval(secs=F.lit(quiet_seconds))).alias("ready_at")
     )
 
 

@@ -8,7 +8,7 @@ from logsieve.functions.ordering import time_bucket
 from logsieve.operators import chunks, privacy
 from logsieve.plans.registry import query
 from logsieve.plans.views import table, view, with_views
-from logsieve.session import scratch_dir
+from logsieve.session import materialise, scratch_dir
 from logsieve.settings import FilePolicy, PrivacyPolicy, WatchConfig
 from logsieve.sources import files, records, sinks
 
@@ -89,7 +89,8 @@ def source_checksum(spark, sf_dir):
     FROM files"""))
 def source_duplicates(spark, sf_dir):
     every = files.add_checksum(view(spark, sf_dir, "files").withColumn("content", F.col("text").cast("binary")))
-    marked = files.reject_duplicates(every.select("file_id", "job_id", "created_at", "checksum"))
+    sums = materialise(every.select("file_id", "job_id", "created_at", "checksum"), "checksums")
+    marked = files.reject_duplicates(sums)
     return marked.select("file_id", "job_id", "is_duplicate")
 
 
@@ -221,7 +222,7 @@ def pii_switched_off(spark, sf_dir):
     FROM redacted"""))
 def pii_metadata(spark, sf_dir):
     """The flag of a file as it arrives at its chunks, with the struct stored for the file."""
-    done = privacy.redaction_metadata(privacy.redact(view(spark, sf_dir, "files")))
+    done = materialise(privacy.redaction_metadata(privacy.redact(view(spark, sf_dir, "files"))), "redacted")
     flags = chunks.chunk_rows(done).groupBy("file_id").agg(F.bool_or("metadata.pii_redacted").alias("chunk_flag"))
     total = F.aggregate(F.map_values("pii_redaction.counts"), F.lit(0), lambda a, x: a + x)
     return done.select(

@@ -28,8 +28,8 @@ def _stamp_sql(column: str) -> str:
       a AS (SELECT w.path, w.ts, event_id, created, lead(ts) OVER (PARTITION BY w.path ORDER BY ts, event_id) AS nxt
             FROM watch_events w JOIN c ON c.path = w.path AND ts >= created),
       l AS (SELECT path, min(ts) AS last FROM a WHERE nxt IS NULL OR epoch_us(nxt - ts) >= 3600000000 GROUP BY path)
-    SELECT a.path, {_stamp_sql("min(created)")} AS created_at, {_stamp_sql("min(last) + INTERVAL 3600 SECOND")} AS ready_at,
-           CAST(count(*) AS BIGINT) AS touches FROM a JOIN l ON a.path = l.path AND a.ts <= last GROUP BY a.path"""))
+    SELECT path, {_stamp_sql("created")} AS created_at, {_stamp_sql("last + INTERVAL 3600 SECOND")} AS ready_at
+    FROM l JOIN c USING (path)"""))
 def watch_debounce(spark, sf_dir):
     """An hour of quiet, as the events lie minutes apart."""
     ready = watching.debounce(view(spark, sf_dir, "watch_events"), time_bucket("ts", "day"), 3600)

@@ -109,7 +109,8 @@ def reject_duplicates(files: DataFrame, stored: DataFrame | None = None) -> Data
     """Adds ``is_duplicate``: the checksum came earlier (by ``created_at, file_id``) or is stored.
 
     The first file of each checksum comes from a partial aggregate, so a checksum shared by a third
-    of all files costs one row per task; whole rows are only ever shuffled by file id.
+    of all files costs one row per task; whole rows are only ever shuffled by file id. The rows are
+    read twice, so give written ones without contents rather than a plan that hashes.
     """
     firsts = files.groupBy("checksum").agg(F.min(F.struct("created_at", "file_id")).alias("_first"))
     if stored is not None:
