@@ -66,7 +66,9 @@ def _neighbour(df, keys, order, bucket, value, name, backward):
     step = F.lag if backward else F.lead
     edge = F.max_by if backward else F.min_by
     tagged = df.withColumn(_BUCKET, bucket).withColumn("_value", value)
-    edges = tagged.groupBy(*keys, _BUCKET).agg(edge("_value", F.struct(*order)).alias("_edge"))
+    # a single order column lets the partial step hash instead of sort
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    edges = tagged.groupBy(*keys, _BUCKET).agg(edge("_value", at).alias("_edge"))
     across = Window.partitionBy(*keys).orderBy(_BUCKET)
     carried = edges.select(*keys, _BUCKET, step("_edge").over(across).alias("_carried"))
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)

@@ -165,7 +165,6 @@ def jobs_child_counts(spark, sf_dir):
 
 def _documented(spark, sf_dir):
     """Jobs whose outcome document sits in each of the places it may sit in."""
-    found = F.concat(F.lit('{"severity":"high","n":'), F.col("job_id"), F.lit("}"))
     return view(spark, sf_dir, "jobs").withColumns({
         "outputs": F.expr("""CASE job_id % 5
             WHEN 0 THEN concat('{"markdown":"# m","html":"<p>","json":{"severity":"high","n":', job_id, '}}')
@@ -174,7 +173,7 @@ def _documented(spark, sf_dir):
             WHEN 2 THEN concat('{"analysis_type":"rca_analysis","outputs":{"json":{"severity":"critical","n":', job_id, '}}}')
             WHEN 3 THEN concat('{"metrics":{"errors":', job_id % 10, '},"outputs":{"severity":"moderate","n":', job_id, '}}')
             WHEN 0 THEN '{"analysis_type":"log_analysis","generated_at":"2024-01-01T00:00:00+00:00","metrics":{"errors":3}}' END"""),
-    }).drop("found")
+    })
 
 
 @query("jobs_context", "O-JOB-11", with_views("jobs", """

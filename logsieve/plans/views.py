@@ -130,7 +130,7 @@ TABLES = [
 _SPARK = {"SECS(": "make_dt_interval(0, 0, 0, ", "DAYTIME(ts)": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
           "DAYDATE(ts)": "date_format(ts, 'yyyy-MM-dd')"}
 _DUCK = {"SECS(": "to_seconds(", "DAYTIME(ts)": "strftime(ts, '%Y-%m-%d %H:%M:%S')",
-         "DAYDATE(ts)": "strftime(ts, '%Y-%m-%d')", "TIMESTAMP '": "TIMESTAMP '"}
+         "DAYDATE(ts)": "strftime(ts, '%Y-%m-%d')"}
 
 
 def _expand(name: str, words: dict[str, str]) -> str:
