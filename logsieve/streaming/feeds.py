@@ -1,5 +1,7 @@
 """Streaming forms. Each takes a streaming DataFrame with an event-time column.
 
+A stateful operator sees the rows of one key in one micro-batch together, so bound the micro-batches
+at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) where one key may hold much of them.
 ``watermark`` bounds the state and decides which late rows are dropped; Spark counts them in
 ``numRowsDroppedByWatermark`` of the query progress.
 """
