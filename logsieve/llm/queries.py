@@ -31,3 +31,10 @@ def op9(spark, sf_dir):
     from logsieve.llm.tokens import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@query("op4_secret_scan")
+def op4(spark, sf_dir):
+    from logsieve.llm.secret_scan import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"), false_discoveries=0.01)
