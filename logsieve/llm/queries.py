@@ -38,3 +38,10 @@ def op4(spark, sf_dir):
     from logsieve.llm.secret_scan import find_secrets
 
     return find_secrets(table(spark, sf_dir, "documents"), false_discoveries=0.01)
+
+
+@query("op6_simhash_near_duplicates")
+def op6(spark, sf_dir):
+    from logsieve.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
