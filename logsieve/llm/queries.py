@@ -45,3 +45,36 @@ def op6(spark, sf_dir):
     from logsieve.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+_OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+t AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS tri
+      FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, tri) AS n FROM t) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY r),
+l AS (SELECT r, len(x) AS n, len(x) - len(list_distinct(x)) AS dup FROM (
+      SELECT r, list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '[^\x20\x09-\x0D]')) AS x FROM d)),
+m AS (
+  SELECT doc_id, len(w.w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, l.dup AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words, l.n AS n_lines,
+         len(regexp_extract_all(text, '\p{L}[^\x20\x09-\x0D]*')) AS n_letter_words,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
+  FROM d JOIN w USING (r) JOIN l USING (r) LEFT JOIN covered USING (r)),
+b AS (
+  SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
+         + 4 * (100 * n_symbols > 10 * n_words)::BIGINT + 8 * (word_chars < 2 * n_words)::BIGINT
+         + 16 * (word_chars > 15 * n_words)::BIGINT + 32 * (100 * n_dup_lines > 50 * n_lines)::BIGINT
+         + 64 * (100 * n_letter_words < 70 * n_words)::BIGINT + 128 * (100 * n_capitals > 50 * word_chars)::BIGINT AS failed_bits
+  FROM m)
+SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept FROM b
+"""
+
+
+@query("op5_quality_rules", _OP5_SQL)
+def op5(spark, sf_dir):
+    from logsieve.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), "v1")
