@@ -78,3 +78,10 @@ def op5(spark, sf_dir):
     from logsieve.llm.quality_rules import judge
 
     return judge(table(spark, sf_dir, "documents"), "v1")
+
+
+@query("op10_personal_data")
+def op10(spark, sf_dir):
+    from logsieve.llm.personal_data import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
