@@ -85,3 +85,28 @@ def op10(spark, sf_dir):
     from logsieve.llm.personal_data import find_personal_data
 
     return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+_OP1_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                  md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(no - 1) % 3 + 1] AS weight, 2::DOUBLE * source_size AS room FROM s),
+l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size)::BIGINT FROM s) - coalesce(sum(room) OVER (
+             ORDER BY room / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(weight) OVER (ORDER BY room / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, no, source_size, least(room, weight * (SELECT max(level) FROM l)) AS target FROM l),
+n AS (SELECT *, floor(target + 0.5)::BIGINT // greatest(source_size, 1) AS laps, floor(target + 0.5)::BIGINT % greatest(source_size, 1) AS rest FROM t),
+p AS (SELECT d.*, n.* EXCLUDE (source), (sum(size) OVER (
+             PARTITION BY no ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start
+      FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source)
+SELECT doc_id, source, size, source_size, target,
+       laps * size + greatest(0, least(start + size, rest) - start) AS taken FROM p
+"""
+
+
+@query("op1_source_mix", _OP1_SQL)
+def op1(spark, sf_dir):
+    from logsieve.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
