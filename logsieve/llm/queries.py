@@ -110,3 +110,76 @@ def op1(spark, sf_dir):
     from logsieve.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+
+
+#: Rules by host and path and their verdicts.
+URL_RULES = {
+    "com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block",
+}
+
+_OP2_SQL = r"""
+WITH parsed AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+known AS (SELECT doc_id, max(quality = 0 OR toxic = 1) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+marked AS (SELECT p.*, k.bad FROM parsed p LEFT JOIN known k
+           ON k.doc_id = TRY_CAST(nullif(regexp_extract(path, '([0-9]+)', 1), '') AS BIGINT)),
+paths AS (SELECT host, path, count(*) AS pages, count(bad) AS labelled, coalesce(sum(bad::INT), 0) AS bad FROM marked GROUP BY ALL),
+shaped AS (
+  SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
+            lambda s: regexp_replace(s, '^(?:[0-9]+|[0-9A-Fa-f]{8,}|[0-9A-Fa-f-]{36})(\.[A-Za-z0-9]{1,5})?\z', '*\1')) AS x FROM paths),
+placed AS (SELECT host, path, pages, i, x[i] AS segment, array_to_string(x[1:i - 1], '/') AS parent
+           FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM shaped)),
+children AS (SELECT host, parent, i, segment, sum(pages) AS pages FROM placed GROUP BY ALL),
+wild AS (SELECT host, parent, i FROM children GROUP BY ALL HAVING count(*) >= 8 AND 2 * count(*) > sum(pages)),
+grown AS (SELECT p.host, p.path, list(CASE WHEN w.i IS NULL THEN segment ELSE '*' END ORDER BY p.i) AS segments
+          FROM placed p LEFT JOIN wild w USING (host, parent, i) GROUP BY ALL),
+templated AS (SELECT s.host, s.path, s.labelled, s.bad, coalesce(g.segments, []) AS segments FROM shaped s LEFT JOIN grown g USING (host, path)),
+branches AS (
+  SELECT host, segments, sum(labelled) AS n1, sum(bad) AS b1,
+         coalesce(list_max(list_transform(segments, lambda s, i: CASE WHEN starts_with(s, '*') THEN 0 ELSE i END)), 0) AS last
+  FROM templated GROUP BY host, segments),
+own AS (SELECT *, '/' || array_to_string(segments, '/') AS own,
+               '/' || array_to_string(list_transform(segments, lambda s, i: CASE WHEN i = last THEN '*' ELSE s END), '/') AS family FROM branches),
+summed AS (SELECT host, family, sum(n1) AS n, sum(b1) AS b, count(*) AS kinds FROM own WHERE last > 0 GROUP BY ALL),
+held AS (SELECT o.*, s.kinds, s.n - n1 AS n2, s.b - b1 AS b2, s.b::DOUBLE / nullif(s.n, 0) AS p FROM own o LEFT JOIN summed s USING (host, family)),
+chosen AS (
+  SELECT host, segments, n1, b1, CASE WHEN last > 0 AND kinds > 1 AND NOT coalesce(
+         pow((b1 * n2 - b2 * n1)::DOUBLE, 2.0) > 1.96::DOUBLE * 1.96::DOUBLE * p * (1 - p) * (n1 + n2) * n1 * n2, false)
+         THEN family ELSE own END AS template FROM held),
+overall AS (SELECT coalesce(sum(b1)::DOUBLE / nullif(sum(n1), 0), 0) AS p FROM branches),
+pure AS (SELECT host, template, 1 - (sum(b1) + 10::DOUBLE * (SELECT p FROM overall)) / (sum(n1) + 10::DOUBLE) AS purity FROM chosen GROUP BY ALL),
+ruled AS (
+  SELECT *, CASE WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                 WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+                 WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+                 WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+                 WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM parsed)
+SELECT page_id, host, path, rule, host || template AS template, purity,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN purity >= 0.5 THEN 'allow' ELSE 'block' END AS verdict
+FROM ruled JOIN templated USING (host, path) JOIN chosen USING (host, segments) JOIN pure USING (host, template)
+"""
+
+
+@query("op2_url_templates", _OP2_SQL)
+def op2(spark, sf_dir):
+    """The number in a page's path is the document it shows, whose label is the page's."""
+    from pyspark.sql import functions as F
+
+    from logsieve.llm.url_filters import host_and_path, url_verdicts
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.expr("try_cast(nullif(regexp_extract(path, '([0-9]+)', 1), '') AS BIGINT)")
+    shown = pages.select("page_id", host_and_path(F.col("url"))[1].alias("path")).select("page_id", number.alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.expr("quality = 0 OR toxic = 1").alias("bad"))
+    return url_verdicts(pages, shown.join(labels, "doc_id").select("page_id", "bad"), URL_RULES)
+
+
+@query("op8_quality_ranking")
+def op8(spark, sf_dir):
+    from logsieve.llm.quality_model import score_quality
+
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality = 1 AS good")
+    return score_quality(table(spark, sf_dir, "documents"), labels, most_labelled=20_000)
