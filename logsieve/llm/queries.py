@@ -183,3 +183,10 @@ def op8(spark, sf_dir):
 
     labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality = 1 AS good")
     return score_quality(table(spark, sf_dir, "documents"), labels, most_labelled=20_000)
+
+
+@query("op3_benchmark_passages")
+def op3(spark, sf_dir):
+    from logsieve.llm.decontamination import find_items
+
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
