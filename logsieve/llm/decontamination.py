@@ -289,4 +289,4 @@ def _parts(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBat
 def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id has no item; rows with a null id stay only if no such row has one."""
     hit = find_items(docs, items, id_col, text_col).select(F.col(id_col).alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit"]), "left_anti")

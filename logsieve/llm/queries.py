@@ -190,3 +190,10 @@ def op3(spark, sf_dir):
     from logsieve.llm.decontamination import find_items
 
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_line_alignment")
+def op7(spark, sf_dir):
+    from logsieve.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)

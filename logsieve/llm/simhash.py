@@ -145,9 +145,9 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     named = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col, "text_hash").agg(F.count("*").alias("n"))
     picked = named.groupBy(id_col).agg(F.min(F.struct("text_hash", "n")).alias("p"))
     picked = picked.select(F.col(id_col).alias("_id"), F.col("p.text_hash").alias("_hash"), F.col("p.n").alias("_n"))
-    this = (docs[id_col] == F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash"))
-    return (
-        docs.join(picked.where("_n = 1"), this, "left_semi")
-        .unionByName(docs.join(picked.where("_n > 1"), this, "left_semi").dropDuplicates([id_col]))
-        .unionByName(docs.where(F.col(id_col).isNull()))
-    )
+
+    def only(some: DataFrame) -> DataFrame:
+        return docs.join(some, (docs[id_col] == some["_id"]) & (F.xxhash64(docs[text_col]) == some["_hash"]), "left_semi")
+
+    once, often = only(picked.where("_n = 1")), only(picked.where("_n > 1")).dropDuplicates([id_col])
+    return once.unionByName(often).unionByName(docs.where(docs[id_col].isNull()))
