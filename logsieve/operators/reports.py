@@ -1,8 +1,9 @@
 """Markdown, HTML and JSON reports, and the analysis prompt.
 
-A report lists every file of its job, and a job may have any number of files. Reports therefore come
-in parts of at most ``files_per_part`` files: ``part_no`` counts from 0, the parts of a job put
-together in order give the whole document, and a job that fits one part has exactly one row.
+A report lists every file of its job, and a job may have any number of files. Every report comes in the same pieces,
+whatever its size: one that opens it (``piece_no`` 0), one per file, and one that closes it where the form has an end.
+The texts of a job's pieces, in order and without separator, are its document. ``whole`` puts them together where a
+document has to be one value; ``sinks.write_pieces`` writes them in order without that.
 """
 
 from __future__ import annotations
@@ -12,41 +13,32 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.ordering import numbered
 from logsieve.functions.text import html_escape, title_case
-from logsieve.settings import NO_SUMMARY
+from logsieve.settings import NO_SUMMARY, SYSTEM_PROMPT
 
-FILES_PER_PART = 1000
 
-
-def file_parts(
-    summaries: DataFrame, bucket: Column, columns: dict[str, Column], files_per_part: int = FILES_PER_PART
+def _pieces(
+    jobs: DataFrame, summaries: DataFrame, bucket: Column, opening: Column, file: Column, closing: Column | None,
+    first: str = "", between: str = "",
 ) -> DataFrame:
-    """Ordered arrays of per-file columns, at most ``files_per_part`` to a row.
-
-    Files are numbered bucket by bucket, so no task ever holds more than one bucket or one part.
-    """
+    """``job_id, piece_no, text``. Files are numbered bucket by bucket, so no task ever holds a whole job."""
     placed = numbered(
-        summaries.select("job_id", "created_at", "file_id", *[c.alias(n) for n, c in columns.items()]),
+        summaries.select("job_id", "created_at", "file_id", file.alias("_text")),
         ["job_id"], ["created_at", "file_id"], bucket, "_nth",
-    ).withColumn("part_no", F.floor((F.col("_nth") - 1) / files_per_part).cast("int"))
-    in_place = F.collect_list(F.struct("_nth", *columns))
-    packed = placed.groupBy("job_id", "part_no").agg(
-        F.array_sort(in_place, lambda a, b: (a["_nth"] - b["_nth"]).cast("int")).alias("_files")
     )
-    return packed.select("job_id", "part_no", *[F.col(f"_files.{name}").alias(name) for name in columns])
-
-
-def _with_parts(jobs: DataFrame, parts: DataFrame, files_per_part: int) -> DataFrame:
-    return jobs.join(parts, "job_id").withColumn(
-        "n_parts", F.ceil(F.col("files") / files_per_part).cast("int")
+    lead = F.when(F.col("_nth") == 1, F.lit(first)).otherwise(F.lit(between))
+    pieces = jobs.select("job_id", F.lit(0).cast("long").alias("piece_no"), opening.alias("text")).unionByName(
+        placed.select("job_id", F.col("_nth").cast("long").alias("piece_no"), F.concat(lead, "_text").alias("text"))
     )
+    if closing is None:
+        return pieces
+    last = jobs.select("job_id", (F.col("files") + 1).cast("long").alias("piece_no"), closing.alias("text"))
+    return pieces.unionByName(last)
 
 
-def _only_first(text: Column) -> Column:
-    return F.when(F.col("part_no") == 0, text).otherwise("")
-
-
-def _only_last(text: Column) -> Column:
-    return F.when(F.col("part_no") == F.col("n_parts") - 1, text).otherwise("")
+def whole(pieces: DataFrame, name: str) -> DataFrame:
+    """``job_id`` and the document of each job, which is one value and so has to fit a row."""
+    ordered = F.sort_array(F.collect_list(F.struct("piece_no", "text")))
+    return pieces.groupBy("job_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias(name))
 
 
 def _lines(*parts: Column) -> Column:
@@ -58,36 +50,36 @@ def _labelled(label: str, value: Column) -> Column:
     return F.concat(F.lit(label), value.cast("string"))
 
 
-def prompts(jobs: DataFrame, summaries: DataFrame, bucket: Column, files_per_part: int = FILES_PER_PART) -> DataFrame:
-    """The analysis request per job. ``jobs``: ``job_id, mode, files``."""
+def prompts(jobs: DataFrame, summaries: DataFrame, bucket: Column) -> DataFrame:
+    """The analysis request per job, in pieces. ``jobs``: ``job_id, mode, files``."""
     line = F.concat(
         F.lit("- "), F.col("filename"), _labelled(" (lines=", F.col("line_count")),
         _labelled(", errors=", F.col("error_count")), _labelled(", warnings=", F.col("warning_count")),
         _labelled(", critical=", F.col("critical_count")),
         F.lit(", top_keywords="), F.array_join(F.slice("top_keywords", 1, 5), ", "), F.lit(")"),
     )
-    parts = file_parts(summaries, bucket, {"file_lines": line}, files_per_part)
     # Wording of the request.
     opening = _lines(
         _labelled("Job ID: ", F.col("job_id")), _labelled("Scenario: ", F.col("mode")), F.lit(""),
         F.lit("Provide a concise root cause assessment and remediation plan based on the following file summaries:"),
-        F.lit(""),
     )
     closing = F.lit("\n\nFocus on likely causes, impacted areas, and actionable remediation steps.")
     # End of fixed values.
-    return _with_parts(jobs.select("job_id", "mode", "files"), parts, files_per_part).select(
-        "job_id", "part_no", "n_parts",
-        F.concat(
-            _only_first(opening), F.array_join("file_lines", "\n"), _only_last(closing)
-        ).alias("prompt"),
+    return _pieces(jobs, summaries, bucket, opening, line, closing, "\n", "\n")
+
+
+def messages(asked: DataFrame) -> DataFrame:
+    """The messages of each request (``job_id, prompt``): the system's, then the user's."""
+    both = F.array(
+        F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_PROMPT).alias("content")),
+        F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")),
     )
+    return asked.select("job_id", F.posexplode(both).alias("sequence", "m")).select("job_id", "sequence", "m.*")
 
 
-def markdown_reports(
-    jobs: DataFrame, summaries: DataFrame, bucket: Column, files_per_part: int = FILES_PER_PART
-) -> DataFrame:
-    """Markdown per job. ``jobs``: ``job_id, mode, severity, files, errors, warnings, critical, tags,
-    summary, recommended_actions``. Parts are joined by a line end."""
+def markdown_reports(jobs: DataFrame, summaries: DataFrame, bucket: Column) -> DataFrame:
+    """Markdown per job, in pieces. ``jobs``: ``job_id, mode, severity, files, errors, warnings, critical, tags,
+    summary, recommended_actions``."""
 
     def sample(title: str, column: str) -> Column:
         quoted = F.transform(column, lambda x: F.concat(F.lit("  - `"), x, F.lit("`")))
@@ -105,9 +97,7 @@ def markdown_reports(
         ),
         sample("- Sample Head:", "sample_head"),
         sample("- Sample Tail:", "sample_tail"),
-        F.lit(""),
     )
-    parts = file_parts(summaries, bucket, {"blocks": block}, files_per_part)
     actions = F.array_join(F.transform("recommended_actions", lambda a: F.concat(F.lit("- "), a)), "\n")
     # Layout of the report.
     opening = _lines(
@@ -128,28 +118,20 @@ def markdown_reports(
         actions,
         F.lit(""),
         F.lit("## File Highlights"),
-        F.lit(""),
     )
     # End of fixed values.
-    body = F.concat(_only_first(opening), F.array_join("blocks", "\n"))
-    trimmed = F.when(F.col("part_no") == F.col("n_parts") - 1, F.regexp_replace(
-        body, "(?U)[\\s\\x1c-\\x1f]+$", "")).otherwise(body)
-    return _with_parts(jobs, parts, files_per_part).select(
-        "job_id", "part_no", "n_parts", trimmed.alias("markdown")
-    )
+    ended = F.regexp_replace(block, "(?U)[\\s\\x1c-\\x1f]+$", "")
+    return _pieces(jobs, summaries, bucket, opening, ended, None, "\n", "\n\n")
 
 
-def html_reports(
-    jobs: DataFrame, summaries: DataFrame, bucket: Column, files_per_part: int = FILES_PER_PART
-) -> DataFrame:
-    """HTML per job, every value escaped; input as for Markdown. Parts follow without separator."""
+def html_reports(jobs: DataFrame, summaries: DataFrame, bucket: Column) -> DataFrame:
+    """HTML per job, in pieces, every value escaped; input as for Markdown."""
 
     def cell(value: Column) -> Column:
         return F.concat(F.lit("<td>"), value, F.lit("</td>"))
 
     counts = [cell(F.col(c).cast("string")) for c in ("line_count", "error_count", "warning_count", "critical_count")]
     row = F.concat(F.lit("<tr>"), cell(html_escape(F.col("filename"))), *counts, F.lit("</tr>"))
-    parts = file_parts(summaries, bucket, {"rows": row}, files_per_part)
 
     def fact(label: str, value: Column) -> Column:
         return F.concat(F.lit(f"<p><strong>{label}:</strong> "), value.cast("string"), F.lit("</p>"))
@@ -175,36 +157,27 @@ def html_reports(
     )
     closing = F.lit("</tbody></table></section></article>")
     # End of fixed values.
-    return _with_parts(jobs, parts, files_per_part).select(
-        "job_id", "part_no", "n_parts",
-        F.concat(_only_first(opening), F.array_join("rows", ""), _only_last(closing)).alias("html"),
-    )
+    return _pieces(jobs, summaries, bucket, opening, row, closing)
 
 
-def json_bundles(
-    jobs: DataFrame, summaries: DataFrame, bucket: Column, generated_at: str,
-    files_per_part: int = FILES_PER_PART,
-) -> DataFrame:
-    """The structured bundle per job; each part repeats the job fields and holds its slice of files."""
+def json_bundles(jobs: DataFrame, summaries: DataFrame, bucket: Column, generated_at: str) -> DataFrame:
+    """The structured bundle per job, in pieces: the job's fields, each file's object, the rest.
+
+    ``llm`` (what the model gave besides the summary) and ``ticketing`` are columns of ``jobs`` where there are any.
+    """
     fields = [c for c in summaries.columns if c not in ("job_id", "created_at")]
-    parts = file_parts(summaries, bucket, {"files_detail": F.struct(*fields)}, files_per_part)
-    metrics = F.struct("files", "lines", "errors", "warnings", "critical", "chunks")
-    ticketing = F.col("ticketing") if "ticketing" in jobs.columns else F.create_map().cast("map<string,string>")
-    bundle = F.struct(
+    held = F.struct("files", "lines", "errors", "warnings", "critical", "chunks")
+    none = F.create_map().cast("map<string,string>")
+    first = F.to_json(F.struct(
         F.col("job_id").cast("string").alias("job_id"), F.col("mode").alias("analysis_type"),
         F.lit(generated_at).alias("generated_at"), F.col("severity"), F.col("categories"), F.col("tags"),
-        metrics.alias("metrics"), F.col("files_detail").alias("files"), F.col("summary"),
-        F.col("recommended_actions"), ticketing.alias("ticketing"),
-    )
-    return _with_parts(jobs, parts, files_per_part).select(
-        "job_id", "part_no", "n_parts", F.to_json(bundle).alias("json")
-    )
-
-
-def join_parts(reports: DataFrame, column: str, separator: str, max_parts: int = 1) -> DataFrame:
-    """Whole documents of the jobs with at most ``max_parts`` parts; larger ones stay in parts."""
-    whole = reports.where(F.col("n_parts") <= max_parts)
-    ordered = F.sort_array(F.collect_list(F.struct("part_no", column)))
-    return whole.groupBy("job_id").agg(
-        F.array_join(F.transform(ordered, lambda x: x[column]), separator).alias(column)
-    )
+        held.alias("metrics"),
+    ))
+    llm = F.col("llm") if "llm" in jobs.columns else F.struct("summary")
+    ticketing = F.col("ticketing") if "ticketing" in jobs.columns else none
+    rest = F.to_json(F.struct(
+        F.col("summary"), llm.alias("llm"), F.col("recommended_actions"), ticketing.alias("ticketing")
+    ))
+    opening = F.concat(F.regexp_replace(first, "\\}$", ""), F.lit(',"files":['))
+    closing = F.concat(F.lit("],"), F.regexp_replace(rest, "^\\{", ""))
+    return _pieces(jobs, summaries, bucket, opening, F.to_json(F.struct(*fields)), closing, "", ",")

@@ -118,25 +118,25 @@ _PROMPTED = findings.REPORT_SQL.replace(
 
 
 @query("inference_answers", "O-CNV-08", with_views("lines", _PROMPTED + """
-    , b AS (SELECT job_id, length(CASE WHEN part_no = 0 THEN 'Job ID: ' || job_id || chr(10) || 'Scenario: log_analysis' || chr(10)
+    , b AS (SELECT job_id, length('Job ID: ' || job_id || chr(10) || 'Scenario: log_analysis' || chr(10)
               || chr(10) || 'Provide a concise root cause assessment and remediation plan based on the following file summaries:'
-              || chr(10) ELSE '' END || array_to_string(blocks, chr(10)) || CASE WHEN part_no = n_parts - 1 THEN chr(10) || chr(10)
-              || 'Focus on likely causes, impacted areas, and actionable remediation steps.' ELSE '' END) AS chars, part_no,
+              || chr(10) || array_to_string(blocks, chr(10)) || chr(10) || chr(10)
+              || 'Focus on likely causes, impacted areas, and actionable remediation steps.') AS chars,
               len(list_filter(blocks, lambda x: NOT contains(x, 'errors=0, '))) AS noisy,
               len(list_filter(blocks, lambda x: NOT contains(x, 'critical=0, '))) AS grave FROM p),
       a AS (SELECT *, 'Files with errors: ' || noisy || '; with critical events: ' || grave || '.'
               || CASE WHEN grave > 0 THEN chr(10) || '- Escalate the critical events to the service owner' ELSE '' END
               || CASE WHEN noisy > 0 THEN chr(10) || '- Inspect the failing components in the listed files' ELSE '' END AS summary FROM b)
-    SELECT job_id, part_no, CASE WHEN job_id % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS answered_by, summary,
+    SELECT job_id, CASE WHEN job_id % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS answered_by, summary,
            chars // 4 AS prompt_tokens, length(summary) // 4 AS completion_tokens FROM a"""))
 def inference_answers(spark, sf_dir):
-    """Prompts of all jobs answered offline; the primary of the odd jobs is down."""
+    """Prompts of all jobs answered offline, one answer a job; the primary of the odd jobs is down."""
     jobs, made = findings.report_inputs(spark, sf_dir)
-    asked = reports.prompts(jobs, made, time_bucket("created_at"), findings.PER_PART).withColumns({
+    asked = reports.whole(reports.prompts(jobs, made, time_bucket("created_at")), "prompt").withColumns({
         "provider": F.when(F.col("job_id") % 2 == 0, "openai").otherwise("ollama"), "model": F.lit("default-model"),
     })
     answers = inference.run_inference(asked, ["anthropic", "openai"])
-    return answers.select("job_id", "part_no", "answered_by", "summary", "prompt_tokens", "completion_tokens")
+    return answers.select("job_id", "answered_by", "summary", "prompt_tokens", "completion_tokens")
 
 
 @query("inference_failures", "O-CNV-08", with_views("jobs", """

@@ -335,7 +335,6 @@ def report_inputs(spark, sf_dir):
     return jobs.withColumn("categories", rollup.categories(F.col("mode"))), made
 
 
-PER_PART = 5
 REPORT_SQL = f"""
     , w AS (SELECT file_id, line_no, unnest(words) AS word, generate_subscripts(words, 1) AS place
             FROM (SELECT file_id, line_no, regexp_extract_all(lower(line), '[a-z]{{4,}}') AS words FROM lines)),
@@ -351,9 +350,9 @@ REPORT_SQL = f"""
       m AS (SELECT job_id, count(*) AS files, sum(line_count) AS lines, sum(error_count) AS errors,
                    sum(warning_count) AS warnings, sum(critical_count) AS critical FROM s GROUP BY job_id),
       j AS (SELECT m.*, tags, {_SEVERITY} AS severity FROM m JOIN tags USING (job_id)),
-      parts AS (SELECT job_id, CAST(nth // {PER_PART} AS INT) AS part_no, list(BLOCK ORDER BY nth) AS blocks
-                FROM s GROUP BY job_id, nth // {PER_PART}),
-      p AS (SELECT *, CAST(ceil(files / {PER_PART}) AS INT) AS n_parts FROM parts JOIN j USING (job_id))"""
+      listed AS (SELECT job_id, list(BLOCK ORDER BY nth) AS blocks FROM s GROUP BY job_id),
+      p AS (SELECT * FROM listed JOIN j USING (job_id))"""
+_ADVICE_SQL = "'Signals & causes:' || chr(10) || '- Check the <error> handler' || chr(10) || '* Watch ''signup'' warnings'"
 _TITLED = "upper(severity[1]) || severity[2:]"
 
 
@@ -364,13 +363,13 @@ def _report_sql(block: str, body: str) -> str:
 @query("log_prompt", "O-LOG-14", _report_sql(
     """'- ' || filename || ' (lines=' || line_count || ', errors=' || error_count || ', warnings=' || warning_count
        || ', critical=' || critical_count || ', top_keywords=' || array_to_string(top_keywords[1:5], ', ') || ')'""",
-    """SELECT job_id, part_no, n_parts, CASE WHEN part_no = 0 THEN 'Job ID: ' || job_id || chr(10) || 'Scenario: log_analysis'
+    """SELECT job_id, 'Job ID: ' || job_id || chr(10) || 'Scenario: log_analysis'
            || chr(10) || chr(10) || 'Provide a concise root cause assessment and remediation plan based on the following file summaries:'
-           || chr(10) ELSE '' END || array_to_string(blocks, chr(10)) || CASE WHEN part_no = n_parts - 1 THEN chr(10) || chr(10)
-           || 'Focus on likely causes, impacted areas, and actionable remediation steps.' ELSE '' END AS prompt FROM p"""))
+           || chr(10) || array_to_string(blocks, chr(10)) || chr(10) || chr(10)
+           || 'Focus on likely causes, impacted areas, and actionable remediation steps.' AS prompt FROM p"""))
 def log_prompt(spark, sf_dir):
     jobs, made = report_inputs(spark, sf_dir)
-    return reports.prompts(jobs, made, time_bucket("created_at"), PER_PART)
+    return reports.whole(reports.prompts(jobs, made, time_bucket("created_at")), "prompt")
 
 
 @query("report_markdown", "O-LOG-15", _report_sql(
@@ -379,22 +378,22 @@ def log_prompt(spark, sf_dir):
        '- Sample Head:', array_to_string(list_transform(head, lambda x: '  - `' || x || '`'), chr(10)),
        CASE WHEN len(tail) > 0 THEN '- Sample Tail:' || chr(10)
             || array_to_string(list_transform(tail, lambda x: '  - `' || x || '`'), chr(10)) END, '')""",
-    f"""SELECT job_id, part_no, n_parts, CASE WHEN part_no = n_parts - 1 THEN rtrim(t, chr(10)) ELSE t END AS markdown FROM (
-        SELECT *, CASE WHEN part_no = 0 THEN concat_ws(chr(10), '# RCA Summary – Job ' || job_id, '', '- **Mode:** log_analysis',
+    f"""SELECT job_id, rtrim(t, chr(10)) AS markdown FROM (
+        SELECT *, concat_ws(chr(10), '# RCA Summary – Job ' || job_id, '', '- **Mode:** log_analysis',
           '- **Severity:** ' || {_TITLED}, '- **Files Analysed:** ' || files, '- **Errors:** ' || errors,
           '- **Warnings:** ' || warnings, '- **Critical Events:** ' || critical, '- **Tags:** ' || array_to_string(tags, ', '),
           '', '## LLM Summary', 'Signals & causes:', '- Check the <error> handler', '* Watch ''signup'' warnings', '',
           '## Recommended Actions', '- Check the <error> handler', '- Watch ''signup'' warnings', '', '## File Highlights', '')
-          ELSE '' END || array_to_string(blocks, chr(10)) AS t FROM p)"""))
+          || array_to_string(blocks, chr(10)) AS t FROM p)"""))
 def report_markdown(spark, sf_dir):
     jobs, made = report_inputs(spark, sf_dir)
-    return reports.markdown_reports(jobs, made, time_bucket("created_at"), PER_PART)
+    return reports.whole(reports.markdown_reports(jobs, made, time_bucket("created_at")), "markdown")
 
 
 @query("report_html", "O-LOG-16", _report_sql(
     """'<tr><td>' || replace(replace(filename, '<', '&lt;'), '>', '&gt;') || '</td><td>' || line_count || '</td><td>'
        || error_count || '</td><td>' || warning_count || '</td><td>' || critical_count || '</td></tr>'""",
-    f"""SELECT job_id, part_no, n_parts, CASE WHEN part_no = 0 THEN '<article><h1>RCA Summary – Job ' || job_id || '</h1><section>'
+    f"""SELECT job_id, '<article><h1>RCA Summary – Job ' || job_id || '</h1><section>'
           || '<p><strong>Mode:</strong> log_analysis</p><p><strong>Severity:</strong> ' || {_TITLED} || '</p>'
           || '<p><strong>Files Analysed:</strong> ' || files || '</p><p><strong>Errors:</strong> ' || errors || '</p>'
           || '<p><strong>Warnings:</strong> ' || warnings || '</p><p><strong>Critical Events:</strong> ' || critical || '</p>'
@@ -403,32 +402,41 @@ def report_markdown(spark, sf_dir):
           || '* Watch &#x27;signup&#x27; warnings</p></section><section><h2>Recommended Actions</h2><ul>'
           || '<li>Check the &lt;error&gt; handler</li><li>Watch &#x27;signup&#x27; warnings</li></ul></section>'
           || '<section><h2>File Highlights</h2><table><thead><tr><th>File</th><th>Lines</th><th>Errors</th><th>Warnings</th>'
-          || '<th>Critical</th></tr></thead><tbody>' ELSE '' END || array_to_string(blocks, '')
-          || CASE WHEN part_no = n_parts - 1 THEN '</tbody></table></section></article>' ELSE '' END AS html FROM p"""))
+          || '<th>Critical</th></tr></thead><tbody>' || array_to_string(blocks, '')
+          || '</tbody></table></section></article>' AS html FROM p"""))
 def report_html(spark, sf_dir):
     jobs, made = report_inputs(spark, sf_dir)
-    return reports.html_reports(jobs, made, time_bucket("created_at"), PER_PART)
+    return reports.whole(reports.html_reports(jobs, made, time_bucket("created_at")), "html")
 
 
 @query("report_json", "O-LOG-17", _report_sql(
-    "filename || ':' || error_count",
-    """SELECT job_id, part_no, n_parts, severity, CAST(errors AS BIGINT) AS errors, array_to_string(tags, ',') AS tags,
-              array_to_string(blocks, ',') AS files, 'Check the <error> handler' AS first_action,
-              '2024-02-01T00:00:00+00:00' AS generated_at FROM p"""))
+    "filename || ':' || line_count || ':' || error_count || ':' || array_to_string(top_keywords, ' ')",
+    f"""SELECT CAST(job_id AS VARCHAR) AS job_id, 'log_analysis' AS analysis_type, '2024-02-01T00:00:00+00:00' AS generated_at,
+              severity, CAST(files AS BIGINT) AS n_files, CAST(lines AS BIGINT) AS n_lines, CAST(errors AS BIGINT) AS errors,
+              CAST(warnings AS BIGINT) AS warnings, CAST(critical AS BIGINT) AS critical, array_to_string(tags, ',') AS tags,
+              array_to_string(blocks, ',') AS files, {_ADVICE_SQL} AS summary, 'openai' AS llm_provider, 'large' AS llm_model,
+              {_ADVICE_SQL} AS llm_summary, 'Check the <error> handler,Watch ''signup'' warnings' AS actions FROM p"""))
 def report_json(spark, sf_dir):
-    """The bundle, read back field by field."""
+    """The whole bundle, read back field by field."""
     jobs, made = report_inputs(spark, sf_dir)
-    bundles = reports.json_bundles(jobs, made, time_bucket("created_at"), "2024-02-01T00:00:00+00:00", PER_PART)
+    jobs = jobs.withColumn("llm", F.struct(F.lit("openai").alias("provider"), F.lit("large").alias("model"), "summary"))
+    pieces = reports.json_bundles(jobs, made, time_bucket("created_at"), "2024-02-01T00:00:00+00:00")
     read = F.from_json(
         "json",
-        "severity string, generated_at string, tags array<string>, metrics struct<errors: long>, "
-        "recommended_actions array<string>, files array<struct<filename: string, error_count: long>>",
+        "job_id string, analysis_type string, severity string, generated_at string, tags array<string>, "
+        "metrics struct<files: long, lines: long, errors: long, warnings: long, critical: long>, "
+        "files array<struct<filename: string, line_count: long, error_count: long, top_keywords: array<string>>>, "
+        "summary string, llm struct<provider: string, model: string, summary: string>, recommended_actions array<string>",
     )
-    named = F.transform("r.files", lambda f: F.concat(f["filename"], F.lit(":"), f["error_count"].cast("string")))
-    return bundles.withColumn("r", read).select(
-        "job_id", "part_no", "n_parts", "r.severity", "r.metrics.errors",
-        F.array_join("r.tags", ",").alias("tags"), F.array_join(named, ",").alias("files"),
-        F.col("r.recommended_actions")[0].alias("first_action"), "r.generated_at",
+    named = F.transform("r.files", lambda f: F.concat_ws(
+        ":", f["filename"], f["line_count"], f["error_count"], F.array_join(f["top_keywords"], " ")
+    ))
+    return reports.whole(pieces, "json").select(read.alias("r")).select(
+        "r.job_id", "r.analysis_type", "r.generated_at", "r.severity", F.col("r.metrics.files").alias("n_files"),
+        F.col("r.metrics.lines").alias("n_lines"), "r.metrics.errors", "r.metrics.warnings", "r.metrics.critical",
+        F.array_join("r.tags", ",").alias("tags"), F.array_join(named, ",").alias("files"), "r.summary",
+        F.col("r.llm.provider").alias("llm_provider"), F.col("r.llm.model").alias("llm_model"),
+        F.col("r.llm.summary").alias("llm_summary"), F.array_join("r.recommended_actions", ",").alias("actions"),
     )
 
 

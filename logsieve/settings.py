@@ -27,6 +27,7 @@ CLOSED_EVENT_TYPES = [
 PLATFORMS = ["servicenow", "jira"]
 MESSAGE_ROLES = ["system", "user", "assistant"]
 DEFAULT_ACTION = "Review the generated summary and log excerpts for next steps."
+SYSTEM_PROMPT = "You are an experienced Site Reliability Engineer performing incident triage."
 NO_SUMMARY = "No automated summary available."
 FAILED_SUMMARY = "Automated analysis unavailable; review file summaries for context."
 CHUNK_CHARS = 2000

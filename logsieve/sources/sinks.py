@@ -14,6 +14,15 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     writer.parquet(path)
 
 
+def write_pieces(pieces: DataFrame, path: str, mode: str = "append") -> None:
+    """Documents in pieces (``job_id, piece_no, text``) so that files read in name order give them in order.
+
+    Pieces are dealt by range, so a job of any size is spread over as many files as it needs.
+    """
+    ordered = pieces.repartitionByRange("job_id", "piece_no").sortWithinPartitions("job_id", "piece_no")
+    ordered.write.mode(mode).parquet(path)
+
+
 def with_job_bucket(df: DataFrame, buckets: int = 256) -> DataFrame:
     """A bounded partition column: job ids have too many values to be folders."""
     return df.withColumn("job_bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))

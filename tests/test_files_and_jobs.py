@@ -155,26 +155,30 @@ def described(summaries, text="- Restart the database service"):
 def test_reports_and_lifecycle(spark):
     made = summary_rows(spark)
     jobs_, bucket = described(made), time_bucket("created_at")
-    text = reports.markdown_reports(jobs_, made, bucket).first().markdown
+    text = reports.whole(reports.markdown_reports(jobs_, made, bucket), "text").first().text
     assert "- **Severity:** High" in text and "- Restart the database service" in text and text.endswith("`INFO recovered service`")
-    bundle = json.loads(reports.json_bundles(jobs_, made, bucket, "now").first().json)
+    bundle = json.loads(reports.whole(reports.json_bundles(jobs_, made, bucket, "now"), "json").first().json)
+    assert bundle["llm"] == {"summary": bundle["summary"]} and bundle["ticketing"] == {}
     assert bundle["severity"] == "high" and bundle["analysis_type"] == "rca_analysis" and len(bundle["files"]) == 1
     assert bundle["categories"] == ["error-detected", "rca", "rca_analysis", "warning-detected"]
-    assert "<td>error.log</td>" in reports.html_reports(jobs_, made, bucket).first().html
+    assert "<td>error.log</td>" in reports.whole(reports.html_reports(jobs_, made, bucket), "html").first().html
     assert rollup.lifecycle_events(made, rollup.job_metrics(made)).count() == 6
     assert [r.filename for r in rollup.suspected_error_logs(made).collect()] == ["error.log"]
 
 
-def test_report_parts_put_together_are_the_whole_report(spark):
-    made = summary_rows(spark, 7)
-    jobs_, bucket = described(made), time_bucket("created_at")
-    for build, column, between in [
-        (reports.markdown_reports, "markdown", "\n"), (reports.html_reports, "html", ""), (reports.prompts, "prompt", "\n")
-    ]:
-        whole = build(jobs_, made, bucket).collect()
-        parts = sorted(build(jobs_, made, bucket, 3).collect(), key=lambda r: r.part_no)
-        assert len(whole) == 1 and len(parts) == 3
-        assert between.join(p[column] for p in parts) == whole[0][column]
+def test_reports_have_one_shape_for_any_number_of_files(spark, tmp_path):
+    for n in (1, 7):
+        made = summary_rows(spark, n)
+        jobs_, bucket = described(made), time_bucket("created_at")
+        for build, ends in [(reports.markdown_reports, 0), (reports.html_reports, 1), (reports.prompts, 1)]:
+            pieces = build(jobs_, made, bucket)
+            rows = sorted(pieces.collect(), key=lambda r: r.piece_no)
+            assert [r.piece_no for r in rows] == list(range(n + 1 + ends))
+            assert reports.whole(pieces, "text").first().text == "".join(r.text for r in rows)
+    sinks.write_pieces(pieces, str(tmp_path / "prompts"))
+    assert "".join(r.text for r in spark.read.parquet(str(tmp_path / "prompts")).orderBy("piece_no").collect()) == "".join(r.text for r in rows)
+    told = reports.messages(reports.whole(pieces, "prompt")).orderBy("sequence").collect()
+    assert [r.role for r in told] == ["system", "user"] and told[1].content == "".join(r.text for r in rows)
 
 
 def test_conversations(spark):
