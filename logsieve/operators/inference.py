@@ -27,14 +27,6 @@ def rule_based_summary(provider: str, model: str, prompt: str) -> tuple[str, int
     return text, len(prompt) // 4, len(text) // 4
 
 
-def healthy_providers(health: DataFrame, most: int = 1000) -> list[str]:
-    """Names of healthy providers in rank order, from a table with one row per provider."""
-    rows = health.select("provider", "rank", "healthy").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} providers")
-    return [r.provider for r in sorted(rows, key=lambda r: r["rank"]) if r.healthy]
-
-
 def choose_provider(primary: Column, healthy: list[str]) -> Column:
     """The primary when healthy, else the first healthy one; null when there is none."""
     if not healthy:

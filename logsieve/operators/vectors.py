@@ -1,20 +1,19 @@
 """Embeddings and nearest-neighbour search.
 
-Search multiplies Arrow batches of the corpus with the query matrix inside each task and keeps the
-best ``k`` per query there, so the corpus is read once, never shuffled, and no pair leaves a task
-unless it may be an answer. Scores are rounded to nine digits; equal scores order by id.
+Search cuts queries and corpus into blocks of bounded size and lets every block of queries meet every block
+of the corpus (of the lists it looks into) in a group of its own. Matrices are multiplied there in tiles, and a
+group gives ``k`` rows per query, never its pairs. Scores are rounded to nine digits; equal scores order by id.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +22,8 @@ from logsieve.settings import FALLBACK_DIMENSION, MODEL_DIMENSIONS
 
 Embedder = Callable[[list[str]], np.ndarray]
 DIGITS = 9
-MAX_BROADCAST_CELLS = 4_000_000  # 32 MB of doubles
+#: Rows of a block of queries and of the corpus, and numbers in a tile of scores (32 MB of doubles).
+QUERY_ROWS, CORPUS_ROWS, TILE_CELLS = 4096, 50_000, 4_000_000
 
 
 class HashingEmbedder:
@@ -126,10 +126,14 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
 
 
+def _prepared(vectors: np.ndarray, metric: str) -> np.ndarray:
+    return _unit(vectors) if metric == "cosine" else vectors
+
+
 def _scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
-    """Larger is nearer: the cosine, or the negative distance."""
+    """Larger is nearer: the cosine of prepared vectors, or the negative distance."""
     if metric == "cosine":
-        return np.round(_unit(queries) @ _unit(vectors).T, DIGITS)
+        return np.round(queries @ vectors.T, DIGITS)
     squares = (queries**2).sum(1)[:, None] - 2 * queries @ vectors.T + (vectors**2).sum(1)[None, :]
     return -np.round(np.sqrt(np.maximum(squares, 0.0)), DIGITS)
 
@@ -180,88 +184,75 @@ def _finish(candidates: DataFrame, k: int, metric: str) -> DataFrame:
     return ranked.withColumn("score", value)
 
 
-def _bounded_queries(queries: DataFrame, cells: int) -> tuple[list[int], np.ndarray] | None:
-    """The query set on the driver when it is small enough to broadcast, else None."""
-    width = queries.select(F.size("embedding").alias("d")).limit(1).collect()
-    allowed = max(1, cells // max(1, width[0].d)) if width else 1
-    rows = queries.select("query_id", "embedding").limit(allowed + 1).collect()
-    if len(rows) > allowed:
-        return None
-    return [r.query_id for r in rows], np.array([r.embedding for r in rows], dtype=np.float64)
+def _block_count(df: DataFrame, rows: int) -> Column:
+    return F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("long")
 
 
-def nearest(
-    queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", broadcast_cells: int = MAX_BROADCAST_CELLS
+def _nearest_by_blocks(
+    queries: DataFrame, corpus: DataFrame, k: int, metric: str, lists: bool, query_rows: int, corpus_rows: int
 ) -> DataFrame:
-    """Exact ``k`` nearest corpus rows of each query.
+    """Candidates from every pair of a query block and a corpus block, of the same list where there are lists.
 
-    ``queries``: ``query_id, embedding``; ``corpus``: ``vec_id, embedding``, all of one width. A query
-    set within ``broadcast_cells`` numbers is sent to every task. A larger one is cut into blocks on
-    both sides and matched block by block, without passing through the driver.
+    Blocks are counted per list, so a list of any size is as many blocks as it needs and no more.
     """
-    held = _bounded_queries(queries, broadcast_cells)
-    if held is None:
-        return _finish(_nearest_by_blocks(queries, corpus, k, metric, broadcast_cells), k, metric)
-    query_ids, matrix = held
-    shared = corpus.sparkSession.sparkContext.broadcast(matrix)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaders = _Leaders(len(query_ids), k)
-        for batch in batches:
-            if batch.num_rows:
-                ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-                for query, scores in enumerate(_scores(shared.value, _matrix(batch.column("embedding")), metric)):
-                    leaders.offer(query, ids, scores)
-        yield leaders.table(query_ids, pa.int64())
-
-    return _finish(corpus.select("vec_id", "embedding").mapInArrow(run, _PAIRS), k, metric)
-
-
-def _nearest_by_blocks(queries, corpus, k, metric, cells, within=(), rows_per_block=50_000):
-    """Candidates from every pair of a query block and a corpus block that agree on ``within``.
+    within = ["list_id"] if lists else []
+    counts = {"_qn": _block_count(queries, query_rows), "_cn": _block_count(corpus, corpus_rows)}
+
+    def blocks(df: DataFrame, key: str) -> DataFrame:
+        if not lists:
+            both = {n: d.agg(c).scalar() for (n, c), d in zip(counts.items(), (queries, corpus))}
+            return df.select(key, "embedding").withColumns(both)
+        # a row per list, of which there are as many as centroids held by the driver
+        sizes = queries.groupBy("list_id").agg(counts["_qn"].alias("_qn")).join(
+            corpus.groupBy("list_id").agg(counts["_cn"].alias("_cn")), "list_id"
+        )
+        return df.select(key, "embedding", "list_id").join(F.broadcast(sizes), "list_id")
 
-    Both sides meet in groups of bounded size; a block pair gives ``k`` rows per query, never its pairs.
-    """
-    width = queries.select(F.size("embedding").alias("d")).first().d
-    query_blocks = math.ceil(queries.count() * width / cells)
-    corpus_blocks = max(1, math.ceil(corpus.count() / rows_per_block))
-
-    def spread(df, key, own, own_blocks, other, other_blocks):
-        return df.select(
-            key, "embedding", *within,
-            F.pmod(F.xxhash64(key), F.lit(own_blocks)).alias(own),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_blocks - 1).cast("long"))).alias(other),
+    def dealt(df: DataFrame, key: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        return blocks(df, key).select(
+            key, "embedding", *within, F.pmod(F.xxhash64(key), F.col(n_own)).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1)).alias(other),
         )
 
-    left = spread(queries, "query_id", "qb", query_blocks, "cb", corpus_blocks)
-    right = spread(corpus, "vec_id", "cb", corpus_blocks, "qb", query_blocks)
+    left = dealt(queries, "query_id", "_qb", "_qn", "_cb", "_cn")
+    right = dealt(corpus, "vec_id", "_cb", "_cn", "_qb", "_qn")
 
     def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
         leaders = _Leaders(asked.num_rows, k)
         if asked.num_rows and stored.num_rows:
-            ids = stored.column("vec_id").to_numpy()
-            for query, vector in enumerate(_matrix(asked.column("embedding"))):
-                leaders.offer(query, ids, _scores(vector[None, :], _matrix(stored.column("embedding")), metric)[0])
+            ids, vectors = stored.column("vec_id").to_numpy(), _matrix(stored.column("embedding"))
+            held, matrix = _prepared(vectors, metric), _prepared(_matrix(asked.column("embedding")), metric)
+            tile = max(1, TILE_CELLS // len(ids))
+            for start in range(0, asked.num_rows, tile):
+                for query, scores in enumerate(_scores(matrix[start : start + tile], held, metric), start):
+                    leaders.offer(query, ids, scores)
         return pa.Table.from_batches([leaders.table(asked.column("query_id").to_pylist(), pa.int64())])
 
-    keys = [*within, "qb", "cb"]
+    keys = [*within, "_qb", "_cb"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _PAIRS)
 
 
+def nearest(
+    queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
+    query_rows: int = QUERY_ROWS, corpus_rows: int = CORPUS_ROWS,
+) -> DataFrame:
+    """Exact ``k`` nearest corpus rows of each query.
+
+    ``queries``: ``query_id, embedding``; ``corpus``: ``vec_id, embedding``, all of one width.
+    """
+    return _finish(_nearest_by_blocks(queries, corpus, k, metric, False, query_rows, corpus_rows), k, metric)
+
+
 # ---- inverted lists -------------------------------------------------------------------------
 
 
-def train_lists(corpus: DataFrame, lists: int = 100, sample_rows: int = 100_000, seed: int = 42) -> np.ndarray:
-    """Centroids of the coarse quantiser. Only training looks at a sample; every row is indexed later."""
+def train_lists(corpus: DataFrame, lists: int = 100, seed: int = 42, rounds: int = 10) -> np.ndarray:
+    """Centroids of the coarse quantiser, fitted on all rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    total = corpus.count()
-    share = min(1.0, sample_rows / max(1, total))
     training = corpus.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    if share < 1.0:
-        training = training.sample(share, seed)
-    model = KMeans(k=min(lists, total), seed=seed, maxIter=10).fit(training)
+    model = KMeans(k=lists, seed=seed, maxIter=rounds).fit(training)
     return np.array(model.clusterCenters())
 
 
@@ -301,40 +292,17 @@ def _probes(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame
 
 
 def nearest_in_lists(
-    queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int, nprobe: int = 10,
-    metric: str = "l2", broadcast_cells: int = MAX_BROADCAST_CELLS,
+    queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int, nprobe: int = 10, metric: str = "l2",
+    query_rows: int = QUERY_ROWS, corpus_rows: int = CORPUS_ROWS,
 ) -> DataFrame:
     """Approximate search: each query looks only into the ``nprobe`` lists nearest to it.
 
-    Rows of other lists are filtered at the scan. A list of any size is spread over the tasks that
-    read it, so an overfull list is no hot spot. With all lists probed the answer is exact.
+    Lists that no query looks into are dropped before the shuffle. With all lists probed the answer is exact.
     """
-    held = _bounded_queries(queries, broadcast_cells)
-    if held is None:
-        probes = _probes(queries, centroids, nprobe)
-        return _finish(_nearest_by_blocks(probes, indexed, k, metric, broadcast_cells, ["list_id"]), k, metric)
-    query_ids, matrix = held
-    order = np.argsort(-_scores(matrix, centroids, "l2"), axis=1, kind="stable")[:, :nprobe]
-    probing = {int(c): np.flatnonzero((order == c).any(1)) for c in np.unique(order)}
-    shared = indexed.sparkSession.sparkContext.broadcast((matrix, probing))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, probes = shared.value
-        leaders = _Leaders(len(query_ids), k)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            lists = batch.column("list_id").to_numpy(zero_copy_only=False)
-            vectors = _matrix(batch.column("embedding"))
-            for one in np.unique(lists):
-                rows, who = lists == one, probes[int(one)]
-                for query, scores in zip(who, _scores(asked[who], vectors[rows], metric)):
-                    leaders.offer(int(query), ids[rows], scores)
-        yield leaders.table(query_ids, pa.int64())
-
-    probed = indexed.where(F.col("list_id").isin(sorted(probing)))
-    return _finish(probed.select("vec_id", "embedding", "list_id").mapInArrow(run, _PAIRS), k, metric)
+    probes = _probes(queries, centroids, nprobe)
+    wanted = F.broadcast(probes.select("list_id").distinct())  # at most one row per centroid
+    probed = indexed.select("vec_id", "embedding", "list_id").join(wanted, "list_id", "left_semi")
+    return _finish(_nearest_by_blocks(probes, probed, k, metric, True, query_rows, corpus_rows), k, metric)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from logsieve.functions.vectors import cosine_similarity, l2_distance
 from logsieve.operators import vectors
 from logsieve.plans.registry import query
 from logsieve.plans.views import table, view, with_views
-from logsieve.session import spread
 
 _EMBEDDED = """
     , w AS (SELECT job_id, sequence, unnest(regexp_extract_all(lower(content), '[a-z]+')) AS word FROM turns),
@@ -21,7 +20,7 @@ _EMBEDDED = """
     SELECT job_id, sequence, CAST(dim AS INT) AS dim, round(CAST(CAST(n / norm AS FLOAT) AS DOUBLE), 5) AS value FROM l"""))
 def vector_embed(spark, sf_dir):
     """Turns embedded by the offline embedder, as their non-zero components."""
-    made = vectors.embed(spread(view(spark, sf_dir, "turns")))
+    made = vectors.embed(view(spark, sf_dir, "turns"))
     return made.select("job_id", "sequence", F.posexplode("embedding").alias("dim", "value")).where("value <> 0").select(
         "job_id", "sequence", "dim", F.round(F.col("value").cast("double"), 5).alias("value")
     )
@@ -80,8 +79,8 @@ def vector_top_k_l2(spark, sf_dir):
 
 @query("vector_top_k_blocks", "O-VEC-03", _top_sql("list_cosine_similarity(qe, e)", "DESC"))
 def vector_top_k_blocks(spark, sf_dir):
-    """The way taken when the query set is too large to broadcast."""
-    return _shown(vectors.nearest(_queries(spark, sf_dir), _corpus(spark, sf_dir), 10, broadcast_cells=256))
+    """Blocks so small that every query meets many of them."""
+    return _shown(vectors.nearest(_queries(spark, sf_dir), _corpus(spark, sf_dir), 10, query_rows=4, corpus_rows=200))
 
 
 @query("vector_lists_all_probed", "O-VEC-04", _top_sql("list_distance(qe, e)", "ASC"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +30,9 @@ def build_session(app_name: str = "logsieve", master: str | None = None, **conf:
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the shared checkpoint folder the cluster names.
+    """A new folder under the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Executors have to reach it, so ``spark.checkpoint.dir`` is used where it is set. Only a session
-    without one (tests, local mode) falls back to a folder of this machine.
+    Executors have to reach it. Only a local session may do without the setting, and then takes Spark's warehouse.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -42,20 +40,12 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         if current.isDefined():
             root = current.get()
     if not root:
-        root = tempfile.mkdtemp(prefix="logsieve-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores when its scan gives fewer partitions than there are (one big row group).
-
-    Large inputs have more splits than the cluster has cores and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back: cuts lineage and survives executor loss."""
     path = scratch_dir(df.sparkSession, purpose)

@@ -205,8 +205,6 @@ def test_inference_falls_back_and_never_loses_a_job(spark):
     assert got["a"].answered_by == "p2" and got["a"].summary == "fine" and got["b"].answered_by == "p2"
     none = inference.assistant_turns(inference.run_inference(calls, [], flaky)).collect()
     assert len(none) == 2 and all(r.content.startswith("LLM analysis failed: ") for r in none)
-    health = spark.createDataFrame([("x", 2, True), ("y", 1, True), ("z", 0, False)], "provider string, rank int, healthy boolean")
-    assert inference.healthy_providers(health) == ["y", "x"]
 
 
 def test_quality(spark):

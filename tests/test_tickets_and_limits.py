@@ -166,14 +166,14 @@ def test_search_ways_agree(spark):
         return {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 6)) for r in df.collect()}
 
     for metric in ("cosine", "l2"):
-        assert answer(vectors.nearest(asked, corpus, 7, metric)) == answer(vectors.nearest(asked, corpus, 7, metric, broadcast_cells=32))
+        assert answer(vectors.nearest(asked, corpus, 7, metric)) == answer(vectors.nearest(asked, corpus, 7, metric, query_rows=3, corpus_rows=16))
     centroids = vectors.train_lists(corpus, 10)
     indexed = vectors.assign_lists(corpus, centroids)
     exact = vectors.nearest(asked, corpus, 7, "l2")
     assert answer(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=10)) == answer(exact)
-    assert answer(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=10, broadcast_cells=32)) == answer(exact)
+    assert answer(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=10, query_rows=3, corpus_rows=16)) == answer(exact)
     few = vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=3)
-    assert answer(few) == answer(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=3, broadcast_cells=32))
+    assert answer(few) == answer(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=3, query_rows=3, corpus_rows=16))
     some = vectors.recall(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=4), exact)
     assert some.agg(F.avg("recall")).first()[0] > 0.5
 

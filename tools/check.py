@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 from importlib import import_module
 
@@ -39,7 +40,8 @@ def main() -> None:
         except ModuleNotFoundError as missing:
             print("skipped", missing)
     spark = build_session(
-        master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g"
+        master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="check-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     duck = duckdb.connect()
