@@ -168,20 +168,32 @@ def child_counts(jobs: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
 def job_context(jobs: DataFrame) -> DataFrame:
     """The outcome document of each job from its JSON columns ``outputs`` and ``result_data``.
 
-    Adds ``context`` (a JSON string, ``{}`` when nothing is there) and keeps ``job_id, user_id``.
+    Adds ``context``, a JSON object: the document, or an empty one, with an entry ``job`` of the job's id and owner
+    unless it has one.
     """
 
     def filled(document: Column) -> Column:
         return F.when(~F.coalesce(document, F.lit("null")).isin("", "{}", "null", "[]"), document)
 
     nested = F.get_json_object("result_data", "$.outputs")
-    return jobs.withColumn("context", F.coalesce(
+    document = F.coalesce(
         filled(F.get_json_object("outputs", "$.json")),
         filled(F.col("outputs")),
         filled(F.get_json_object(nested, "$.json")),
         filled(nested),
         F.lit("{}"),
-    ))
+    )
+    entry = F.to_json(
+        F.struct(F.col("job_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user_id")),
+        {"ignoreNullFields": "false"},
+    )
+    found = F.col("_document")
+    opened = F.regexp_replace(found, "\\s*\\}\\s*$", "")
+    comma = F.when(F.trim(opened) == "{", "").otherwise(",")
+    whole = F.when(F.get_json_object(found, "$.job").isNotNull(), found).otherwise(
+        F.concat(opened, comma, F.lit('"job":'), entry, F.lit("}"))
+    )
+    return jobs.withColumn("_document", document).withColumn("context", whole).drop("_document")
 
 
 def job_summaries(jobs: DataFrame) -> DataFrame:
@@ -221,19 +233,28 @@ def accessible(rows: DataFrame, requests: DataFrame, users: DataFrame) -> DataFr
 
 
 def create_jobs(requests: DataFrame) -> DataFrame:
-    """Job rows from requests with defaults filled in; ``reject_reason`` for those not acceptable."""
+    """Job rows from requests with defaults filled in; ``reject_reason`` for those not acceptable.
+
+    ``input_manifest``, ``model_config``, ``ticketing`` and ``source`` are JSON; columns that the requests lack are unset.
+    """
     # What an unset field becomes.
-    defaults = {"user_id": "anonymous", "provider": "ollama", "model": "llama2", "input_manifest": "{}"}
+    defaults = {
+        "user_id": "anonymous", "provider": "ollama", "model": "llama2", "input_manifest": "{}", "model_config": "{}",
+        "ticketing": "{}", "source": None,
+    }
+    max_retries = 3
     # End of fixed values.
-    filled = requests.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+    given = lambda c: F.col(c) if c in requests.columns else F.lit(None).cast("string")
+    filled = requests.withColumns({c: F.coalesce(given(c), F.lit(v).cast("string")) for c, v in defaults.items()})
     priority = F.coalesce("priority", F.lit(0))
     return filled.withColumns({
         "priority": priority,
         "status": F.lit("pending"),
         "retry_count": F.lit(0),
+        "max_retries": F.lit(max_retries),
         "reject_reason": F.when(F.col("job_type").isNull(), "job_type is required").when(
             ~priority.between(0, 10), "priority must be between 0 and 10"
-        ),
+        ).when(F.try_parse_json("input_manifest").isNull(), "input_manifest must be JSON"),
     })
 
 
@@ -241,7 +262,8 @@ def created_events(jobs: DataFrame) -> DataFrame:
     """The event that marks each accepted job."""
     return jobs.where(F.col("reject_reason").isNull()).select(
         "job_id", F.lit("created").alias("event_type"),
-        F.to_json(F.struct("input_manifest")).alias("data"), "created_at",
+        # JSON inside JSON, not a string of it
+        F.concat(F.lit('{"input_manifest":'), "input_manifest", F.lit("}")).alias("data"), "created_at",
     )
 
 

@@ -95,6 +95,13 @@ def watch_status(events: DataFrame, config: WatchConfig = WatchConfig()) -> Data
     })
 
 
+def _ends(event_type: Column, data: Column) -> Column:
+    """Whether an event ends its job, by its type or by the status in its data."""
+    return event_type.isin(TERMINAL_STATUSES) | F.coalesce(
+        F.get_json_object(data, "$.status").isin(TERMINAL_STATUSES), F.lit(False)
+    )
+
+
 def job_feed(events: DataFrame, connected_at, history: int = 50) -> DataFrame:
     """What a listener that joins at ``connected_at`` gets: ``phase`` history or live.
 
@@ -107,21 +114,30 @@ def job_feed(events: DataFrame, connected_at, history: int = 50) -> DataFrame:
     ).drop("_rank").withColumn("phase", F.lit("history"))
     live = events.where(~before)
     at = F.struct("created_at", "event_id")
-    ends = live.where(F.col("event_type").isin(TERMINAL_STATUSES)).groupBy("job_id").agg(F.min(at).alias("_end"))
+    ends = live.where(_ends(F.col("event_type"), F.col("data"))).groupBy("job_id").agg(F.min(at).alias("_end"))
     heard = live.join(ends, "job_id", "left").where(F.col("_end").isNull() | (at <= F.col("_end"))).drop("_end")
     return past.unionByName(heard.withColumn("phase", F.lit("live")))
 
 
 def heartbeats(events: DataFrame, bucket: Column, idle_seconds: int = 15) -> DataFrame:
-    """A heartbeat for every full ``idle_seconds`` without events between two events of a job."""
-    with_next = following(events, ["job_id"], ["created_at", "event_id"], bucket, F.col("created_at"), "_next")
+    """``job_id, kind, first_at, last_at, beats``: the idle times of each job up to its end, and its completion.
+
+    A ``heartbeat`` row stands for the ``beats`` signals, every ``idle_seconds``, between two events without any other,
+    so rows follow the events and not the time that passes. A job that has ended gets one ``complete`` row.
+    """
+    at = F.struct("created_at", "event_id")
+    ended = events.where(_ends(F.col("event_type"), F.col("data"))).groupBy("job_id").agg(F.min(at).alias("_end"))
+    lived = events.join(ended, "job_id", "left").where(F.col("_end").isNull() | (at <= F.col("_end"))).drop("_end")
+    with_next = following(lived, ["job_id"], ["created_at", "event_id"], bucket, F.col("created_at"), "_next")
     gap = F.timestamp_diff("MICROSECOND", F.col("created_at"), F.col("_next"))
     beats = F.floor((gap - 1) / (idle_seconds * 1_000_000))
-    return (
-        with_next.where(beats >= 1)
-        .select("job_id", "created_at", F.explode(F.sequence(F.lit(1).cast("long"), beats)).alias("_beat"))
-        .select(
-            "job_id",
-            (F.col("created_at") + F.col("_beat") * F.make_dt_interval(secs=F.lit(idle_seconds))).alias("beat_at"),
-        )
+    after = lambda n: F.col("created_at") + n * F.make_dt_interval(secs=F.lit(idle_seconds))
+    idle = with_next.withColumn("beats", beats).where("beats >= 1").select(
+        "job_id", F.lit("heartbeat").alias("kind"), after(F.lit(1)).alias("first_at"),
+        after(F.col("beats")).alias("last_at"), "beats",
+    )
+    done = ended.select(
+        "job_id", F.lit("complete").alias("kind"), F.col("_end.created_at").alias("first_at"),
+        F.col("_end.created_at").alias("last_at"), F.lit(1).cast("long").alias("beats"),
     )
+    return idle.unionByName(done)

@@ -177,9 +177,10 @@ def _documented(spark, sf_dir):
 
 
 @query("jobs_context", "O-JOB-11", with_views("jobs", """
-    SELECT job_id, user_id, CASE job_id % 5 WHEN 0 THEN '{"severity":"high","n":' || job_id || '}'
-           WHEN 1 THEN '{"severity":"low","n":' || job_id || '}' WHEN 2 THEN '{"severity":"critical","n":' || job_id || '}'
-           WHEN 3 THEN '{"severity":"moderate","n":' || job_id || '}' ELSE '{}' END AS context FROM jobs"""))
+    SELECT job_id, user_id, '{' || CASE job_id % 5 WHEN 0 THEN '"severity":"high","n":' || job_id || ','
+           WHEN 1 THEN '"severity":"low","n":' || job_id || ',' WHEN 2 THEN '"severity":"critical","n":' || job_id || ','
+           WHEN 3 THEN '"severity":"moderate","n":' || job_id || ',' ELSE '' END
+           || '"job":{"id":"' || job_id || '","user_id":"' || user_id || '"}}' AS context FROM jobs"""))
 def jobs_context(spark, sf_dir):
     return jobs.job_context(_documented(spark, sf_dir)).select("job_id", "user_id", "context")
 
@@ -214,22 +215,32 @@ def jobs_access(spark, sf_dir):
            'ollama' AS provider, CASE WHEN o_custkey % 2 = 0 THEN 'llama2' ELSE 'large' END AS model,
            CAST(o_orderkey % 13 AS INT) AS priority, 'pending' AS status,
            CASE WHEN o_orderkey % 7 = 0 THEN 'job_type is required'
-                WHEN o_orderkey % 13 > 10 THEN 'priority must be between 0 and 10' END AS reject_reason,
-           CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 13 <= 10 THEN '{"input_manifest":"{}"}' END AS event
+                WHEN o_orderkey % 13 > 10 THEN 'priority must be between 0 and 10'
+                WHEN o_orderkey % 11 = 0 THEN 'input_manifest must be JSON' END AS reject_reason,
+           '{}' AS model_config, CASE WHEN o_orderkey % 5 = 0 THEN '{"platforms":["jira"]}' ELSE '{}' END AS ticketing,
+           CASE WHEN o_orderkey % 3 = 0 THEN '{"type":"watcher"}' END AS source, 3 AS max_retries, 0 AS retry_count,
+           CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 13 <= 10 AND o_orderkey % 11 <> 0 THEN '{"input_manifest":'
+                || CASE WHEN o_custkey % 2 = 0 THEN '{"files":["f' || o_custkey || '"]}' ELSE '{}' END || '}' END AS event
     FROM orders""")
 def jobs_create(spark, sf_dir):
     asked = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("created_at"),
         F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey").cast("string")).alias("user_id"),
         F.when(F.col("o_orderkey") % 7 != 0, "rca_analysis").alias("job_type"),
-        F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("input_manifest"),
+        F.lit(None).cast("string").alias("provider"),
+        F.when(F.col("o_orderkey") % 11 == 0, "{no json").when(
+            F.col("o_custkey") % 2 == 0, F.concat(F.lit('{"files":["f'), "o_custkey", F.lit('"]}'))
+        ).alias("input_manifest"),
+        F.when(F.col("o_orderkey") % 5 == 0, '{"platforms":["jira"]}').alias("ticketing"),
+        F.when(F.col("o_orderkey") % 3 == 0, '{"type":"watcher"}').alias("source"),
         F.when(F.col("o_custkey") % 2 != 0, "large").alias("model"),
         (F.col("o_orderkey") % 13).cast("int").alias("priority"),
     )
     made = jobs.create_jobs(asked)
     events = jobs.created_events(made).select("job_id", F.col("data").alias("event"))
     return made.join(events, "job_id", "left").select(
-        "job_id", "user_id", "provider", "model", "priority", "status", "reject_reason", "event"
+        "job_id", "user_id", "provider", "model", "priority", "status", "reject_reason", "event", "model_config",
+        "ticketing", "source", "max_retries", "retry_count",
     )
 
 

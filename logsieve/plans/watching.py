@@ -84,38 +84,38 @@ def watch_status(spark, sf_dir):
     )
 
 
-_FEED = """
+# every 97th event says in its data that the job has ended
+_SAID = "CASE WHEN event_id % 97 = 0 THEN '{\"status\":\"cancelled\"}' ELSE data END"
+_OVER = "(event_type IN ('completed', 'failed', 'cancelled') OR event_id % 97 = 0)"
+_FEED = f"""
     , h AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY created_at DESC, event_id DESC) AS back
             FROM job_events WHERE created_at <= TIMESTAMP '2024-01-16 00:00:00'),
-      l AS (SELECT *, min(CASE WHEN event_type IN ('completed', 'failed', 'cancelled') THEN (created_at, event_id) END)
+      l AS (SELECT *, min(CASE WHEN {_OVER} THEN (created_at, event_id) END)
               OVER (PARTITION BY job_id) AS ends FROM job_events WHERE created_at > TIMESTAMP '2024-01-16 00:00:00')"""
 
 
 @query("feed_job_events", "O-STR-01", with_views("job_events", f"""{_FEED}
-    SELECT job_id, event_id, event_type, 'history' AS phase FROM h WHERE back <= 50
-    UNION ALL SELECT job_id, event_id, event_type, 'live' FROM l WHERE ends IS NULL OR (created_at, event_id) <= ends"""))
+    SELECT job_id, event_id, event_type, {_SAID} AS data, 'history' AS phase FROM h WHERE back <= 50
+    UNION ALL SELECT job_id, event_id, event_type, {_SAID}, 'live' FROM l WHERE ends IS NULL OR (created_at, event_id) <= ends"""))
 def feed_job_events(spark, sf_dir):
     joined = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
-    return watching.job_feed(view(spark, sf_dir, "job_events"), joined).select(
-        "job_id", "event_id", "event_type", "phase"
-    )
-
-
-@query("feed_heartbeats", "O-STR-02", """
-    WITH g AS (SELECT user_id % 10 AS job_id, ts, lead(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS nxt FROM events),
-         b AS (SELECT job_id, unnest(generate_series(1, (epoch_us(nxt - ts) - 1) // 15000000)) AS beat, ts FROM g
-               WHERE (epoch_us(nxt - ts) - 1) // 15000000 >= 1)
-    SELECT job_id, strftime(ts + to_seconds(beat * 15), '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS beats
-    FROM b GROUP BY ALL""")
+    events = view(spark, sf_dir, "job_events").withColumn("data", F.expr(_SAID))
+    return watching.job_feed(events, joined).select("job_id", "event_id", "event_type", "data", "phase")
+
+
+@query("feed_heartbeats", "O-STR-02", with_views("job_events", f"""
+    , o AS (SELECT *, min(CASE WHEN {_OVER} THEN (created_at, event_id) END) OVER (PARTITION BY job_id) AS ends FROM job_events),
+      k AS (SELECT * FROM o WHERE ends IS NULL OR (created_at, event_id) <= ends),
+      g AS (SELECT job_id, created_at, lead(created_at) OVER (PARTITION BY job_id ORDER BY created_at, event_id) AS nxt FROM k),
+      b AS (SELECT *, (epoch_us(nxt) - epoch_us(created_at) - 1) // 15000000 AS beats FROM g)
+    SELECT job_id, 'heartbeat' AS kind, CAST(created_at + to_seconds(15) AS VARCHAR)[1:19] AS first_at,
+           CAST(created_at + to_seconds(15 * beats) AS VARCHAR)[1:19] AS last_at, CAST(beats AS BIGINT) AS beats FROM b WHERE beats >= 1
+    UNION ALL SELECT DISTINCT job_id, 'complete', CAST(ends[1] AS VARCHAR)[1:19], CAST(ends[1] AS VARCHAR)[1:19], 1 FROM o
+    WHERE ends IS NOT NULL"""))
 def feed_heartbeats(spark, sf_dir):
-    """Heartbeats of ten feeds, counted per day."""
-    events = table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 10).alias("job_id"), "event_id", F.col("ts").alias("created_at")
-    )
-    beats = watching.heartbeats(events, time_bucket("created_at"))
-    return beats.groupBy("job_id", F.date_format("beat_at", "yyyy-MM-dd").alias("day")).agg(
-        F.count(F.lit(1)).alias("beats")
-    )
+    events = view(spark, sf_dir, "job_events").withColumn("data", F.expr(_SAID))
+    told = watching.heartbeats(events, time_bucket("created_at"))
+    return told.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_at", "last_at")})
 
 
 _MAIN, _BURST = RateLimit(3, 14400), RateLimit(2, 3600)
