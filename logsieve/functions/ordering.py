@@ -52,6 +52,23 @@ def running_sum(
     )
 
 
+def running_max(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str) -> DataFrame:
+    """Largest ``value`` over the rows of the key up to and including this one; nulls are passed over."""
+    tagged = df.withColumn(_BUCKET, bucket).withColumn("_value", value)
+    largest = tagged.groupBy(*keys, _BUCKET).agg(F.max("_value").alias("_largest"))
+    earlier = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = largest.select(*keys, _BUCKET, F.max("_largest").over(earlier).alias("_carried"))
+    inside = (
+        Window.partitionBy(*keys, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        tagged.withColumn(name, F.max("_value").over(inside))
+        .join(carried, [*keys, _BUCKET])
+        .withColumn(name, F.greatest(name, "_carried"))
+        .drop(_BUCKET, "_value", "_carried")
+    )
+
+
 def previous(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str) -> DataFrame:
     """``value`` of the row before this one in its key, null on the first."""
     return _neighbour(df, keys, order, bucket, value, name, backward=True)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
+from logsieve.functions.ordering import previous, running_max
 from logsieve.functions.text import let
-from logsieve.session import materialise
 from logsieve.settings import HISTOGRAM_BOUNDS
 
 STEP_SECONDS = 30
@@ -102,92 +101,86 @@ def latency_by_endpoint(requests: DataFrame, accuracy: int = 10_000) -> DataFram
 # ---- alert rules ----------------------------------------------------------------------------
 
 
-def step_counts(events: DataFrame, ts: str, flags: dict[str, Column], step: int = STEP_SECONDS) -> DataFrame:
-    """Events per evaluation step: ``tick`` is the end of the step in epoch seconds.
+def step_counts(
+    events: DataFrame, ts: str, flags: dict[str, Column], labels: list[str] = [], step: int = STEP_SECONDS
+) -> DataFrame:
+    """Events per label set and evaluation step: ``tick`` is the end of the step in epoch seconds.
 
-    Everything after this works on one row per step, whatever the number of events.
+    Everything after this works on one row per series and step, whatever the number of events. A null label is empty.
     """
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
-    return events.groupBy(((F.floor(seconds / step) + 1) * step).alias("tick")).agg(
-        *[F.count_if(flag).alias(name) for name, flag in flags.items()]
-    )
+    series = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in labels]
+    counts = [F.count_if(flag).alias(name) for name, flag in flags.items()]
+    return events.groupBy(*series, ((F.floor(seconds / step) + 1) * step).alias("tick")).agg(*counts)
 
 
-def evaluation_grid(steps: DataFrame, columns: list[str], window: int, hold: int, step: int = STEP_SECONDS) -> DataFrame:
-    """All evaluations from the first step to ``window + hold`` past the last; empty steps count 0.
-
-    Without the empty ones, an evaluation nobody made would look like a condition that held. The
-    steps are written once, so the events are read once.
-    """
-    steps = materialise(steps, "steps")
-    ends = steps.agg(F.min("tick").alias("_from"), (F.max("tick") + window + hold).alias("_to"))
-    grid = ends.select(F.explode(F.sequence("_from", "_to", F.lit(step).cast("long"))).alias("tick"))
-    return grid.join(steps, "tick", "left").na.fill(0, columns)
+def _from_here(span: int, step: int) -> Column:
+    """The evaluations from this one on that ``span`` seconds reach."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(span // step - 1)), lambda i: F.col("tick") + i * step))
 
 
-# One row per evaluation, about a million a year whatever the number of events: small enough to be
-# walked in order by one task.
-def _in_order() -> WindowSpec:
-    return Window.partitionBy(F.lit(0)).orderBy("tick")
+def rolling(steps: DataFrame, columns: list[str], window: int, labels: list[str] = [], step: int = STEP_SECONDS) -> DataFrame:
+    """Sum of each column over the window that ends at each evaluation with anything in its window.
 
-
-def rolling(grid: DataFrame, columns: list[str], window: int, step: int = STEP_SECONDS) -> DataFrame:
-    """Sum of each column over the steps of the window that ends at each evaluation."""
-    span = _in_order().rowsBetween(1 - window // step, Window.currentRow)
-    return grid.withColumns({c: F.sum(c).over(span) for c in columns})
+    A step is added to the evaluations that see it, a fixed number, so neither time without events nor a stray
+    timestamp costs rows and no series has to be walked in order.
+    """
+    seen = steps.select(*labels, *columns, _from_here(window, step).alias("tick"))
+    return seen.groupBy(*labels, "tick").agg(*[F.sum(c).alias(c) for c in columns])
 
 
-def held(evaluations: DataFrame, condition: Column, hold: int, step: int = STEP_SECONDS) -> DataFrame:
+def held(evaluations: DataFrame, condition: Column, hold: int, labels: list[str] = [], step: int = STEP_SECONDS) -> DataFrame:
     """Adds ``pending_since`` and ``firing``: the condition was true at every evaluation of the hold.
 
-    A run of true evaluations begins one step after the last that failed, or with the first of all.
+    An evaluation that is not there is one with an empty window, whose condition is false. Runs of true evaluations
+    are found day by day, so a series of any length is many tasks.
     """
-    so_far = _in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     judged = evaluations.withColumn("_ok", F.coalesce(condition, F.lit(False)))
-    last_failed = F.max(F.when(~F.col("_ok"), F.col("tick"))).over(so_far)
-    began = F.coalesce(last_failed + step, F.min("tick").over(so_far))
+    day = F.floor(F.col("tick") / 86_400)
+    true = previous(judged.where("_ok").select(*labels, "tick"), labels, ["tick"], day, F.col("tick"), "_before")
+    began = F.when(F.col("_before").isNull() | (F.col("tick") - F.col("_before") > step), F.col("tick"))
+    runs = running_max(true, labels, ["tick"], day, began, "pending_since").select(*labels, "tick", "pending_since")
     return (
-        judged.withColumn("pending_since", F.when(F.col("_ok"), began))
+        judged.join(runs, [*labels, "tick"], "left")
         .withColumn("firing", F.col("_ok") & (F.col("tick") - F.col("pending_since") >= hold))
         .drop("_ok")
     )
 
 
 def rate_alert(
-    events: DataFrame, ts: str, failing: Column, threshold: float, window: int = 300, hold: int = 300
+    events: DataFrame, ts: str, failing: Column, threshold: float, window: int = 300, hold: int = 300, labels: list[str] = []
 ) -> DataFrame:
-    """Failures per second over ``window`` above ``threshold`` for ``hold`` seconds."""
-    steps = step_counts(events, ts, {"hits": failing})
-    rated = rolling(evaluation_grid(steps, ["hits"], window, hold), ["hits"], window).withColumn(
-        "rate", F.col("hits") / window
-    )
-    return held(rated, F.col("rate") > threshold, hold)
+    """Failures per second over ``window`` above ``threshold`` for ``hold`` seconds, for each label set by itself."""
+    steps = step_counts(events, ts, {"hits": failing}, labels).where("hits > 0")
+    rated = rolling(steps, ["hits"], window, labels).withColumn("rate", F.col("hits") / window)
+    return held(rated, F.col("rate") > threshold, hold, labels)
 
 
 def stalled_alert(
-    events: DataFrame, ts: str, detected: Column, ingested: Column, window: int = 600, hold: int = 600
+    events: DataFrame, ts: str, detected: Column, ingested: Column, window: int = 600, hold: int = 600, labels: list[str] = []
 ) -> DataFrame:
     """Files detected but none ingested in the window, for as long as the hold."""
     columns = ["detected", "ingested"]
-    steps = step_counts(events, ts, {"detected": detected, "ingested": ingested})
-    summed = rolling(evaluation_grid(steps, columns, window, hold), columns, window)
-    return held(summed, (F.col("detected") > 0) & (F.col("ingested") == 0), hold)
+    steps = step_counts(events, ts, {"detected": detected, "ingested": ingested}, labels)
+    summed = rolling(steps, columns, window, labels)
+    return held(summed, (F.col("detected") > 0) & (F.col("ingested") == 0), hold, labels)
 
 
 def latency_alert(
     requests: DataFrame, ts: str, seconds: str, threshold: float = 2.0, q: float = 0.95,
-    window: int = 300, hold: int = 300, bounds: list[float] = HISTOGRAM_BOUNDS,
+    window: int = 300, hold: int = 300, bounds: list[float] = HISTOGRAM_BOUNDS, labels: list[str] = [],
 ) -> DataFrame:
     """Quantile of the latency over the window above ``threshold`` seconds, from bucket counts."""
     names = [f"b{i}" for i in range(len(bounds))] + ["b_inf"]
     flags = {n: F.col(seconds) <= b for n, b in zip(names, bounds)}
     flags["b_inf"] = F.col(seconds).isNotNull()
-    summed = rolling(evaluation_grid(step_counts(requests, ts, flags), names, window, hold), names, window)
+    summed = rolling(step_counts(requests, ts, flags, labels), names, window, labels)
     rows = F.array(*[
         F.struct(F.lit(float(b)).alias("bound"), F.col(n).alias("bucket"))
         for n, b in zip(names, [*bounds, float("inf")])
     ])
-    return held(summed.select("tick", quantile(rows, q).alias("quantile")), F.col("quantile") > threshold, hold)
+    judged = summed.select(*labels, "tick", quantile(rows, q).alias("quantile"))
+    return held(judged, F.col("quantile") > threshold, hold, labels)
 
 
 def gauge_alerts(samples: DataFrame) -> DataFrame:

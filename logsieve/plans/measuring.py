@@ -46,52 +46,77 @@ def metric_queue(spark, sf_dir):
     return metrics.queue_gauges(view(spark, sf_dir, "jobs"))
 
 
-def _grid_sql(columns: dict[str, str], window: int, hold: int, source: str) -> str:
-    """Rolling sums on the 30 second grid, straight from a range over the grid."""
+def _grid_sql(columns: dict[str, str], window: int, hold: int, source: str, series: str = "''") -> str:
+    """Rolling sums of each series on the 30 second grid, straight from a range over the grid."""
     steps = ", ".join(f"count(*) FILTER ({flag}) AS {name}" for name, flag in columns.items())
     filled = ", ".join(f"coalesce({name}, 0) AS {name}" for name in columns)
     rolled = ", ".join(
-        f"sum({name}) OVER (ORDER BY g.tick ROWS BETWEEN {window // 30 - 1} PRECEDING AND CURRENT ROW) AS {name}" for name in columns
+        f"sum({name}) OVER (PARTITION BY series ORDER BY g.tick ROWS BETWEEN {window // 30 - 1} PRECEDING AND CURRENT ROW) AS {name}"
+        for name in columns
     )
     return f"""
-    , st AS (SELECT (epoch_us(ts) // 30000000 + 1) * 30 AS tick, {steps} FROM {source} GROUP BY 1),
-      gr AS (SELECT unnest(generate_series((SELECT min(tick) FROM st), (SELECT max(tick) FROM st) + {window + hold}, 30)) AS tick),
-      g AS (SELECT gr.tick, {filled} FROM gr LEFT JOIN st USING (tick)),
-      ev AS (SELECT g.tick, {rolled} FROM g)"""
+    , st AS (SELECT {series} AS series, (epoch_us(ts) // 30000000 + 1) * 30 AS tick, {steps} FROM {source} GROUP BY ALL),
+      gr AS (SELECT series, unnest(generate_series(min(tick), max(tick) + {window + hold}, 30)) AS tick FROM st GROUP BY series),
+      g AS (SELECT gr.series, gr.tick, {filled} FROM gr LEFT JOIN st USING (series, tick)),
+      ev AS (SELECT g.series, g.tick, {rolled} FROM g)"""
 
 
 def _held_sql(condition: str, hold: int) -> str:
     """True at every evaluation of the hold: islands of consecutive true evaluations."""
     return f"""
       ok AS (SELECT *, coalesce({condition}, false) AS ok FROM ev),
-      isl AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (ORDER BY tick) AS island FROM ok),
-      held AS (SELECT *, CASE WHEN ok THEN min(tick) FILTER (ok) OVER (PARTITION BY island) END AS pending_since FROM isl),
-      fired AS (SELECT *, ok AND tick - pending_since >= {hold} AS firing FROM held)"""
+      isl AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY tick) AS island FROM ok),
+      held AS (SELECT *, CASE WHEN ok THEN min(tick) FILTER (ok) OVER (PARTITION BY series, island) END AS pending_since FROM isl),
+      fired AS (SELECT *, ok AND coalesce(tick - pending_since >= {hold}, false) AS firing FROM held)"""
 
 
-@query("alert_failure_rate", "O-MET-04", with_views("job_events", f"""
-    {_grid_sql({"hits": "event_type = 'failed'"}, 300, 120, "(SELECT created_at AS ts, event_type FROM job_events)")},
-    {_held_sql("hits / 300 > 0.005", 120)}
-    SELECT tick, CAST(hits AS BIGINT) AS hits, round(hits / 300, 6) AS rate, pending_since, firing FROM fired"""))
-def alert_failure_rate(spark, sf_dir):
-    """Failure rate at every evaluation, firing after two minutes over a threshold the data reaches."""
-    judged = metrics.rate_alert(
-        view(spark, sf_dir, "job_events"), "created_at", F.col("event_type") == "failed", 0.005, 300, 120
-    )
+def _rate_sql(source: str, failing: str, threshold: float, hold: int, series: str) -> str:
+    return f"""
+    {_grid_sql({"hits": failing}, 300, hold, source, series)},
+    {_held_sql(f"hits / 300 > {threshold}", hold)}
+    SELECT series, tick, CAST(hits AS BIGINT) AS hits, round(hits / 300, 6) AS rate, pending_since, firing FROM fired WHERE hits > 0"""
+
+
+_JOB_TYPES = "CASE job_id % 3 WHEN 0 THEN 'rca_analysis' WHEN 1 THEN 'log_analysis' ELSE '' END"
+_EVENTS = "(SELECT created_at AS ts, event_type, job_id FROM job_events)"
+
+
+def _rates(spark, sf_dir, failing, threshold, hold, series):
+    """Rates of failing events per series, at thresholds that the data reaches."""
+    events = view(spark, sf_dir, "job_events").withColumn("series", F.expr(series))
+    judged = metrics.rate_alert(events, "created_at", F.expr(failing), threshold, 300, hold, ["series"])
     return judged.withColumn("rate", F.round("rate", 6))
 
 
+@query("alert_failure_rate", "O-MET-04", with_views("job_events", _rate_sql(_EVENTS, "event_type = 'failed'", 0.005, 120, _JOB_TYPES)))
+def alert_failure_rate(spark, sf_dir):
+    return _rates(spark, sf_dir, "event_type = 'failed'", 0.005, 120, _JOB_TYPES)
+
+
+@query("alert_critical_rate", "O-MET-04", with_views("job_events", _rate_sql(_EVENTS, "event_type = 'failed'", 0.006, 30, "''")))
+def alert_critical_rate(spark, sf_dir):
+    """The sharper rule: a higher rate, a shorter hold, all jobs one series."""
+    return _rates(spark, sf_dir, "event_type = 'failed'", 0.006, 30, "''")
+
+
+@query("alert_ticket_failures", "O-MET-04", with_views("job_events", _rate_sql(
+    _EVENTS, "event_type IN ('failed', 'cancelled')", 0.01, 60, "CASE job_id % 2 WHEN 0 THEN 'jira' ELSE 'servicenow' END")))
+def alert_ticket_failures(spark, sf_dir):
+    """Failed deliveries per platform; events of even jobs stand for one platform."""
+    return _rates(spark, sf_dir, "event_type IN ('failed', 'cancelled')", 0.01, 60, "CASE job_id % 2 WHEN 0 THEN 'jira' ELSE 'servicenow' END")
+
+
 @query("alert_latency", "O-MET-05", with_views("requests", f"""
     {_grid_sql({**{f"b{i}": f"seconds <= {b}" for i, b in enumerate(HISTOGRAM_BOUNDS)}, "n": "true"}, 300, 300, "requests")
         .replace("ev AS (", "e0 AS (")},
-      ev AS (SELECT tick, CASE WHEN n = 0 THEN NULL ELSE q END AS q FROM (SELECT *, CASE
+      ev AS (SELECT series, tick, n, CASE WHEN n = 0 THEN NULL ELSE q END AS q FROM (SELECT *, CASE
         {' '.join(
             f"WHEN b{i} >= 0.95 * n THEN "
             + (f"{HISTOGRAM_BOUNDS[i - 1]} + ({b} - {HISTOGRAM_BOUNDS[i - 1]}) * (0.95 * n - b{i - 1}) / nullif(b{i} - b{i - 1}, 0)"
                if i else f"{b} * (0.95 * n) / nullif(b0, 0)")
             for i, b in enumerate(HISTOGRAM_BOUNDS))} ELSE 10.0 END AS q FROM e0)),
     {_held_sql("q > 2.0", 300)}
-    SELECT tick, round(q, 6) AS quantile, pending_since, firing FROM fired"""))
+    SELECT tick, round(q, 6) AS quantile, pending_since, firing FROM fired WHERE n > 0"""))
 def alert_latency(spark, sf_dir):
     judged = metrics.latency_alert(view(spark, sf_dir, "requests"), "ts", "seconds")
     return judged.withColumn("quantile", F.round("quantile", 6))
@@ -100,7 +125,8 @@ def alert_latency(spark, sf_dir):
 @query("alert_stalled_watcher", "O-MET-06", with_views("watch_events", f"""
     {_grid_sql({"detected": "kind = 'created'", "ingested": "kind = 'modified'"}, 600, 600, "watch_events")},
     {_held_sql("detected > 0 AND ingested = 0", 600)}
-    SELECT tick, CAST(detected AS BIGINT) AS detected, CAST(ingested AS BIGINT) AS ingested, pending_since, firing FROM fired"""))
+    SELECT tick, CAST(detected AS BIGINT) AS detected, CAST(ingested AS BIGINT) AS ingested, pending_since, firing FROM fired
+    WHERE detected + ingested > 0"""))
 def alert_stalled_watcher(spark, sf_dir):
     return metrics.stalled_alert(
         view(spark, sf_dir, "watch_events"), "ts", F.col("kind") == "created", F.col("kind") == "modified"

@@ -135,6 +135,15 @@ def test_alert_needs_the_whole_hold(spark):
     assert not metrics.rate_alert(df, "ts", F.lit(True), 0.6, 300, 300).where("firing").count()
 
 
+def test_stray_timestamps_and_labels_cost_no_rows(spark):
+    rows = [(T0 + timedelta(seconds=s), "ab"[s % 2]) for s in range(0, 900)]
+    rows += [(datetime(1970, 1, 1), "a"), (datetime(9999, 12, 31), "b"), (T0, None)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, who string")
+    judged = metrics.rate_alert(df, "ts", F.lit(True), 0.4, 300, 300, ["who"]).collect()
+    assert len(judged) < 200 and {r.who for r in judged if r.firing} == {"a", "b"}
+    assert not metrics.rate_alert(df, "ts", F.lit(True), 0.6, 300, 300, ["who"]).where("firing").count()
+
+
 def test_alert_over_midnight(spark):
     late = datetime(2024, 1, 1, 23, 50)
     df = spark.createDataFrame([(late + timedelta(seconds=s),) for s in range(0, 1800, 2)], "ts timestamp_ntz")
