@@ -31,7 +31,8 @@ def strip(text: Column) -> Column:
 
 
 def java_regex(pattern: str) -> str:
-    """A Python regex for Java: white space there lacks the four separator characters.
+    """A Python regex for Java: white space there lacks the four separator characters, named groups have other marks
+    and names of letters and digits only, and ``\\Z`` is the very end.
 
     To be used with the flags ``(?Umd)``: Unicode classes, ``^`` and ``$`` at lines, only ``\\n``
     ending one.
@@ -39,7 +40,14 @@ def java_regex(pattern: str) -> str:
     out, in_class, i = "", False, 0
     while i < len(pattern):
         step = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
-        if step == "\\s":
+        named = None if in_class else re.match(r"\(\?P(<|=)(\w+)[>)]", pattern[i:])
+        if named:
+            name = "g" + "".join(c if c.isascii() and c.isalnum() else f"x{ord(c)}x" for c in named[2])
+            out, i = out + (f"(?<{name}>" if named[1] == "<" else f"\\k<{name}>"), i + len(named[0])
+            continue
+        if step == "\\Z":
+            out += "\\z"
+        elif step == "\\s":
             out += "\\s\\x1c-\\x1f" if in_class else "[\\s\\x1c-\\x1f]"
         elif step == "\\S":
             out += "[^\\s\\x1c-\\x1f]"

@@ -17,10 +17,22 @@ def chunk_texts(text: Column, max_chars: int = CHUNK_CHARS) -> Column:
     One regex finds all of them in a single pass, however long the file; a single long line is one
     chunk, and an empty text gives one empty chunk.
     """
+    ended, pattern = _ended(text), F.lit(_chunk(max_chars))
+    return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(ended, pattern, 1))
+
+
+def count_chunks(text: Column, max_chars: int = CHUNK_CHARS) -> Column:
+    """How many chunks a text has, without making them."""
+    return F.when(text == "", 1).otherwise(F.regexp_count(_ended(text), F.lit(_chunk(max_chars))))
+
+
+def _ended(text: Column) -> Column:
     ended = F.regexp_replace(text, LINE_BREAK, "\n")
-    ended = F.when(ended.endswith("\n"), ended).otherwise(F.concat(ended, F.lit("\n")))
-    found = F.regexp_extract_all(ended, F.lit(f"(?s)(.{{{max_chars - 1}}}[^\\n]*|.*)\\n"), 1)
-    return F.when(text == "", F.array(F.lit(""))).otherwise(found)
+    return F.when(ended.endswith("\n"), ended).otherwise(F.concat(ended, F.lit("\n")))
+
+
+def _chunk(max_chars: int) -> str:
+    return f"(?s)(.{{{max_chars - 1}}}[^\\n]*|.*)\\n"
 
 
 def chunk_rows(files: DataFrame, max_chars: int = CHUNK_CHARS) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +45,22 @@ def _scrubbed(text: Column, rules: list[tuple[str, str]], token: str) -> Column:
     return state
 
 
+def _compiles(df: DataFrame, label: str, regex: str) -> bool:
+    """Whether the engine that runs the rule takes it; one that it does not take is skipped with a warning."""
+    try:
+        df.sparkSession._jvm.java.util.regex.Pattern.compile(_FLAGS + java_regex(regex))
+        return True
+    except Py4JJavaError as problem:
+        warnings.warn(f"PII rule {label!r} skipped: {problem.java_exception.getMessage()}", stacklevel=3)
+        return False
+
+
 def redact(df: DataFrame, policy: PrivacyPolicy = PrivacyPolicy(), text: str = "text") -> DataFrame:
     """Replaces ``text`` and adds ``redaction_counts`` and ``redaction_applied``.
 
     Each rule sees the output of the rule before, so the whole text has to be given, not lines.
     """
-    rules = policy.rules
+    rules = [rule for rule in policy.rules if _compiles(df, *rule)]
     if not rules:
         none = F.create_map().cast("map<string,int>")
         return df.withColumns({"redaction_counts": none, "redaction_applied": F.lit(False)})

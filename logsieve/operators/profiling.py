@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions.ordering import top_per_key
-from logsieve.functions.text import split_lines
+from logsieve.functions.text import let, split_lines
 from logsieve.settings import SAMPLE_LINES, SIGNAL_TERMS, TOP_KEYWORDS
 
 _WORD = "[a-z]{4,}"
@@ -118,20 +118,38 @@ def keyword_lists(words: DataFrame, keys: list[str], n: int = TOP_KEYWORDS) -> D
     )
 
 
+def text_keywords(text: Column, n: int = TOP_KEYWORDS) -> Column:
+    """Keywords of a whole text within its row: sorted words are runs, the longest runs are the keywords."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})"), 1)
+    ordered = F.sort_array(F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("place"))))
+
+    def first_of_runs(s: Column) -> Column:
+        starts = F.transform(s, lambda x, j: F.when(
+            F.coalesce(F.get(s, j - 1)["word"] != x["word"], F.lit(True)),
+            F.struct(j.alias("at"), x["place"].alias("place"), x["word"].alias("word"), F.size(s).alias("all")),
+        ))
+        return F.filter(starts, lambda x: x.isNotNull())
+
+    def longest(runs: Column) -> Column:
+        ranked = F.transform(runs, lambda x, k: F.struct(
+            (x["at"] - F.coalesce(F.get(runs, k + 1)["at"], x["all"])).alias("less"), x["place"].alias("place"),
+            x["word"].alias("word"),
+        ))
+        return F.transform(F.slice(F.sort_array(ranked), 1, n), lambda x: x["word"])
+
+    return let(let(ordered, first_of_runs), longest)
+
+
 def file_summaries(texts: DataFrame, chunk_count: Column | None = None) -> DataFrame:
-    """One summary row per file: profile, samples and keywords.
+    """One summary row per file: profile, samples and keywords, in one pass without a shuffle.
 
     ``texts`` holds ``file_id, text`` and any file columns, which are kept; redact before this.
     """
     profiled = profile_texts(texts)
     if chunk_count is not None:
         profiled = profiled.withColumn("chunk_count", chunk_count)
-    keywords = keyword_lists(words_of_texts(texts, ["file_id"]), ["file_id"])
-    return (
-        profiled.drop("text")
-        .join(keywords, "file_id", "left")
-        .withColumn("top_keywords", F.coalesce("top_keywords", F.array().cast("array<string>")))
-    )
+    none = F.array().cast("array<string>")
+    return profiled.withColumn("top_keywords", F.coalesce(text_keywords(F.col("text")), none)).drop("text")
 
 
 def analysis_metadata(summaries: DataFrame) -> DataFrame:

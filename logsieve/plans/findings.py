@@ -9,7 +9,8 @@ from logsieve.operators import chunks, privacy, profiling, reports, rollup
 from logsieve.plans.ingest import HITS, REDACTED
 from logsieve.plans.registry import query
 from logsieve.plans.views import table, view, with_views
-from logsieve.session import materialise
+from logsieve.session import materialise, scratch_dir
+from logsieve.sources import sinks
 
 _BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{0085}\\x{2028}\\x{2029}]"
 
@@ -142,10 +143,13 @@ def _summaries(spark, sf_dir):
 
     The redacted text is written once, as profile and keywords both read it.
     """
-    done = materialise(privacy.redact(view(spark, sf_dir, "files").drop("lang")), "redacted")
+    given = view(spark, sf_dir, "files").drop("lang").withColumns({
+        "checksum": F.sha2("text", 256), "content_type": F.lit("text/plain"),
+    })
+    done = materialise(privacy.redact(given), "redacted")
     sized = done.withColumns({
         "file_size": F.octet_length("text"),
-        "chunk_count": F.size(chunks.chunk_texts(F.col("text"))),
+        "chunk_count": chunks.count_chunks(F.col("text")),
     })
     return profiling.file_summaries(sized)
 
@@ -186,8 +190,8 @@ _SUMMARY_SQL = f"""{REDACTED}{_TOP_WORDS.replace("SOURCE", "redacted")}{_CHUNKED
     SELECT file_id, filename, CAST(octet_length(encode(text)) AS INT) AS file_size, line_count, error_count, warning_count,
            critical_count, info_count, chunk_count, array_to_string(top_keywords, ',') AS top_keywords,
            md5(array_to_string(sample_head, chr(10))) AS head, md5(array_to_string(sample_tail, chr(10))) AS tail,
-           {HITS} > 0 AS redaction_applied
-    FROM summaries""", recursive=True))
+           {HITS} > 0 AS redaction_applied, sha256(f.text) AS checksum, 'text/plain' AS content_type
+    FROM summaries JOIN (SELECT file_id, text FROM files) f USING (file_id)""".replace("encode(text)", "encode(summaries.text)"), recursive=True))
 def log_file_summary(spark, sf_dir):
     made = profiling.analysis_metadata(_summaries(spark, sf_dir))
     return made.select(
@@ -195,7 +199,7 @@ def log_file_summary(spark, sf_dir):
         "critical_count", "info_count", "chunk_count",
         F.array_join("analysis_summary.top_keywords", ",").alias("top_keywords"),
         digest(F.array_join("sample_head", "\n")).alias("head"), digest(F.array_join("sample_tail", "\n")).alias("tail"),
-        "redaction_applied",
+        "redaction_applied", "checksum", "content_type",
     )
 
 
@@ -451,6 +455,19 @@ def chunk_lines(spark, sf_dir):
     return rows.select("file_id", "chunk_index", digest(F.col("content")).alias("digest"), "chunk_size")
 
 
+@query("sink_chunk_table", "O-SRC-11", with_views("files", f"""{REDACTED}{_CHUNKED.replace("SOURCE", "redacted")}
+    SELECT job_id, file_id, CAST(chunk_index AS INT) AS chunk_index, CAST(length(content) AS INT) AS chunk_size, md5(content) AS digest
+    FROM chunked JOIN redacted USING (file_id)""", recursive=True))
+def sink_chunk_table(spark, sf_dir):
+    """Chunks of the redacted files written as a table with a bounded number of folders and files, and read back."""
+    path = scratch_dir(spark, "chunks")
+    made = sinks.with_job_bucket(chunks.chunk_rows(privacy.redact(view(spark, sf_dir, "files"))), 16)
+    sinks.write_table(made, path, ["job_bucket"], spread_by="file_id")
+    return spark.read.parquet(path).select(
+        "job_id", "file_id", "chunk_index", "chunk_size", digest(F.col("content")).alias("digest")
+    )
+
+
 @query("chunk_counts", "O-CHK-03", with_views("files", f"""{_CHUNKED.replace("SOURCE", "files")}
     SELECT job_id, CAST(count(*) AS BIGINT) AS chunk_count FROM chunked JOIN files USING (file_id) GROUP BY job_id""",
     recursive=True))

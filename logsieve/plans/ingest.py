@@ -8,9 +8,9 @@ from logsieve.functions.ordering import time_bucket
 from logsieve.operators import chunks, privacy
 from logsieve.plans.registry import query
 from logsieve.plans.views import table, view, with_views
-from logsieve.session import materialise, scratch_dir
+from logsieve.session import materialise
 from logsieve.settings import FilePolicy, PrivacyPolicy, WatchConfig
-from logsieve.sources import files, records, sinks
+from logsieve.sources import files, records
 
 _EXT = "lower(regexp_extract(regexp_extract(filename, '([^/]*)/*$', 1), '^.+\\.([^.]+)$', 1))"
 _ALLOWED = "('log', 'txt', 'json', 'xml', 'csv', 'yaml', 'yml')"
@@ -236,15 +236,3 @@ def pii_metadata(spark, sf_dir):
     FROM ({HIT_ROWS}) GROUP BY job_id, label"""))
 def pii_audit(spark, sf_dir):
     return privacy.redaction_audit(privacy.redact(view(spark, sf_dir, "files")))
-
-
-@query("sink_chunk_table", "O-SRC-11", with_views("files", f"""{REDACTED}
-    SELECT job_id, CAST(count(*) AS BIGINT) AS files, CAST(sum(length(text)) AS BIGINT) AS chars FROM redacted GROUP BY job_id"""))
-def sink_chunk_table(spark, sf_dir):
-    """Redacted files written as a table with a bounded number of folders, and read back."""
-    path = scratch_dir(spark, "files")
-    done = privacy.redact(view(spark, sf_dir, "files")).select("job_id", "file_id", "text")
-    sinks.write_table(sinks.with_job_bucket(done, 16), path, ["job_bucket"])
-    return spark.read.parquet(path).groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("files"), F.sum(F.length("text")).alias("chars")
-    )

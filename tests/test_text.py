@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from logsieve.functions.text import extension, glob_regex, html_escape, split_lines
@@ -123,3 +124,11 @@ def test_small_helpers(spark):
     assert row.h == "&lt;a href=&quot;x&quot;&gt;&#x27;&amp;&#x27;&lt;/a&gt;"
     assert [row[f"e{i}"] for i in range(5)] == ["log", "", "", "", "gz"]
     assert re.match(glob_regex("**/*.log"), "/w/a/b.log") and not re.match(glob_regex("**/~*"), "/w/a~.log")
+
+
+def test_rules_of_the_other_dialect(spark):
+    texts = frame(spark, ["id 777 777 end", "tail9"])
+    rules = ("twice::(?P<a_b>\\d{3}) (?P=a_b)", "last::\\d\\Z", "odd::(?<=a+)b", "back::(?i:END)")
+    with pytest.warns(UserWarning, match="odd"):
+        got = [r.text for r in privacy.redact(texts, PrivacyPolicy(entries=rules, token="#")).orderBy("file_id").collect()]
+    assert got == ["id # #", "tail#"]
