@@ -175,15 +175,22 @@ def limit_clock_windows(spark, sf_dir):
 
 
 def _as_stream(spark, sf_dir, columns: list[str], name: str):
-    """A view written to the scratch folder and read as a stream of files."""
+    """A view written to the scratch folder, a quarter of its time span after the other, and read file by file."""
     path = scratch_dir(spark, name)
     rows = view(spark, sf_dir, name).select(columns)
+    time = "ts" if "ts" in columns else "created_at"
     if "ts" in columns:
         rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
     if "created_at" in columns:
         rows = rows.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    if "data" in columns:
+        rows = rows.withColumn("data", F.expr(_SAID))
+    at = F.unix_micros(time)
+    ends = rows.agg(F.min(at).alias("a"), F.max(at).alias("z")).first()
+    quarter = F.least(F.floor((at - ends.a) * 4 / max(1, ends.z - ends.a)), F.lit(3))
+    for part in range(4):
+        rows.where(quarter == part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _replayed(spark, stream, mode="append"):
@@ -208,21 +215,22 @@ def stream_counts(spark, sf_dir):
 
 @query("stream_limits", "O-STR-04", with_views("requests", f"""
     , r AS (SELECT event_id, client, epoch_us(ts) AS t FROM requests), {_limit_sql("r", "main", _MAIN)}
-    SELECT event_id, client, window_start, n AS window_count, n <= {_MAIN.limit} AS allowed FROM main""", recursive=True))
+    SELECT event_id, client, window_start, n AS window_count, n <= {_MAIN.limit} AS allowed, method, endpoint, status_code
+    FROM main JOIN (SELECT event_id, method, endpoint, status_code FROM requests) USING (event_id)""", recursive=True))
 def stream_limits(spark, sf_dir):
-    """The limiter with its window as stream state."""
-    stream = _as_stream(spark, sf_dir, ["ts", "client", "event_id"], "requests")
-    return _replayed(spark, feeds.limit_stream(stream, "client", "ts", "event_id", _MAIN)).drop("at")
+    """The limiter with its window as stream state, over four micro-batches."""
+    stream = _as_stream(spark, sf_dir, ["ts", "client", "event_id", "method", "endpoint", "status_code"], "requests")
+    return _replayed(spark, feeds.limit_stream(stream, "client", "ts", "event_id", _MAIN)).drop("ts")
 
 
-@query("stream_job_feed", "O-STR-01", with_views("job_events", """
-    , l AS (SELECT *, min(CASE WHEN event_type IN ('completed', 'failed', 'cancelled') THEN (created_at, event_id) END)
-              OVER (PARTITION BY job_id) AS ends FROM job_events)
-    SELECT CAST(job_id AS VARCHAR) AS job_id, event_id, event_type FROM l WHERE ends IS NULL OR (created_at, event_id) <= ends"""))
+@query("stream_job_feed", "O-STR-01", with_views("job_events", f"""
+    , l AS (SELECT *, min(CASE WHEN {_OVER} THEN (created_at, event_id) END) OVER (PARTITION BY job_id) AS ends FROM job_events)
+    SELECT CAST(job_id AS VARCHAR) AS job_id, event_id, event_type, {_SAID} AS data FROM l
+    WHERE ends IS NULL OR (created_at, event_id) <= ends"""))
 def stream_job_feed(spark, sf_dir):
-    """Live events of every job until the one that ends it."""
-    stream = _as_stream(spark, sf_dir, ["job_id", "event_id", "event_type", "created_at"], "job_events")
-    return _replayed(spark, feeds.job_feed_stream(stream)).drop("at")
+    """Live events of every job until the one that ends it, over four micro-batches."""
+    stream = _as_stream(spark, sf_dir, ["job_id", "event_id", "event_type", "created_at", "data"], "job_events")
+    return _replayed(spark, feeds.job_feed_stream(stream)).drop("created_at")
 
 
 @query("stream_debounce", "O-WAT-01", with_views("watch_events", f"""

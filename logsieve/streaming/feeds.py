@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -118,20 +119,18 @@ def job_state_stream(transitions: DataFrame) -> DataFrame:
 
 
 def append_turns_stream(turns: DataFrame, order: str) -> DataFrame:
-    """Turns numbered on per job in the order they arrive; the state is the last sequence of the job."""
-    columns = "job_id string, turn_id long, role string, sequence long"
+    """Turns with all their columns, numbered on per job in the order they arrive; the state is the job's last number."""
+    kept = turns.withColumns({"job_id": F.col("job_id").cast("string"), order: F.col(order).cast("long")})
+    schema = T.StructType([*kept.schema.fields, T.StructField("sequence", T.LongType())])
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("turn_id")
+        rows = pd.concat(list(batches)).sort_values(order)
         state.update((last + len(rows),))
-        yield rows.assign(sequence=range(last + 1, last + 1 + len(rows)))[["job_id", "turn_id", "role", "sequence"]]
+        yield rows.assign(sequence=range(last + 1, last + 1 + len(rows)))[schema.names]
 
-    slim = turns.select(
-        F.col("job_id").cast("string").alias("job_id"), F.col(order).cast("long").alias("turn_id"), "role"
-    )
-    return slim.groupBy("job_id").applyInPandasWithState(
-        run, columns, "last long", "append", GroupStateTimeout.NoTimeout
+    return kept.groupBy("job_id").applyInPandasWithState(
+        run, schema, "last long", "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -190,22 +189,31 @@ def batch_windows_stream(files: DataFrame, ts: str, seconds: int = 5, watermark:
 def limit_stream(
     requests: DataFrame, client: str, ts: str, order: str, limit: RateLimit, watermark: str = "1 minute"
 ) -> DataFrame:
-    """Request-anchored windows with the window's end and count as state per client.
+    """Requests with all their columns and their request-anchored window; the state is its end and count per client.
 
-    Requests are taken in the order they arrive, by time within a micro-batch. A client's state is
-    dropped once the watermark passes the end of its window: whatever comes then opens a new one.
+    Requests are taken in the order they arrive, by time within a micro-batch. One from before the window in force was
+    due in a window that has gone: it is passed on with nulls for window, count and ``allowed`` and charged to none. A
+    client's state is dropped once the watermark passes the end of its window: whatever comes then opens a new one.
     """
     span = limit.seconds * 1_000_000
-    columns = f"{client} string, {order} long, at long, window_start long, window_count long, allowed boolean"
+    kept = requests.withWatermark(ts, watermark).withColumns({
+        client: F.col(client).cast("string"), order: F.col(order).cast("long"), "_at": F.unix_micros(F.col(ts)),
+    })
+    added = [("window_start", T.LongType()), ("window_count", T.LongType()), ("allowed", T.BooleanType())]
+    schema = T.StructType([*kept.drop("_at").schema.fields, *[T.StructField(n, t) for n, t in added]])
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         end, count = state.get if state.exists else (-(1 << 62), 0)
-        rows = pd.concat(list(batches)).sort_values(["at", order])
+        rows = pd.concat(list(batches)).sort_values(["_at", order])
         starts, counts = [], []
-        for at in rows["at"]:
+        for at in rows["_at"]:
+            if count and at < end - span:
+                starts.append(None)
+                counts.append(None)
+                continue
             if at >= end:
                 end, count = at + span, 0
             count += 1
@@ -213,42 +221,42 @@ def limit_stream(
             counts.append(count)
         state.update((int(end), int(count)))
         state.setTimeoutTimestamp(int(max(end // 1000, state.getCurrentWatermarkMs()) + 1))
-        yield rows.assign(
-            window_start=starts, window_count=counts, allowed=[c <= limit.limit for c in counts]
-        )[[client, order, "at", "window_start", "window_count", "allowed"]]
-
-    slim = requests.withWatermark(ts, watermark).select(
-        ts, F.col(client).cast("string").alias(client), F.col(order).cast("long").alias(order),
-        F.unix_micros(F.col(ts)).alias("at"),
-    )
-    return slim.groupBy(client).applyInPandasWithState(
-        run, columns, "end long, count long", "append", GroupStateTimeout.EventTimeTimeout
+        judged = rows.assign(
+            window_start=pd.array(starts, dtype="Int64"), window_count=pd.array(counts, dtype="Int64"),
+            allowed=pd.array([None if c is None else c <= limit.limit for c in counts], dtype="boolean"),
+        )
+        yield judged[schema.names]
+
+    return kept.groupBy(client).applyInPandasWithState(
+        run, schema, "end long, count long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def job_feed_stream(events: DataFrame) -> DataFrame:
-    """Events of each job up to and including the one that ends it; later ones are dropped.
+    """Events of each job, with all their columns, up to and including the one that ends it; later ones are dropped.
 
-    ``events``: ``job_id, event_id, event_type, created_at``. The state of a job is one flag.
+    ``events``: ``job_id, event_id, event_type, created_at`` and ``data``, a JSON string whose ``status`` may end the
+    job too. The state of a job is one flag.
     """
-    columns = "job_id string, event_id long, event_type string, at long"
+    said = F.coalesce(F.get_json_object("data", "$.status").isin(TERMINAL_STATUSES), F.lit(False))
+    kept = events.withColumns({
+        "job_id": F.col("job_id").cast("string"), "event_id": F.col("event_id").cast("long"),
+        "_ends": F.col("event_type").isin(TERMINAL_STATUSES) | said,
+    })
+    schema = kept.drop("_ends").schema
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
             return
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        ends = rows["event_type"].isin(TERMINAL_STATUSES)
+        rows = pd.concat(list(batches)).sort_values(["created_at", "event_id"])
+        ends = rows["_ends"].astype(bool)
         if ends.any():
             state.update((True,))
             rows = rows.iloc[: int(ends.to_numpy().argmax()) + 1]
-        yield rows[["job_id", "event_id", "event_type", "at"]]
+        yield rows[schema.names]
 
-    slim = events.select(
-        F.col("job_id").cast("string").alias("job_id"), F.col("event_id").cast("long").alias("event_id"),
-        "event_type", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"),
-    )
-    return slim.groupBy("job_id").applyInPandasWithState(
-        run, columns, "ended boolean", "append", GroupStateTimeout.NoTimeout
+    return kept.groupBy("job_id").applyInPandasWithState(
+        run, schema, "ended boolean", "append", GroupStateTimeout.NoTimeout
     )
 
 

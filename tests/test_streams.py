@@ -3,6 +3,7 @@
 import time
 from datetime import datetime, timedelta
 
+from logsieve.settings import RateLimit
 from logsieve.streaming import feeds
 
 T0 = datetime(2024, 1, 1)
@@ -59,7 +60,15 @@ def test_turns_are_numbered_on(spark, tmp_path):
     parts = [[("a", 1, "user"), ("a", 2, "assistant")], [("a", 3, "user"), ("b", 1, "system")]]
     stream = batches(spark, tmp_path, "job_id string, n long, role string", parts)
     got = collected(feeds.append_turns_stream(stream, "n"), tmp_path)
-    assert sorted((r.job_id, r.turn_id, r.sequence) for r in got) == [("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 1, 1)]
+    assert sorted((r.job_id, r.n, r.sequence) for r in got) == [("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 1, 1)]
+
+
+def test_a_late_request_is_charged_to_no_window(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1, 0, 0) + timedelta(seconds=s)
+    parts = [[("a", 1, at(100), "x")], [("a", 2, at(90), "y"), ("a", 3, at(101), "z")]]
+    stream = batches(spark, tmp_path, "client string, n long, ts timestamp, path string", parts)
+    got = collected(feeds.limit_stream(stream, "client", "ts", "n", RateLimit(1, 60), "10 minutes"), tmp_path)
+    assert sorted((r.n, r.path, r.window_count, r.allowed) for r in got) == [(1, "x", 1, True), (2, "y", None, None), (3, "z", 2, False)]
 
 
 def test_heartbeats_until_the_job_ends(spark, tmp_path):
