@@ -7,8 +7,6 @@ group gives ``k`` rows per query, never its pairs. Scores are rounded to nine di
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsieve.functions.ordering import top_per_key
+from logsieve.functions.text import let
 from logsieve.settings import FALLBACK_DIMENSION, MODEL_DIMENSIONS
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -26,39 +25,31 @@ DIGITS = 9
 QUERY_ROWS, CORPUS_ROWS, TILE_CELLS = 4096, 50_000, 4_000_000
 
 
-class HashingEmbedder:
-    """Offline embedder: lower-case letter runs counted into ``dimension`` buckets, unit length."""
+def hashed(text: Column, dimension: int = 64) -> Column:
+    """Offline embedding: lower-case letter runs counted into ``dimension`` buckets by hash, unit length, all built-in."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), 0)
+    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimension)
+    places = F.sequence(F.lit(0), F.lit(dimension - 1))
+    counts = let(buckets, lambda found: F.transform(places, lambda i: F.size(F.filter(found, lambda b: b == i)).cast("double")))
 
-    def __init__(self, dimension: int = 64):
-        self.dimension = dimension
-        self._buckets: dict[str, int] = {}
+    def scaled(v: Column) -> Column:
+        length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+        return let(length, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
 
-    def _bucket(self, word: str) -> int:
-        if word not in self._buckets:
-            if len(self._buckets) > 200_000:
-                self._buckets.clear()
-            digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
-            self._buckets[word] = int(digest[:8], 16) % self.dimension
-        return self._buckets[word]
-
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension))
-        for row, text in enumerate(texts):
-            hits = [self._bucket(word) for word in re.findall("[a-z]+", text.lower())]
-            np.add.at(out[row], hits, 1.0)
-        lengths = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, lengths, out=out, where=lengths > 0)
+    return let(counts, scaled)
 
 
 def embed(
     df: DataFrame,
-    make_embedder: Callable[[], Embedder] = HashingEmbedder,
+    make_embedder: Callable[[], Embedder] | None = None,
     text: str = "content",
     batch_size: int = 100,
     into: str = "embedding",
 ) -> DataFrame:
-    """Adds vectors by a replaceable embedder, built once per task and called ``batch_size`` texts at a time."""
+    """Adds vectors: ``hashed`` ones, or those of an embedder built once per task and called ``batch_size`` texts at a time."""
     kept = df.drop(into)
+    if make_embedder is None:
+        return kept.withColumn(into, hashed(F.col(text)))
     schema = T.StructType([*kept.schema.fields, T.StructField(into, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +69,7 @@ def embed(
 
 
 def refresh_embeddings(
-    documents: DataFrame, job_ids: list | None = None, make_embedder: Callable[[], Embedder] = HashingEmbedder
+    documents: DataFrame, job_ids: list | None = None, make_embedder: Callable[[], Embedder] | None = None
 ) -> DataFrame:
     """Stored chunks with new vectors for the given jobs (all when None); other rows are unchanged."""
     if job_ids is None:

@@ -189,9 +189,11 @@ def test_search_ways_agree(spark):
 
 def test_embedding_widths(spark):
     assert vectors.known_dimension("text-embedding-3-small") == 1536 and vectors.known_dimension("other") == 768
-    made = vectors.embed(spark.createDataFrame([(1, "Error error x"), (2, "")], "id long, content string"), lambda: vectors.HashingEmbedder(32))
-    rows = {r.id: r.embedding for r in made.collect()}
-    assert len(rows[1]) == 32 and abs(sum(x * x for x in rows[1]) - 1) < 1e-6 and not any(rows[2])
+    texts = spark.createDataFrame([(1, "Error error x"), (2, ""), (3, None)], "id long, content string")
+    own = vectors.embed(texts, lambda: lambda batch: [[float(len(t)), 1.0] for t in batch]).collect()
+    assert {r.id: r.embedding for r in own} == {1: [13.0, 1.0], 2: [0.0, 1.0], 3: [0.0, 1.0]}
+    rows = {r.id: r.embedding for r in vectors.embed(texts).collect()}
+    assert len(rows[1]) == 64 and not any(rows[3]) and abs(sum(x * x for x in rows[1]) - 1) < 1e-6 and not any(rows[2])
 
 
 def test_streams_equal_batches(spark, tmp_path):
