@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.functions.ordering import previous, running_max
+from logsieve.functions.ordering import following, previous, running_max
 from logsieve.functions.text import let
 from logsieve.settings import HISTOGRAM_BOUNDS
 
@@ -129,7 +129,7 @@ def rolling(steps: DataFrame, columns: list[str], window: int, labels: list[str]
     return seen.groupBy(*labels, "tick").agg(*[F.sum(c).alias(c) for c in columns])
 
 
-def held(evaluations: DataFrame, condition: Column, hold: int, labels: list[str] = [], step: int = STEP_SECONDS) -> DataFrame:
+def held(evaluations: DataFrame, condition: Column, hold: int | Column, labels: list[str] = [], step: int = STEP_SECONDS) -> DataFrame:
     """Adds ``pending_since`` and ``firing``: the condition was true at every evaluation of the hold.
 
     An evaluation that is not there is one with an empty window, whose condition is false. Runs of true evaluations
@@ -183,20 +183,34 @@ def latency_alert(
     return held(judged, F.col("quantile") > threshold, hold, labels)
 
 
-def gauge_alerts(samples: DataFrame) -> DataFrame:
-    """Hosts whose newest gauges break a limit.
+def gauge_alerts(samples: DataFrame, hold: dict[str, int] | None = None, stale: int = 300, step: int = STEP_SECONDS) -> DataFrame:
+    """``host, rule, tick, value, pending_since, firing`` of every evaluation of a rule with a value.
 
-    ``samples``: ``host, name, value, ts``. Memory in use over 0.9, free disk under 0.1, ``up`` at 0.
+    ``samples``: ``host, name, value, ts``. Memory in use over 0.9 and free disk under 0.1 for 5 minutes, ``up`` at 0 for
+    one (``hold`` in seconds by rule). A gauge counts from the evaluation after its sample to the next sample, for
+    ``stale`` seconds at most, so a sample stands for a fixed number of evaluations at most.
     """
-    latest = last_values(samples, ["host", "name"]).groupBy("host").agg(*[
-        F.max(F.when(F.col("name") == name, F.col("value"))).alias(name)
-        for name in ("memory_total", "memory_available", "disk_available", "disk_size", "up")
-    ])
+    hold = {"high_memory": 300, "low_disk": 300, "down": 60} | (hold or {})
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    first = (F.ceil(micros / (step * 1_000_000)) * step).cast("long")
+    newest = samples.select("host", "name", "value", micros.alias("at"), first.alias("tick")).groupBy("host", "name", "tick").agg(
+        F.max_by("value", "at").alias("value"), F.max("at").alias("at")
+    )
+    day = F.floor(F.col("tick") / 86_400)
+    lasting = following(newest, ["host", "name"], ["tick"], day, F.col("tick"), "_next")
+    end = F.floor((F.col("at") + stale * 1_000_000 - 1) / 1_000_000)
+    upto = F.least(end, F.coalesce(F.col("_next") - step, end))
+    seen = lasting.where(upto >= F.col("tick")).select(
+        "host", "name", "value", F.explode(F.sequence("tick", upto.cast("long"), F.lit(step).cast("long"))).alias("tick")
+    )
+    names = ("memory_total", "memory_available", "disk_available", "disk_size", "up")
+    at_once = seen.groupBy("host", "tick").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
     used = (F.col("memory_total") - F.col("memory_available")) / F.nullif("memory_total", F.lit(0))
     free = F.col("disk_available") / F.nullif("disk_size", F.lit(0))
-    rated = latest.select("host", used.alias("memory_used"), free.alias("disk_free"), "up")
-    return rated.withColumns({
-        "high_memory": F.coalesce(F.col("memory_used") > 0.9, F.lit(False)),
-        "low_disk": F.coalesce(F.col("disk_free") < 0.1, F.lit(False)),
-        "down": F.coalesce(F.col("up") == 0, F.lit(False)),
-    })
+    rules = {"high_memory": (used, used > 0.9), "low_disk": (free, free < 0.1), "down": (F.col("up"), F.col("up") == 0)}
+    rows = F.array(*[
+        F.struct(F.lit(r).alias("rule"), v.cast("double").alias("value"), ok.alias("ok"), F.lit(hold[r]).alias("hold"))
+        for r, (v, ok) in rules.items()
+    ])
+    judged = at_once.select("host", "tick", F.explode(rows).alias("r")).select("host", "tick", "r.*").where("value IS NOT NULL")
+    return held(judged, F.col("ok"), F.col("hold"), ["host", "rule"], step).drop("ok", "hold")

@@ -133,17 +133,32 @@ def alert_stalled_watcher(spark, sf_dir):
     )
 
 
-@query("alert_gauges", "O-MET-07", with_views("gauges", """
-    , l AS (SELECT host, name, max_by(value, ts) AS value FROM gauges GROUP BY host, name),
-      w AS (SELECT host, max(value) FILTER (name = 'memory_total') AS mt, max(value) FILTER (name = 'memory_available') AS ma,
+_STALE, _STEP, _HOLDS = 7200, 300, {"high_memory": 1200, "low_disk": 1200, "down": 600}
+
+
+@query("alert_gauges", "O-MET-07", with_views("gauges", f"""
+    , k AS (SELECT host, name, value, epoch_us(ts) AS us FROM gauges),
+      t AS (SELECT host, unnest(generate_series((min(us) // 1000000 // {_STEP}) * {_STEP}, max(us) // 1000000 + {_STALE + _STEP}, {_STEP})) AS tick
+            FROM k GROUP BY host),
+      n AS (SELECT DISTINCT host, name FROM k),
+      l AS (SELECT t.host, t.tick, k.name, k.value FROM (SELECT * FROM t JOIN n USING (host)) t
+            ASOF JOIN k ON t.host = k.host AND t.name = k.name AND t.tick::BIGINT * 1000000 >= k.us
+            WHERE t.tick::BIGINT * 1000000 < k.us + {_STALE * 1_000_000}),
+      w AS (SELECT host, tick, max(value) FILTER (name = 'memory_total') AS mt, max(value) FILTER (name = 'memory_available') AS ma,
               max(value) FILTER (name = 'disk_available') AS da, max(value) FILTER (name = 'disk_size') AS ds,
-              max(value) FILTER (name = 'up') AS up FROM l GROUP BY host)
-    SELECT host, round((mt - ma) / mt, 6) AS memory_used, round(da / ds, 6) AS disk_free, up,
-           coalesce((mt - ma) / mt > 0.9, false) AS high_memory, coalesce(da / ds < 0.1, false) AS low_disk,
-           coalesce(up = 0, false) AS down FROM w"""))
+              max(value) FILTER (name = 'up') AS up FROM l GROUP BY ALL),
+      r AS (SELECT host, tick, 'high_memory' AS rule, (mt - ma) / nullif(mt, 0) AS value, (mt - ma) / nullif(mt, 0) > 0.9 AS c FROM w
+            UNION ALL SELECT host, tick, 'low_disk', da / nullif(ds, 0), da / nullif(ds, 0) < 0.1 FROM w
+            UNION ALL SELECT host, tick, 'down', up, up = 0 FROM w),
+      ok AS (SELECT *, coalesce(c, false) AS ok FROM r),
+      isl AS (SELECT *, tick - {_STEP} * row_number() OVER (PARTITION BY host, rule, ok ORDER BY tick) AS island FROM ok),
+      held AS (SELECT *, CASE WHEN ok THEN min(tick) OVER (PARTITION BY host, rule, ok, island) END AS pending_since FROM isl)
+    SELECT host, rule, tick, round(value, 6) AS value, pending_since, ok AND tick - pending_since >=
+           CASE rule WHEN 'down' THEN {_HOLDS["down"]} ELSE {_HOLDS["low_disk"]} END AS firing FROM held WHERE value IS NOT NULL"""))
 def alert_gauges(spark, sf_dir):
-    judged = metrics.gauge_alerts(view(spark, sf_dir, "gauges"))
-    return judged.withColumns({"memory_used": F.round("memory_used", 6), "disk_free": F.round("disk_free", 6)})
+    """The gauge rules with holds and staleness that samples this far apart can reach."""
+    judged = metrics.gauge_alerts(view(spark, sf_dir, "gauges"), _HOLDS, _STALE, _STEP)
+    return judged.withColumn("value", F.round("value", 6))
 
 
 @query("request_analytics", "O-MET-08", with_views("requests", """
