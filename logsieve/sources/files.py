@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve.functions.ordering import numbered
+from logsieve.functions.ordering import block_bucket, numbered, running_sum
 from logsieve.functions.text import any_glob, base_name, extension
 from logsieve.settings import PRINTABLE_SHARE, SCAN_BYTES, FilePolicy, WatchConfig
 
@@ -138,32 +138,27 @@ def store_names(files: DataFrame, bucket: Column) -> DataFrame:
     the job bears as its own name (``a.log.1`` beside two ``a.log``), so stored names are unique.
     """
     named = files.withColumn("_safe", safe_name(F.col("filename")))
-    ordered = numbered(named, ["job_id", "_safe"], ["created_at", "file_id"], bucket, "_nth")
-    parts = named.select(
-        "job_id",
-        F.regexp_extract("_safe", "^(.*)\\.[1-9]\\d{0,8}$", 1).alias("_safe"),
-        F.regexp_extract("_safe", "\\.([1-9]\\d{0,8})$", 1).alias("_suffix"),
-    ).where("_suffix <> ''")
-    # distinct suffixes of one name: bounded by the names in a job, not by its files
-    taken = parts.groupBy("job_id", "_safe").agg(
-        F.sort_array(F.collect_set(F.col("_suffix").cast("int"))).alias("_taken")
-    )
-    free = F.aggregate(
-        F.coalesce("_taken", F.array().cast("array<int>")),
-        F.col("_nth") - 1,
-        lambda suffix, used: F.when(used <= suffix, suffix + 1).otherwise(suffix),
-    )
-    return (
-        ordered.join(taken, ["job_id", "_safe"], "left")
-        .withColumn("_suffix", free)
-        .withColumn(
-            "stored_name",
-            F.when(F.col("_nth") == 1, F.col("_safe")).otherwise(
-                F.concat("_safe", F.lit("."), F.col("_suffix").cast("string"))
-            ),
-        )
-        .drop("_safe", "_nth", "_taken", "_suffix")
+    keys = ["job_id", "_safe"]
+    ordered = numbered(named, keys, ["created_at", "file_id"], bucket, "_nth")
+    # 18 digits are more than any number of files, so longer suffixes are never in the way
+    own = F.regexp_extract("_safe", "^(.*)\\.([1-9]\\d{0,17})$", 2)
+    taken = named.select(
+        "job_id", F.regexp_extract("_safe", "^(.*)\\.([1-9]\\d{0,17})$", 1).alias("_safe"), own.alias("_suffix")
+    ).where("_suffix <> ''").distinct().withColumn("_suffix", F.col("_suffix").cast("long"))
+    ranked = numbered(taken, keys, ["_suffix"], block_bucket("_suffix"), "_rank")
+    # the k-th free number is k and one more for every taken number with fewer than k free ones below it; taken numbers
+    # are put among the files at that place and counted along, block by block
+    markers = ranked.select(*keys, (F.col("_suffix") - F.col("_rank")).alias("_at"), F.lit(0).alias("_file"))
+    placed = ordered.withColumns({"_at": (F.col("_nth") - 1).cast("long"), "_file": F.lit(1)}).unionByName(
+        markers, allowMissingColumns=True
     )
+    passed = running_sum(placed, keys, ["_at", "_file"], block_bucket("_at"), 1 - F.col("_file"), "_passed")
+    # a marker at the same place is a taken number with exactly k free ones below: not yet in the way
+    same = placed.where("_file = 0").groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_same"))
+    found = passed.where("_file = 1").join(same, [*keys, "_at"], "left")
+    suffix = F.col("_at") + F.col("_passed") - F.coalesce("_same", F.lit(0))
+    name = F.when(F.col("_nth") == 1, F.col("_safe")).otherwise(F.concat("_safe", F.lit("."), suffix.cast("string")))
+    return found.withColumn("stored_name", name).select(*files.columns, "stored_name")
 
 
 def job_files(files: DataFrame, job_id=None) -> DataFrame:

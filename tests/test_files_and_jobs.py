@@ -60,6 +60,26 @@ def test_stored_names_are_unique_and_skip_rotated_names(spark):
     ]
 
 
+def test_stored_names_skip_names_in_use(spark):
+    import random
+
+    rng = random.Random(4)
+    names = [rng.choice(["a.log", "a.log.1", "a.log.2", "a.log.7", "a.log.3", "b", "b.2", f"b.{10**17}"]) for _ in range(60)]
+    rows = spark.createDataFrame([(i, "j", n, T0 + timedelta(minutes=i)) for i, n in enumerate(names)],
+                                 "file_id long, job_id string, filename string, created_at timestamp_ntz")
+    got = {r.file_id: r.stored_name for r in files.store_names(rows, time_bucket("created_at")).collect()}
+    seen, want = {}, {}
+    for i, n in enumerate(names):
+        if n not in seen:
+            seen[n], want[i] = 0, n
+            continue
+        seen[n] += 1
+        while f"{n}.{seen[n]}" in names:
+            seen[n] += 1
+        want[i] = f"{n}.{seen[n]}"
+    assert got == want
+
+
 def test_discovery_reads_and_streams_folders(spark, tmp_path):
     for name in ("a.log", "sub/b.txt", "~c.log", "d.tmp", "e.bin"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
