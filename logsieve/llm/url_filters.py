@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Segments that name one page whatever their place: numbers, hashes, identifiers; a file suffix stays.
 _VARIABLE = r"^(?:[0-9]+|[0-9A-Fa-f]{8,}|[0-9A-Fa-f-]{36})(\.[A-Za-z0-9]{1,5})?\z"
 
+_SALTS = 32
+
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     part = lambda i: F.coalesce(F.regexp_extract(url, "://([^/?#]*)([^?#]*)", i), F.lit(""))
@@ -47,8 +49,10 @@ def templates(paths: DataFrame, least_children: int) -> DataFrame:
     children = placed.groupBy("host", "parent", "segment").agg(F.sum("pages").alias("pages"))
     wild = children.groupBy("host", "parent").agg(F.count("*").alias("kinds"), F.sum("pages").alias("pages")).where(
         (F.col("kinds") >= least_children) & (2 * F.col("kinds") > F.col("pages"))
-    ).select("host", "parent", F.lit(True).alias("wild"))
-    marked = placed.join(wild, ["host", "parent"], "left")
+    ).select("host", "parent", F.lit(True).alias("wild"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    # a node may hold a third of all rows; its rows are dealt by child, and a variable node is one row per salt
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("segment"), F.lit(_SALTS)).cast("int"))
+    marked = salted.join(wild, ["host", "parent", "salt"], "left")
     segment = F.when(F.col("wild"), F.lit("*")).otherwise(F.col("segment"))
     grown = marked.groupBy("host", "path").agg(F.sort_array(F.collect_list(F.struct("at", segment.alias("s")))).alias("x"))
     segments = grown.select("host", "path", F.col("x.s").alias("segments"))
