@@ -17,9 +17,15 @@ BINARY_FILE = "path string, modificationTime timestamp, length long, content bin
 
 
 def discover(spark: SparkSession, config: WatchConfig) -> DataFrame:
-    """Files below the watched roots that match an include glob and no exclude glob."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return matching_paths(reader.load(list(config.roots)), config)
+    """Files below the watched roots that match an include glob and no exclude glob, up to the size limit.
+
+    Names outside the include globs are dropped when folders are listed, and the size limit is pushed to the reader,
+    so neither is read.
+    """
+    names = sorted({glob.rsplit("/", 1)[-1] for glob in config.include_globs})
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(names) + "}")
+    small = reader.load(list(config.roots)).where(F.col("length") <= FilePolicy().max_bytes)
+    return matching_paths(small, config)
 
 
 def discover_stream(spark: SparkSession, config: WatchConfig, files_per_trigger: int = 1000) -> DataFrame:
