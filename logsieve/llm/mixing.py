@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsieve.functions.ordering import numbered, running_sum
-from logsieve.llm.words import n_words, whole
+from logsieve.llm.words import WORD, n_words, whole
 from logsieve.session import materialise
 
 _CHUNK = 65_536
@@ -92,43 +92,75 @@ def shuffled(sized: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
     placed = sized.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = placed.withColumn("order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     slices = F.conv(F.substring("order", 1, 3), 16, 10).cast("int")
-    summed = running_sum(placed, ["no"], ["order", "doc_id", "size"], slices, F.col("size"), "end")
+    summed = running_sum(placed, ["no"], ["order", "doc_id", "size", "text_hash"], slices, F.col("size"), "end")
     return summed.withColumn("start", F.col("end") - F.col("size")).drop("end", "order")
 
 
+def _laid(sized: DataFrame, targets: DataFrame, block_words: int, seed: str) -> DataFrame:
+    """Documents with words cut at block ends, a row for each slot that takes some; ``slot`` is null where none does."""
+    col = F.col
+    slots = schedule(targets, block_words).withColumnsRenamed({"no": "_no", "block": "_block"})
+    some = shuffled(sized.where("size > 0"), targets, seed)
+    end = col("start") + col("size")
+    pieces = some.withColumn("block", F.explode(F.sequence(F.floor(col("start") / block_words), F.floor((end - 1) / block_words))))
+    inside = lambda c: F.least(F.greatest(c - col("block") * block_words, F.lit(0)), F.lit(block_words))
+    pieces = pieces.withColumns({"low": inside(col("start")), "high": inside(end)})
+    takes = (col("no") == col("_no")) & (col("block") == col("_block")) & (col("upto") > col("low"))
+    first = col("block") * block_words + col("low") - col("start")
+    met = pieces.join(slots, takes, "left").withColumn("from_word", F.when(col("slot").isNotNull(), first))
+    return met.withColumn("to_word", col("from_word") + F.least("high", "upto") - col("low"))
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return materialise(
+        docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), n_words(whole(text_col)).alias("size"),
+                    F.xxhash64(docs[text_col]).alias("text_hash")),
+        "sizes",
+    )
+
+
+def mixed(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
+    block_words: int = 4096, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The mix: ``slot, at, source, lap, block, id_col, text_hash, from_word, to_word`` of every piece of it.
+
+    Read by ``slot`` and ``at`` (words before the piece in its block) the pieces are the mixed corpus; a piece is the
+    words of a document from ``from_word`` up to ``to_word``, not included. Documents the mix takes nothing of have
+    no row, what it takes twice has two. ``mixed_texts`` gives the words themselves.
+    """
+    sized = _sizes(docs, id_col, text_col, source_col)
+    laid = _laid(sized, source_targets(sized, weights, share, most), block_words, seed).where("slot IS NOT NULL")
+    return laid.select("slot", F.col("low").alias("at"), F.col("source").alias(source_col), "lap", "block",
+                       F.col("doc_id").alias(id_col), "text_hash", "from_word", "to_word")
+
+
+def mixed_texts(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``pieces`` of ``mixed`` with their text as it stands in the document, with the white space before each word."""
+    texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).dropDuplicates()
+    this = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.xxhash64("_text"))
+    words = F.regexp_extract_all("_text", F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
+    cut = F.array_join(F.slice(words, (F.col("from_word") + 1).cast("int"), (F.col("to_word") - F.col("from_word")).cast("int")), "")
+    return pieces.join(texts, this).withColumn(text_col, cut).drop("_id", "_text")
+
+
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
     block_words: int = 4096, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """``id_col, source, size, source_size, target, taken`` of every row: the words the mix takes of it.
 
-    ``taken`` counts repeats; the words taken of a source make up its target rounded to a word, a document gives
-    ``most`` times its size at most, and equal input gives equal output. Null texts have size zero; a null source is
+    ``taken`` adds up the pieces of ``mixed`` and counts repeats; the words taken of a source make up its target
+    rounded to a word, a document gives ``most`` times its size at most, and equal input gives equal output. Null texts have size zero; a null source is
     a source, the last one; repeated rows and null ids give a row each (rows that agree in id, source and size are
     interchangeable); further columns are not read; an empty table gives no rows. Texts are read once; sizes are
     written and read again.
     """
-    sized = materialise(
-        docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), n_words(whole(text_col)).alias("size")),
-        "sizes",
-    )
+    sized = _sizes(docs, id_col, text_col, source_col)
     targets = source_targets(sized, weights, share, most)
-    slots = schedule(targets, block_words)
     col = F.col
-    limits = slots.groupBy("no", "block").agg(
-        F.count(F.when(col("upto") == block_words, 1)).alias("times"),
-        F.max(F.when(col("upto") < block_words, col("upto"))).alias("part"),
-    )
-    some = shuffled(sized.where("size > 0"), targets, seed)
-    end = col("start") + col("size")
-    pieces = some.withColumn("block", F.explode(F.sequence(F.floor(col("start") / block_words), F.floor((end - 1) / block_words))))
-    inside = lambda c: F.least(F.greatest(c - col("block") * block_words, F.lit(0)), F.lit(block_words))
-    pieces = pieces.withColumns({"low": inside(col("start")), "high": inside(end)})
-    part = F.greatest(F.least(col("high"), F.coalesce("part", F.lit(0))) - col("low"), F.lit(0))
-    met = pieces.join(limits, ["no", "block"], "left")
-    got = met.groupBy("no", "start", "doc_id", "source", "size", "source_size", "target").agg(
-        F.sum(F.coalesce("times", F.lit(0)) * (col("high") - col("low")) + part).alias("taken")
-    )
+    took = F.coalesce(F.sum(col("to_word") - col("from_word")), F.lit(0)).alias("taken")
+    got = _laid(sized, targets, block_words, seed).groupBy("no", "start", "doc_id", "source", "size", "source_size", "target").agg(took)
     known = targets.select(col("source").alias("_source"), "source_size", "target")
     none = sized.where("size = 0").join(known, col("source").eqNullSafe(col("_source"))).withColumn("taken", F.lit(0).cast("long"))
     names: list[str | Column] = [col("doc_id").alias(id_col), "source", "size", "source_size", "target", "taken"]
