@@ -15,8 +15,9 @@ from logsieve.llm.words import byte_words
 #: Words that may be inserted, deleted or changed: a similarity of 0.8 or more.
 MOST_EDITS = 0.2
 #: Keys of a window, and sampled coordinates of its embedding in each key. At the bound the embeddings of a window
-#: and its item agree in about half of the coordinates, so a key meets with 1/4 and all miss with under 1 %.
-TABLES, SAMPLED = 20, 2
+#: and its item agree in about half of the coordinates, so a key meets with 1/4 and all miss with under 1 %. That holds
+#: for items of so many words at most: walks of longer ones fall out of step, so their windows are all compared.
+TABLES, SAMPLED, KEYED = 20, 2, 40
 #: Items are sent to the tasks in blocks of so many words at most; each block is a pass over the documents.
 BLOCK_WORDS = 2_000_000
 
@@ -97,16 +98,20 @@ class Items:
         self.words = [np.array([number[w] for w in ws], np.int32) for _, ws in items]
         self.ids = [i for i, _ in items]
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        by_run: dict[int, list[tuple[int, int, int]]] = {}
+        self.long_seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        short: dict[int, list[tuple[int, int, int]]] = {}
+        long: dict[int, list[tuple[int, int, int]]] = {}
         for k, ws in enumerate(self.words):
-            r = run_length(len(ws))
-            codes = self.codes(ws, r)
-            by_run.setdefault(r, []).extend((int(c), q, len(ws)) for q, c in enumerate(codes))
-        for r, rows in by_run.items():
-            a = np.array(sorted(set(rows)), np.int64)
-            self.seeds[r] = (a[:, 0], a[:, 1], a[:, 2])
+            n = len(ws)
+            by_run, tag = (short, n) if n <= KEYED else (long, k)
+            by_run.setdefault(run_length(n), []).extend((int(c), q, tag) for q, c in enumerate(self.codes(ws, run_length(n))))
+        for by_run, seeds in ((short, self.seeds), (long, self.long_seeds)):
+            for r, rows in by_run.items():
+                a = np.array(sorted(set(rows)), np.int64)
+                seeds[r] = (a[:, 0], a[:, 1], a[:, 2])
+        self.counts = {k: np.unique(w, return_counts=True) for k, w in enumerate(self.words) if len(w) > KEYED}
         self.keys: set[int] = set()
-        for n in {len(w) for w in self.words}:
+        for n in {len(w) for w in self.words if len(w) <= KEYED}:
             self.keys.update(keys(np.stack([w for w in self.words if len(w) == n])).ravel().tolist())
         self.known_keys = np.array(sorted(self.keys), np.int64)
 
@@ -119,10 +124,10 @@ class Items:
             h = _hash(h ^ _hash(ids[k : k + n], 3), k)
         return h.view(np.int64)
 
-    def places(self, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and lengths of the windows that may hold an item: where a run of it lies in place."""
-        starts, lengths = [], []
-        for r, (codes, offsets, sizes) in self.seeds.items():
+    @staticmethod
+    def met(ids: np.ndarray, doc: np.ndarray, seeds: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Where runs of items lie: place, offset in the item, and what the seeds say of the item."""
+        for r, (codes, offsets, tags) in seeds.items():
             n = len(ids) - r + 1
             if n <= 0:
                 continue
@@ -139,13 +144,44 @@ class Items:
             hits = high - low
             at, first, hits = at[hits > 0], low[hits > 0], hits[hits > 0]
             which = np.repeat(first, hits) + np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
-            starts.append(np.repeat(at, hits) - offsets[which])
-            lengths.append(sizes[which])
-        if not starts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.unique(np.stack([np.concatenate(starts), np.concatenate(lengths)]), axis=1)
+            yield np.repeat(at, hits), offsets[which], tags[which]
+
+    def places(self, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths of the windows that may hold an item: where a run of it lies in place."""
+        found = [np.stack([at - q, size]) for at, q, size in self.met(ids, doc, self.seeds)]
+        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
         return both[0], both[1]
 
+    def long_places(self, ids: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """``text, item, low, high``: stretches around the runs of long items, slack included, that have words enough.
+
+        Windows of an item that start within its slack of the first are one stretch, for the closest part of a stretch
+        is looked for anyway. A part within the bound has all words of the item but for the edits, so a stretch
+        with fewer holds none.
+        """
+        found = [np.stack([doc[at], k, at - q]) for at, q, k in self.met(ids, doc, self.long_seeds)]
+        every = np.unique(np.concatenate(found, axis=1), axis=1).T.tolist() if found else []
+        stretches: list[list[int]] = []
+        for text, k, start in every:
+            if stretches and stretches[-1][:2] == [text, k] and start - stretches[-1][2] <= allowed(len(self.words[k])):
+                stretches[-1][3] = start
+            else:
+                stretches.append([text, k, start, start])
+        for text, k, start, last in stretches:
+            n = len(self.words[k])
+            low = max(start - allowed(n), int(np.searchsorted(doc, text, "left")))
+            high = min(last + n + allowed(n), int(np.searchsorted(doc, text, "right")))
+            values, counts = self.counts[k]
+            have, times = np.unique(ids[low:high], return_counts=True)
+            _, mine, theirs = np.intersect1d(values, have, assume_unique=True, return_indices=True)
+            if np.minimum(counts[mine], times[theirs]).sum() >= n - allowed(n):
+                yield text, k, low, high
+
+
+def own_key(item: int) -> int:
+    """The key of a long item's stretches."""
+    return int(_hash(np.array([item]), 77_777).view(np.int64)[0])
+
 
 _WINDOW = pa.list_(pa.int32())
 _FIELDS = ["id", "start", "length", "words", "keys"]
@@ -165,6 +201,8 @@ def windows_of(ids: np.ndarray, doc: np.ndarray, items: Items):
     """``text, start in it, length, words with slack around, keys that some item has`` of the windows to look up."""
     starts, lengths = items.places(ids, doc)
     first = np.searchsorted(doc, np.arange(doc[-1] + 2)) if len(doc) else np.zeros(1, np.int64)
+    for text, k, low, high in items.long_places(ids, doc):
+        yield text, low - int(first[text]), len(items.words[k]), ids[low:high], [own_key(k)]
     for n in np.unique(lengths):
         at = starts[lengths == n]
         # a window at the edge of a text keeps its size; what lies outside is no word of the item
@@ -200,7 +238,8 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     edit distance over words. Such a part keeps a run of ``run_length`` words of the item in place, so windows of the
     item's size are laid where one does. A window is embedded by random walks; keys made of sampled coordinates of
     the embedding are joined with those of the items of its size, and every meeting is verified. The recall is that
-    of ``TABLES`` keys; unchanged passages always meet.
+    of ``TABLES`` keys; unchanged passages always meet. Items of more than ``KEYED`` words need no keys: wherever a
+    run of one lies among enough of its words it is compared, so none is missed.
 
     Items without words and null items are never found; null and empty texts hold nothing. Documents that share an id
     give one row per item together; a null id gives rows with a null id; repeated items count as one row per item id;
@@ -242,8 +281,8 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                      pa.array(n, pa.int32()), pa.array(begin, pa.int64())], names=["id", "item", "distance", "n_words", "start"])
 
         laid = slim.mapInArrow(lay, f"id {id_kind}, start long, length int, words array<int>, keys array<long>")
-        own = []
-        for n in {len(w) for w in held.words}:
+        own = [(own_key(k), k) for k in held.counts]
+        for n in {len(w) for w in held.words if len(w) <= KEYED}:
             which = [k for k, w in enumerate(held.words) if len(w) == n]
             rows = keys(np.stack([held.words[k] for k in which]))
             own += [(int(v), k) for k, row in zip(which, rows, strict=True) for v in row]
