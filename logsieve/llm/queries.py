@@ -44,7 +44,7 @@ def op4(spark, sf_dir):
 def op6(spark, sf_dir):
     from logsieve.llm.simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("root")
 
 
 _OP5_SQL = r"""

@@ -116,7 +116,9 @@ def links(fps: DataFrame, most_bucket: int = 4096) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, shingle: int = 4, most_bucket: int = 4096, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``id_col, fingerprint, component_id, text_hash`` of every row; the component is named by the least id it reaches.
+    """``id_col, fingerprint, component_id, text_hash, root`` of every row; the component is named by the least id it reaches.
+
+    Where different texts share an id two components may have one ``component_id``; ``root``, a fingerprint, is unique.
 
     Rows with one fingerprint are a class and enter the search once, so a third of all rows may be copies. Texts
     without words (null and empty ones too) have fingerprint zero and link like others. Repeated rows give a row
@@ -130,24 +132,24 @@ def near_duplicates(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(named, "root").select("fp", "component_id")
+    of_class = rooted.join(named, "root").select("fp", "component_id", "root")
     return rows.join(of_class, "fp").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash"
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash", "root"
     )
 
 
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component of ``found``: the one whose id names it.
+    """One row of ``docs`` for each component (``root``) of ``found``: the one with the least id.
 
-    Of rows that share that id, the one with the least text hash stays, once if it is repeated. Rows without an id
-    cannot be told from each other and stay.
+    Of rows that share that id in a component, the one with the least text hash stays, once if it is repeated; those
+    of other components stay beside it. Rows without an id cannot be told from each other and stay.
     """
-    named = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col, "text_hash").agg(F.count("*").alias("n"))
-    picked = named.groupBy(id_col).agg(F.min(F.struct("text_hash", "n")).alias("p"))
-    picked = picked.select(F.col(id_col).alias("_id"), F.col("p.text_hash").alias("_hash"), F.col("p.n").alias("_n"))
+    named = found.where(F.col(id_col).isNotNull()).groupBy("root", id_col, "text_hash").agg(F.count("*").alias("n"))
+    picked = named.groupBy("root").agg(F.min(F.struct(id_col, "text_hash", "n")).alias("p"))
+    picked = picked.select(F.col("p")[id_col].alias("_id"), F.col("p.text_hash").alias("_hash"), F.col("p.n").alias("_n"))
 
     def only(some: DataFrame) -> DataFrame:
         return docs.join(some, (docs[id_col] == some["_id"]) & (F.xxhash64(docs[text_col]) == some["_hash"]), "left_semi")
 
-    once, often = only(picked.where("_n = 1")), only(picked.where("_n > 1")).dropDuplicates([id_col])
+    once, often = only(picked.where("_n = 1")), only(picked.where("_n > 1")).dropDuplicates([id_col, text_col])
     return once.unionByName(often).unionByName(docs.where(docs[id_col].isNull()))
