@@ -197,3 +197,11 @@ def op7(spark, sf_dir):
     from logsieve.llm.line_dedup import dedup_lines
 
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+
+
+@query("op13_conversation_repair")
+def op13(spark, sf_dir):
+    from logsieve.llm.conversation_repair import damage, repair_digests
+
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_digests(conversations, damage(conversations))
