@@ -205,3 +205,10 @@ def op13(spark, sf_dir):
 
     conversations = table(spark, sf_dir, "conversations")
     return repair_digests(conversations, damage(conversations))
+
+
+@query("op11_embedding_whitening")
+def op11(spark, sf_dir):
+    from logsieve.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256, weight="one")
