@@ -212,3 +212,21 @@ def op11(spark, sf_dir):
     from logsieve.llm.whitening import whiten
 
     return whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256, weight="one")
+
+
+_OP12_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
+o AS (SELECT digest, max(page_id) AS owner FROM d WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM owner AND o.digest IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM owner THEN owner END AS refers_to
+FROM d LEFT JOIN o ON d.digest = o.digest
+"""
+
+
+@query("op12_web_archives", _OP12_SQL)
+def op12(spark, sf_dir):
+    from logsieve.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"), least=1000)
