@@ -174,10 +174,10 @@ def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     return told.select("page", "url", "payload", "digest", F.when(revisit, F.col("owner")).alias("refers_to"), revisit.alias("revisit"))
 
 
-def write_archives(records: DataFrame, folder: str, most_bytes: int = 64 << 20, level: int = 6) -> DataFrame:
+def write_archives(records: DataFrame, folder: str, most_bytes: int = 64 << 20, level: int = 1) -> DataFrame:
     """Writes ``records`` to archives, each one gzip stream, and gives their ``archive, records, bytes``.
 
-    A task begins a new archive after ``most_bytes`` before compression. Names are new for every attempt and only the
+    A task begins a new archive after ``most_bytes`` before compression. These archives are read once, so ``level`` is low. Names are new for every attempt and only the
     table that is returned, written when its task is done, says which archives count; what a lost task left does no harm.
     """
 
@@ -217,7 +217,7 @@ def write_archives(records: DataFrame, folder: str, most_bytes: int = 64 << 20,
 _INDEX = "archive string, offset long, length long, type string, id string, uri string, digest string"
 
 
-def normalise_archives(archives: DataFrame, source: str, target: str, level: int = 6) -> DataFrame:
+def normalise_archives(archives: DataFrame, source: str, target: str, level: int = 4) -> DataFrame:
     """Normalises the archives named in ``archives`` from folder ``source`` to ``target``; the index of all their records.
 
     Beside every archive lies its own index, a JSON object a line (``<archive>.idx``). An archive is one unit of work.
