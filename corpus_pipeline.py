@@ -2,8 +2,8 @@
 
 Rules reject documents, repeated blocks of lines are cut from later documents, one document of each near-duplicate
 group stays, documents with benchmark passages go, and the rest is mixed to target weights. Parameters are those of
-the registered queries of the operators, but near-duplicates are texts whose sets of five-word shingles have a Jaccard
-similarity of 0.8 or more, and so the links are searched by ``similar`` and not by fingerprints.
+the registered queries of the operators; near-duplicates are texts whose fingerprints of four-word shingles differ in
+four bits or fewer.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ from logsieve.llm.decontamination import without_items
 from logsieve.llm.line_dedup import without_repeats
 from logsieve.llm.mixing import mix, mixed, mixed_texts
 from logsieve.llm.quality_rules import keep_good
-from logsieve.llm.similar import similar_documents
-from logsieve.llm.simhash import keep_one
+from logsieve.llm.simhash import keep_one, near_duplicates
 from logsieve.session import materialise
 
 
@@ -36,7 +35,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs, similar_documents(docs, shingle=5, least=0.8))
+    return keep_one(docs, near_duplicates(docs, shingle=4))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
