@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """``node, root`` of every node of ``edges`` (two columns of integers); ``root`` is the least node it reaches.
+    """``node, root`` of every node of ``edges`` (two columns of one type that has an order); ``root`` is the least node it reaches.
 
     Alternates the two star steps until the edges no longer change, a number of rounds that grows with the logarithm
     of the longest path. Each round is written, so a lost executor repeats one round. Repeated edges do no harm;

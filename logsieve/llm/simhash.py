@@ -75,8 +75,8 @@ def _ball(radius: int) -> list[int]:
     return [w - (1 << 64) if w >> 63 else w for w in words]
 
 
-def links(fps: DataFrame, most_bucket: int = 4096) -> DataFrame:
-    """Edges ``u, v`` between fingerprints (column ``fp``, distinct) that connect all at 4 or fewer differing bits.
+def links(nodes: DataFrame, most_bucket: int = 4096) -> DataFrame:
+    """Edges ``u, v`` between ``node`` values that connect all whose fingerprints (``fp``, distinct) differ in 4 bits or fewer.
 
     Four differing bits touch at most four of the eight bytes, so linked fingerprints share four bytes at their
     positions and with them one of the posting lists. In a list, pairs with four shared bytes are verified; a pair in
@@ -87,28 +87,26 @@ def links(fps: DataFrame, most_bucket: int = 4096) -> DataFrame:
     """
     masks = posting_masks()
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])
-    entries = fps.select("fp", F.posexplode(keys).alias("no", "key"))
+    entries = nodes.select("fp", "node", F.posexplode(keys).alias("no", "key"))
     shared = entries.groupBy("no", "key").agg(F.count("*").alias("n")).where("n > 1")
     crowded = materialise(entries.join(shared, ["no", "key"]), "postings")
 
     few = crowded.where(F.col("n") <= most_bucket)
-    a = few.select("no", "key", F.col("fp").alias("u"))
-    b = few.select("no", "key", F.col("fp").alias("v"))
-    x: Column = F.col("u").bitwiseXOR(F.col("v"))
+    x: Column = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     byte_shared = [(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for i in range(_BYTES)]
     tally = reduce(lambda p, q: p + q, byte_shared)
     first = F.when(x.bitwiseAND(F.lit(masks[0])) == 0, 0)
     for i, m in enumerate(masks[1:], 1):
         first = first.when(x.bitwiseAND(F.lit(m)) == 0, i)
-    paired = a.alias("a").join(
-        b.alias("b"),
-        (F.col("a.no") == F.col("b.no")) & (F.col("a.key") == F.col("b.key")) & (F.col("u") < F.col("v"))
+    paired = few.alias("a").join(
+        few.alias("b"),
+        (F.col("a.no") == F.col("b.no")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
         & (tally >= 4) & (F.bit_count(x) <= 4) & (first == F.col("a.no")),
-    ).select("u", "v")
+    ).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
-    many = crowded.where(F.col("n") > most_bucket).select("fp").distinct()
+    many = crowded.where(F.col("n") > most_bucket).select("fp", "node").distinct()
     ball = F.explode(F.transform(F.array(*map(F.lit, _ball(2))), lambda w: w.bitwiseXOR(F.col("fp"))))
-    met = many.select("fp", ball.alias("at")).groupBy("at").agg(F.collect_set("fp").alias("met")).where(F.size("met") > 1)
+    met = many.select("node", ball.alias("at")).groupBy("at").agg(F.collect_set("node").alias("met")).where(F.size("met") > 1)
     tied = met.select(F.explode("met").alias("u"), F.array_min("met").alias("v")).where("u <> v").distinct()
     return paired.union(tied)
 
@@ -126,15 +124,14 @@ def near_duplicates(
     read, an empty table gives no rows.
     """
     rows = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected(links(classes.select("fp"), most_bucket))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(named, "root").select("fp", "component_id", "root")
-    return rows.join(of_class, "fp").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash", "root"
+    # the least node of a component bears its least id, so that no row of a component has to meet the others for its name
+    node = F.struct(F.col("least").isNull().alias("unnamed"), "least", "fp").alias("node")
+    classes = rows.groupBy("fp").agg(F.min("id").alias("least")).select("fp", node)
+    roots = connected(links(classes, most_bucket)).select(F.col("node.fp").alias("fp"), "root")
+    named = classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    return rows.join(named, "fp").select(
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("root.least").alias("component_id"), "text_hash", F.col("root.fp").alias("root"),
     )
 
 

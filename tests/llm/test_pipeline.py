@@ -55,7 +55,7 @@ def plain_lines(docs, least=50):
 
 
 def plain_groups(docs):
-    fp, root = {d["doc_id"]: fingerprint(d["text"], 5) for d in docs}, {d["doc_id"]: d["doc_id"] for d in docs}
+    fp, root = {d["doc_id"]: fingerprint(d["text"], 4) for d in docs}, {d["doc_id"]: d["doc_id"] for d in docs}
 
     def find(i):
         return i if root[i] == i else find(root[i])

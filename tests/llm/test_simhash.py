@@ -60,7 +60,7 @@ def test_links_connect_as_brute_force_does(spark, most_bucket):
             values.add(v)
     values |= {0, (1 << 64) - 1, 7}
     values = sorted(values)
-    fps = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    fps = spark.createDataFrame([(signed(v),) for v in values], "fp long").withColumn("node", F.col("fp"))
     got = {r.node & (1 << 64) - 1: r.root for r in connected(links(fps, most_bucket)).collect()}
     want = plain_components(values)
     groups = {}
