@@ -364,21 +364,22 @@ def sync_status(tickets: DataFrame, snapshots: DataFrame, states: dict[str, str]
     code without a name is kept as it is; a snapshot without status leaves the old one.
     """
     latest = snapshots.groupBy("platform", "ticket_id").agg(F.max(F.struct("seen_at", "raw")).alias("_seen"))
+    return with_remote_status(tickets.join(latest, ["platform", "ticket_id"], "left"), states)
+
+
+def with_remote_status(seen: DataFrame, states: dict[str, str] = SERVICENOW_STATES) -> DataFrame:
+    """Status, raw answer and time from ``_seen`` (``seen_at, raw``), the latest snapshot of a ticket or null."""
     raw = F.when(~F.col("dry_run"), F.col("_seen.raw"))
     state = _filled(F.get_json_object(raw, "$.state"))
     code = F.coalesce(state, F.get_json_object(raw, "$.incident_state"))
     remote = F.when(F.col("platform") == "servicenow", _lookup(states, code, state)).otherwise(
         F.get_json_object(raw, "$.fields.status.name")
     )
-    return (
-        tickets.join(latest, ["platform", "ticket_id"], "left")
-        .withColumns({
-            "status": F.coalesce(_filled(remote), F.col("status")),
-            "sync_raw": raw,
-            "refreshed_at": F.when(raw.isNotNull(), F.col("_seen.seen_at")),
-        })
-        .drop("_seen")
-    )
+    return seen.withColumns({
+        "status": F.coalesce(_filled(remote), F.col("status")),
+        "sync_raw": raw,
+        "refreshed_at": F.when(raw.isNotNull(), F.col("_seen.seen_at")),
+    }).drop("_seen")
 
 
 def job_tickets(tickets: DataFrame, job_id=None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["ingest", "findings", "retrieval", "conversing", "jobbing", "ticketing", "watching", "measuring"]
+_MODULES = ["ingest", "findings", "retrieval", "conversing", "jobbing", "ticketing", "watching", "measuring", "streams"]
 
 
 def load_all() -> None:

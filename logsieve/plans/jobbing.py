@@ -38,14 +38,17 @@ _EFFECTIVE = """
       e AS (SELECT * FROM b WHERE NOT (status = 'cancelled' AND coalesce(before, '') IN ('completed', 'failed', 'cancelled')))"""
 
 
-@query("jobs_state", "O-JOB-03", with_views("transitions", f"""{_EFFECTIVE},
+STATE_SQL = with_views("transitions", f"""{_EFFECTIVE},
       s AS (SELECT job_id, max_by(status, (ts, seq)) AS status, min(ts) FILTER (status = 'running') AS started_at,
               min(ts) FILTER (status IN ('completed', 'failed', 'cancelled')) AS completed_at,
               max_by(error, (ts, seq)) FILTER (status IN ('failed', 'cancelled') AND error IS NOT NULL) AS error_message,
               CAST(count(*) FILTER (status = 'failed') AS BIGINT) AS retry_count FROM e GROUP BY job_id)
     SELECT job_id, status, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at,
            strftime(completed_at, '%Y-%m-%d %H:%M:%S') AS completed_at, error_message, retry_count,
-           status = 'failed' AND retry_count < 20 AS retry_eligible FROM s"""))
+           status = 'failed' AND retry_count < 20 AS retry_eligible FROM s""")
+
+
+@query("jobs_state", "O-JOB-03", STATE_SQL)
 def jobs_state(spark, sf_dir):
     states = jobs.job_states(view(spark, sf_dir, "transitions"), time_bucket("ts", "day"), max_retries=20)
     shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("started_at", "completed_at")}

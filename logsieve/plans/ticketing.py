@@ -182,7 +182,7 @@ def ticket_created_events(spark, sf_dir):
     ))
 
 
-@query("ticket_sync", "O-TKT-09", with_views("tickets", """
+SYNC_SQL = with_views("tickets", """
     , s AS (SELECT l_orderkey AS k, max_by(CAST(l_quantity AS INT) % 9, (l_shipdate, l_linenumber, l_partkey, l_extendedprice)) AS code FROM lineitem GROUP BY 1),
       m AS (SELECT t.*, s.code FROM tickets t LEFT JOIN s ON regexp_replace(ticket_id, '[A-Z-]+', '') = CAST(k AS VARCHAR))
     SELECT ticket_id, CASE WHEN dry_run OR code IS NULL THEN status WHEN platform = 'jira' THEN CASE WHEN code = 0 THEN status
@@ -190,19 +190,27 @@ def ticket_created_events(spark, sf_dir):
            WHEN code = 0 THEN status WHEN code = 1 THEN 'New' WHEN code = 2 THEN 'In Progress' WHEN code = 3 THEN 'On Hold'
            WHEN code = 4 THEN 'Resolved' WHEN code = 6 THEN 'Cancelled' WHEN code = 7 THEN 'Closed'
            WHEN code = 5 THEN '5' ELSE '8' END AS status,
-           NOT dry_run AND code IS NOT NULL AS synced FROM m"""))
-def ticket_sync(spark, sf_dir):
-    """Line items as snapshots of the ticket of their order; the last shipped is the latest."""
+           NOT dry_run AND code IS NOT NULL AS synced FROM m""")
+
+
+def remote_snapshots(spark, sf_dir):
+    """Line items as snapshots of the ticket of their order; ``version`` tells those of one day apart."""
     rows = table(spark, sf_dir, "lineitem").withColumn("code", F.col("l_quantity").cast("int") % 9)
     incident = F.col("l_orderkey") % 2 == 0
     raw = F.expr("""CASE WHEN code = 0 THEN '{"number":"x"}'
         WHEN l_orderkey % 2 = 0 THEN concat('{"state":"', code, '"}')
         ELSE concat('{"fields":{"status":{"name":"Jira ', code, '"}}}') END""")
-    seen = rows.select(
+    return rows.select(
         F.when(incident, "servicenow").otherwise("jira").alias("platform"),
         F.concat(F.when(incident, "INC").otherwise("OPS-"), F.col("l_orderkey")).alias("ticket_id"),
-        raw.alias("raw"), F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_extendedprice").alias("seen_at"),
+        raw.alias("raw"), F.col("l_shipdate").alias("seen_at"), F.struct("l_linenumber", "l_partkey", "l_extendedprice").alias("version"),
     )
+
+
+@query("ticket_sync", "O-TKT-09", SYNC_SQL)
+def ticket_sync(spark, sf_dir):
+    """Line items as snapshots of the ticket of their order; the last shipped is the latest."""
+    seen = remote_snapshots(spark, sf_dir).withColumn("seen_at", F.struct("seen_at", "version"))
     synced = tickets.sync_status(view(spark, sf_dir, "tickets"), seen)
     return synced.select("ticket_id", "status", F.col("sync_raw").isNotNull().alias("synced"))
 

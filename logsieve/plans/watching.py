@@ -1,4 +1,4 @@
-"""Queries over file events, job feeds, request limits, and streams replayed to their end."""
+"""Queries over file events, job feeds and request limits."""
 
 from __future__ import annotations
 
@@ -8,9 +8,7 @@ from logsieve.functions.ordering import time_bucket
 from logsieve.operators import limits, watching
 from logsieve.plans.registry import query
 from logsieve.plans.views import table, view, with_views
-from logsieve.session import scratch_dir
 from logsieve.settings import RateLimit, WatchConfig
-from logsieve.streaming import feeds
 
 _STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -169,81 +167,3 @@ def limit_busy_clients(spark, sf_dir):
     FROM requests GROUP BY ALL"""))
 def limit_clock_windows(spark, sf_dir):
     return limits.clock_window(view(spark, sf_dir, "requests"), ["client"], "ts", _MAIN)
-
-
-# ---- streams ------------------------------------------------------------------------------------
-
-
-def _as_stream(spark, sf_dir, columns: list[str], name: str):
-    """A view written to the scratch folder, a quarter of its time span after the other, and read file by file."""
-    path = scratch_dir(spark, name)
-    rows = view(spark, sf_dir, name).select(columns)
-    time = "ts" if "ts" in columns else "created_at"
-    if "ts" in columns:
-        rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
-    if "created_at" in columns:
-        rows = rows.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    if "data" in columns:
-        rows = rows.withColumn("data", F.expr(_SAID))
-    at = F.unix_micros(time)
-    ends = rows.agg(F.min(at).alias("a"), F.max(at).alias("z")).first()
-    quarter = F.least(F.floor((at - ends.a) * 4 / max(1, ends.z - ends.a)), F.lit(3))
-    for part in range(4):
-        rows.where(quarter == part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def _replayed(spark, stream, mode="append"):
-    path = scratch_dir(spark, "stream-out")
-    feeds.run_once(stream, path, scratch_dir(spark, "stream-state"), mode)
-    return spark.read.schema(stream.schema).parquet(path)
-
-
-@query("stream_counts", "O-MET-01", with_views("requests", """
-    , w AS (SELECT endpoint, time_bucket(INTERVAL 1 HOUR, ts) AS s FROM requests),
-      m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM requests)
-    SELECT endpoint, strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, CAST(count(*) AS BIGINT) AS total
-    FROM w, m WHERE s + INTERVAL 1 HOUR <= mark GROUP BY ALL"""))
-def stream_counts(spark, sf_dir):
-    """Hourly request counts as a stream: all windows the watermark has closed."""
-    stream = _as_stream(spark, sf_dir, ["ts", "endpoint"], "requests")
-    counted = feeds.windowed_counts(stream, "ts", ["endpoint"], "1 hour")
-    return _replayed(spark, counted).select(
-        "endpoint", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "total"
-    )
-
-
-@query("stream_limits", "O-STR-04", with_views("requests", f"""
-    , r AS (SELECT event_id, client, epoch_us(ts) AS t FROM requests), {_limit_sql("r", "main", _MAIN)}
-    SELECT event_id, client, window_start, n AS window_count, n <= {_MAIN.limit} AS allowed, method, endpoint, status_code
-    FROM main JOIN (SELECT event_id, method, endpoint, status_code FROM requests) USING (event_id)""", recursive=True))
-def stream_limits(spark, sf_dir):
-    """The limiter with its window as stream state, over four micro-batches."""
-    stream = _as_stream(spark, sf_dir, ["ts", "client", "event_id", "method", "endpoint", "status_code"], "requests")
-    return _replayed(spark, feeds.limit_stream(stream, "client", "ts", "event_id", _MAIN)).drop("ts")
-
-
-@query("stream_job_feed", "O-STR-01", with_views("job_events", f"""
-    , l AS (SELECT *, min(CASE WHEN {_OVER} THEN (created_at, event_id) END) OVER (PARTITION BY job_id) AS ends FROM job_events)
-    SELECT CAST(job_id AS VARCHAR) AS job_id, event_id, event_type, {_SAID} AS data FROM l
-    WHERE ends IS NULL OR (created_at, event_id) <= ends"""))
-def stream_job_feed(spark, sf_dir):
-    """Live events of every job until the one that ends it, over four micro-batches."""
-    stream = _as_stream(spark, sf_dir, ["job_id", "event_id", "event_type", "created_at", "data"], "job_events")
-    return _replayed(spark, feeds.job_feed_stream(stream)).drop("created_at")
-
-
-@query("stream_debounce", "O-WAT-01", with_views("watch_events", f"""
-    , g AS (SELECT *, CASE WHEN epoch_us(ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id)) < 3600000000 THEN 0 ELSE 1 END AS opens
-            FROM watch_events),
-      n AS (SELECT *, sum(opens) OVER (PARTITION BY path ORDER BY ts, event_id) AS nr FROM g),
-      m AS (SELECT max(ts) - INTERVAL 10 SECOND AS mark FROM watch_events),
-      s AS (SELECT path, nr, min(ts) FILTER (kind = 'created') AS created_at, max(ts) + INTERVAL 3600 SECOND AS ready_at,
-                   count(*) AS touches FROM n GROUP BY path, nr)
-    SELECT path, {_stamp_sql("created_at")} AS created_at, {_stamp_sql("ready_at")} AS ready_at, CAST(touches AS BIGINT) AS touches
-    FROM s, m WHERE created_at IS NOT NULL AND ready_at <= mark"""))
-def stream_debounce(spark, sf_dir):
-    """Sessions of file events that closed with a create among them."""
-    stream = _as_stream(spark, sf_dir, ["path", "kind", "ts", "event_id"], "watch_events")
-    ready = _replayed(spark, feeds.debounce_stream(stream, 3600))
-    return ready.withColumns({"created_at": _stamp("created_at"), "ready_at": _stamp("ready_at")})

@@ -35,12 +35,3 @@ def write_pieces(pieces: DataFrame, path: str, mode: str = "append") -> None:
 def with_job_bucket(df: DataFrame, buckets: int = 256) -> DataFrame:
     """A bounded partition column: job ids have too many values to be folders."""
     return df.withColumn("job_bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
-
-
-def idempotent_batch_writer(path: str):
-    """For ``foreachBatch``: each batch owns a folder it overwrites, so a replay changes nothing."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return write

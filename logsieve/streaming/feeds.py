@@ -1,23 +1,18 @@
-"""Streaming forms. Each takes a streaming DataFrame with an event-time column.
+"""Streaming forms by built-in operators. Each takes a streaming DataFrame with an event-time column.
 
-A stateful operator sees the rows of one key in one micro-batch together, so bound the micro-batches
-at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) where one key may hold much of them.
-``watermark`` bounds the state and decides which late rows are dropped; Spark counts them in
-``numRowsDroppedByWatermark`` of the query progress.
+``watermark`` bounds the state and decides which late rows are dropped; ``progress`` counts them. Forms that have to
+see the rows of a key in order are in ``ordered``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from logsieve.settings import TERMINAL_STATUSES, RateLimit
+from logsieve.operators.tickets import with_remote_status
 
 
 def drop_duplicate_files(files: DataFrame, ts: str = "created_at", watermark: str = "1 day") -> DataFrame:
@@ -28,7 +23,7 @@ def drop_duplicate_files(files: DataFrame, ts: str = "created_at", watermark: st
 def debounce_stream(events: DataFrame, quiet_seconds: int = 5, watermark: str = "10 seconds") -> DataFrame:
     """Sessions of file events that close after ``quiet_seconds``; only those with a create are ready.
 
-    All built-in, and a path that is created again later is ready again; ``debounce_once`` is exact.
+    All built-in, and a path that is created again later is ready again; ``ordered.debounce_once`` is exact.
     """
     sessions = events.withWatermark("ts", watermark).groupBy(
         F.session_window("ts", f"{quiet_seconds} seconds"), "path"
@@ -41,128 +36,6 @@ def debounce_stream(events: DataFrame, quiet_seconds: int = 5, watermark: str =
     )
 
 
-def debounce_once(events: DataFrame, quiet_seconds: int = 5, watermark: str = "10 seconds") -> DataFrame:
-    """Each path once, when untouched for ``quiet_seconds`` after it was created.
-
-    The state of a path that is done is one flag and is kept, as a path must never come again.
-    """
-    quiet = quiet_seconds * 1_000_000
-    columns = "path string, created_us long, ready_us long, touches long"
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        created, last, touches, done = state.get if state.exists else (-1, -1, 0, False)
-        if done:
-            return
-        ready = False
-        if state.hasTimedOut:
-            ready = True
-        else:
-            for kind, at in pd.concat(list(batches)).sort_values("at")[["kind", "at"]].itertuples(index=False):
-                if created < 0 and kind != "created":
-                    continue
-                if created >= 0 and at - last >= quiet:
-                    ready = True
-                    break
-                created, last, touches = (int(at) if created < 0 else created), int(at), touches + 1
-        if ready:
-            state.update((created, last, touches, True))
-            yield pd.DataFrame({
-                "path": [key[0]], "created_us": [created], "ready_us": [last + quiet], "touches": [touches]
-            })
-        elif created >= 0:
-            state.update((created, last, touches, False))
-            state.setTimeoutTimestamp(int(max((last + quiet) // 1000, state.getCurrentWatermarkMs()) + 1))
-
-    slim = events.withWatermark("ts", watermark).select("ts", "path", "kind", F.unix_micros("ts").alias("at"))
-    made = slim.groupBy("path").applyInPandasWithState(
-        run, columns, "created long, last long, touches long, done boolean", "append", GroupStateTimeout.EventTimeTimeout
-    )
-    return made.select(
-        "path", F.timestamp_micros("created_us").alias("created_at"), F.timestamp_micros("ready_us").alias("ready_at"),
-        "touches",
-    )
-
-
-def job_state_stream(transitions: DataFrame) -> DataFrame:
-    """Current state of a job after every micro-batch that touched it; cancellations of ended jobs are ignored.
-
-    ``transitions``: ``job_id, status, ts, seq``. A job's state is four values; use update mode.
-    """
-    columns = "job_id string, status string, started_us long, completed_us long, retry_count long"
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, started, completed, failures = state.get if state.exists else ("", -1, -1, 0)
-        for new, at in pd.concat(list(batches)).sort_values(["at", "seq"])[["status", "at"]].itertuples(index=False):
-            if new == "cancelled" and status in TERMINAL_STATUSES:
-                continue
-            status, failures = new, failures + (new == "failed")
-            if new == "running" and started < 0:
-                started = int(at)
-            if new in TERMINAL_STATUSES and completed < 0:
-                completed = int(at)
-        state.update((status, started, completed, int(failures)))
-        row = {"job_id": key[0], "status": status, "started_us": started, "completed_us": completed, "retry_count": failures}
-        yield pd.DataFrame([row])
-
-    slim = transitions.select(
-        F.col("job_id").cast("string").alias("job_id"), "status", "seq",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
-    )
-    made = slim.groupBy("job_id").applyInPandasWithState(
-        run, columns, "status string, started long, completed long, failures long", "update", GroupStateTimeout.NoTimeout
-    )
-    return made.select(
-        "job_id", "status",
-        *[F.when(F.col(f"{c}_us") >= 0, F.timestamp_micros(f"{c}_us")).alias(f"{c}_at") for c in ("started", "completed")],
-        "retry_count",
-    )
-
-
-def append_turns_stream(turns: DataFrame, order: str) -> DataFrame:
-    """Turns with all their columns, numbered on per job in the order they arrive; the state is the job's last number."""
-    kept = turns.withColumns({"job_id": F.col("job_id").cast("string"), order: F.col(order).cast("long")})
-    schema = T.StructType([*kept.schema.fields, T.StructField("sequence", T.LongType())])
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(order)
-        state.update((last + len(rows),))
-        yield rows.assign(sequence=range(last + 1, last + 1 + len(rows)))[schema.names]
-
-    return kept.groupBy("job_id").applyInPandasWithState(
-        run, schema, "last long", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def heartbeat_stream(events: DataFrame, idle: str = "15 seconds") -> DataFrame:
-    """A heartbeat per job and idle stretch, by the clock of the cluster.
-
-    The state of a job only says it is open; it ends with the event that ends the job. Runs for as
-    long as the query does, so start it with a processing-time trigger.
-    """
-    columns = "job_id string, kind string"
-    seconds = pd.Timedelta(idle).total_seconds()
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.update((True,))
-            state.setTimeoutDuration(int(seconds * 1000))
-            yield pd.DataFrame({"job_id": [key[0]], "kind": ["heartbeat"]})
-            return
-        if any(batch["event_type"].isin(TERMINAL_STATUSES).any() for batch in batches):
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "kind": ["complete"]})
-            return
-        state.update((True,))
-        state.setTimeoutDuration(int(seconds * 1000))
-
-    slim = events.select(F.col("job_id").cast("string").alias("job_id"), "event_type")
-    return slim.groupBy("job_id").applyInPandasWithState(
-        run, columns, "open boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
-
-
 def windowed_counts(
     events: DataFrame, ts: str, labels: list[str], width: str = "5 minutes", slide: str | None = None,
     watermark: str = "10 minutes",
@@ -174,90 +47,32 @@ def windowed_counts(
     )
 
 
-def rate_windows(
-    events: DataFrame, ts: str, failing: Column, threshold: float, watermark: str = "10 minutes"
-) -> DataFrame:
-    """Five-minute failure rates each 30 seconds, with the threshold test; feeds the hold of an alert."""
-    counted = windowed_counts(events.where(failing), ts, [], "5 minutes", "30 seconds", watermark)
-    return counted.withColumn("rate", F.col("total") / 300).withColumn("over", F.col("rate") > threshold)
-
-
 def batch_windows_stream(files: DataFrame, ts: str, seconds: int = 5, watermark: str = "1 minute") -> DataFrame:
     return windowed_counts(files, ts, [], f"{seconds} seconds", None, watermark)
 
 
-def limit_stream(
-    requests: DataFrame, client: str, ts: str, order: str, limit: RateLimit, watermark: str = "1 minute"
+def sync_stream(
+    tickets: DataFrame, snapshots: DataFrame, after: str = "365 days", before: str = "0 days", watermark: str = "1 day"
 ) -> DataFrame:
-    """Requests with all their columns and their request-anchored window; the state is its end and count per client.
+    """``tickets.sync_status`` as a stream: each ticket once, with the last of its snapshots up to ``after`` its creation.
 
-    Requests are taken in the order they arrive, by time within a micro-batch. One from before the window in force was
-    due in a window that has gone: it is passed on with nulls for window, count and ``allowed`` and charged to none. A
-    client's state is dropped once the watermark passes the end of its window: whatever comes then opens a new one.
+    ``tickets``: ``platform, ticket_id, created_at`` and more; ``snapshots``: ``platform, ticket_id, raw, seen_at, version``,
+    the latter telling snapshots of one time apart. A left outer join keeps tickets for the time ``after`` them and
+    snapshots for the time ``before`` tickets they may be about; a ticket is told when the watermark has passed its time,
+    also if it was never seen. Snapshots later than the watermark, or outside those times, are not taken.
     """
-    span = limit.seconds * 1_000_000
-    kept = requests.withWatermark(ts, watermark).withColumns({
-        client: F.col(client).cast("string"), order: F.col(order).cast("long"), "_at": F.unix_micros(F.col(ts)),
-    })
-    added = [("window_start", T.LongType()), ("window_count", T.LongType()), ("allowed", T.BooleanType())]
-    schema = T.StructType([*kept.drop("_at").schema.fields, *[T.StructField(n, t) for n, t in added]])
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        end, count = state.get if state.exists else (-(1 << 62), 0)
-        rows = pd.concat(list(batches)).sort_values(["_at", order])
-        starts, counts = [], []
-        for at in rows["_at"]:
-            if count and at < end - span:
-                starts.append(None)
-                counts.append(None)
-                continue
-            if at >= end:
-                end, count = at + span, 0
-            count += 1
-            starts.append(end - span)
-            counts.append(count)
-        state.update((int(end), int(count)))
-        state.setTimeoutTimestamp(int(max(end // 1000, state.getCurrentWatermarkMs()) + 1))
-        judged = rows.assign(
-            window_start=pd.array(starts, dtype="Int64"), window_count=pd.array(counts, dtype="Int64"),
-            allowed=pd.array([None if c is None else c <= limit.limit for c in counts], dtype="boolean"),
-        )
-        yield judged[schema.names]
-
-    return kept.groupBy(client).applyInPandasWithState(
-        run, schema, "end long, count long", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def job_feed_stream(events: DataFrame) -> DataFrame:
-    """Events of each job, with all their columns, up to and including the one that ends it; later ones are dropped.
-
-    ``events``: ``job_id, event_id, event_type, created_at`` and ``data``, a JSON string whose ``status`` may end the
-    job too. The state of a job is one flag.
-    """
-    said = F.coalesce(F.get_json_object("data", "$.status").isin(TERMINAL_STATUSES), F.lit(False))
-    kept = events.withColumns({
-        "job_id": F.col("job_id").cast("string"), "event_id": F.col("event_id").cast("long"),
-        "_ends": F.col("event_type").isin(TERMINAL_STATUSES) | said,
-    })
-    schema = kept.drop("_ends").schema
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            return
-        rows = pd.concat(list(batches)).sort_values(["created_at", "event_id"])
-        ends = rows["_ends"].astype(bool)
-        if ends.any():
-            state.update((True,))
-            rows = rows.iloc[: int(ends.to_numpy().argmax()) + 1]
-        yield rows[schema.names]
-
-    return kept.groupBy("job_id").applyInPandasWithState(
-        run, schema, "ended boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    own = [c for c in tickets.columns if c not in ("platform", "ticket_id")]
+    left = tickets.withWatermark("created_at", watermark)
+    right = snapshots.withWatermark("seen_at", watermark).select(
+        F.col("platform").alias("_platform"), F.col("ticket_id").alias("_ticket"), "seen_at", "version", "raw")
+    soon = (F.col("seen_at") >= F.col("created_at") - F.expr(f"INTERVAL {before}")) & (
+        F.col("seen_at") <= F.col("created_at") + F.expr(f"INTERVAL {after}"))
+    same = (F.col("platform") == F.col("_platform")) & (F.col("ticket_id") == F.col("_ticket"))
+    joined = left.join(right, same & soon, "leftOuter").select(
+        "platform", "ticket_id", *own, F.when(F.col("_ticket").isNotNull(), F.struct("seen_at", "version", "raw")).alias("_one"))
+    latest = joined.groupBy("platform", "ticket_id", *own).agg(F.max("_one").alias("_last"))
+    seen = F.when(F.col("_last").isNotNull(), F.struct("_last.seen_at", "_last.raw"))
+    return with_remote_status(latest.withColumn("_seen", seen).drop("_last"))
 
 
 def run_once(

@@ -100,13 +100,6 @@ def test_log_records_keep_broken_lines(spark):
     assert bad["_corrupt_record"] == "oops"
 
 
-def test_sinks_survive_a_replayed_batch(spark, tmp_path):
-    write = sinks.idempotent_batch_writer(str(tmp_path / "out"))
-    batch = spark.range(5)
-    write(batch, 0), write(batch, 0), write(batch, 1)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
-
-
 def test_ordering_helpers_equal_plain_windows(spark):
     rows = spark.range(2000).select(
         (F.col("id") % 3).alias("k"), F.expr("(id * 7919) % 2003").alias("n")

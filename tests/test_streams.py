@@ -3,8 +3,10 @@
 import time
 from datetime import datetime, timedelta
 
+import pytest
+
 from logsieve.settings import RateLimit
-from logsieve.streaming import feeds
+from logsieve.streaming import feeds, ordered, progress, sinks
 
 T0 = datetime(2024, 1, 1)
 
@@ -28,10 +30,12 @@ def collected(stream, tmp_path, mode="append"):
     return seen
 
 
-def test_each_path_is_ready_once(spark, tmp_path):
-    def at(seconds):
-        return T0 + timedelta(seconds=seconds)
+def at(seconds):
+    return T0 + timedelta(seconds=seconds)
+
 
+def test_each_path_is_ready_once(spark, tmp_path):
+    """Modifications put the time off, a reported path stays silent, and one that is not yet passed waits."""
     parts = [
         [("a", "created", at(0)), ("b", "modified", at(0)), ("c", "created", at(1))],
         [("a", "modified", at(4)), ("c", "modified", at(30))],
@@ -39,47 +43,139 @@ def test_each_path_is_ready_once(spark, tmp_path):
         [("a", "created", at(200)), ("z", "modified", at(300))],
     ]
     stream = batches(spark, tmp_path, "path string, kind string, ts timestamp", parts)
-    got = collected(feeds.debounce_once(stream, 5, "1 second"), tmp_path)
-    assert sorted((r.path, (r.ready_at - T0).total_seconds(), r.touches) for r in got) == [("a", 9.0, 2), ("c", 6.0, 1)]
+    got = collected(ordered.debounce_once(stream, 5, "1 second"), tmp_path)
+    assert sorted((r.path, (r.created_at - T0).total_seconds(), (r.ready_at - T0).total_seconds(), r.touches) for r in got) == [
+        ("a", 0.0, 9.0, 2), ("c", 1.0, 6.0, 1)]
+
+
+def test_a_path_is_forgotten_and_its_state_goes(spark, tmp_path):
+    parts = [
+        [(f"p{i}", "created", at(i)) for i in range(20)],
+        [("p0", "created", at(40)), (None, None, at(100))],
+        [("p1", "created", at(400)), (None, None, at(1000))],
+        [(None, None, at(5000))],
+    ]
+    stream = batches(spark, tmp_path, "path string, kind string, ts timestamp", parts)
+    seen = []
+    query = feeds.run_once(ordered.debounce_once(stream, 5, "1 second", remember="100 seconds"), "", str(tmp_path / "state"), "append",
+                           lambda batch, _: seen.extend(batch.collect()))
+    ready = sorted((r.path, int((r.created_at - T0).total_seconds())) for r in seen)
+    assert ready == sorted([(f"p{i}", i) for i in range(20)] + [("p1", 400)])
+    held = [r.state_rows for r in progress.operator_progress(spark, query).orderBy("batch_id").collect()]
+    assert max(held) >= 20 and held[-1] < 5
 
 
 def test_job_states_follow_the_transitions(spark, tmp_path):
+    """Rows of a micro-batch come in any order; each batch is written twice and the last one of a job counts."""
     rows = [
-        [("a", "running", T0, 1), ("b", "running", T0, 1)],
-        [("a", "failed", T0 + timedelta(seconds=5), 2), ("b", "cancelled", T0 + timedelta(seconds=3), 2)],
-        [("a", "cancelled", T0 + timedelta(seconds=6), 3), ("b", "cancelled", T0 + timedelta(seconds=9), 3)],
+        [("a", "failed", "late", at(5), 2), ("b", "running", None, at(0), 1), ("a", "running", None, at(0), 1)],
+        [("a", "cancelled", "x", at(6), 3), ("b", "cancelled", "stop", at(7), 2), ("b", "cancelled", "again", at(9), 3)],
+        [(None, None, None, at(500), None)],
     ]
-    stream = batches(spark, tmp_path, "job_id string, status string, ts timestamp, seq int", rows)
-    last = {r.job_id: r for r in collected(feeds.job_state_stream(stream), tmp_path, "update")}
-    assert (last["a"].status, last["a"].retry_count) == ("failed", 1)
-    assert last["a"].completed_at == T0 + timedelta(seconds=5)
-    assert last["b"].status == "cancelled" and last["b"].completed_at == T0 + timedelta(seconds=3)
+    stream = batches(spark, tmp_path, "job_id string, status string, error string, ts timestamp, seq int", rows)
+    path, write, states = str(tmp_path / "out"), sinks.latest_writer(str(tmp_path / "out")), ordered.job_state_stream(stream)
+
+    def twice(batch, number):
+        write(batch, number)
+        write(batch, number)
+
+    feeds.run_once(states, "", str(tmp_path / "state"), "update", twice)
+    last = {r.job_id: r for r in sinks.read_latest(spark, path, ["job_id"], states.schema).collect()}
+    assert (last["a"].status, last["a"].retry_count, last["a"].error_message) == ("failed", 1, "late")
+    assert last["a"].completed_at == at(5) and last["a"].retry_eligible
+    assert last["b"].status == "cancelled" and last["b"].completed_at == at(7) and last["b"].error_message == "stop"
+    sinks.compact_latest(spark, path, str(tmp_path / "small"), ["job_id"], states.schema)
+    assert {r.job_id: r for r in sinks.read_latest(spark, str(tmp_path / "small"), ["job_id"], states.schema).collect()} == last
+
+
+def test_a_batch_cut_off_between_two_tables_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "out")
+    broken = {"n": 0}
+
+    def second(batch):
+        if broken["n"] == 1:
+            raise RuntimeError("executor lost")
+        return batch.selectExpr("id * 10 AS id")
+
+    write = sinks.tables_writer(path, {"one": lambda b: b, "two": second})
+    write(spark.range(3), 0)
+    broken["n"] = 1
+    with pytest.raises(RuntimeError):
+        write(spark.range(3, 6), 1)
+    rows = lambda name: sorted((r.batch_id, r.id) for r in sinks.read_table(spark, path, name, "id long").collect())
+    assert rows("one") == [(0, 0), (0, 1), (0, 2)] and rows("two") == [(0, 0), (0, 10), (0, 20)]
+    broken["n"] = 0
+    write(spark.range(3, 6), 1)
+    assert rows("one") == [(0, 0), (0, 1), (0, 2), (1, 3), (1, 4), (1, 5)] and len(rows("two")) == 6
 
 
 def test_turns_are_numbered_on(spark, tmp_path):
-    parts = [[("a", 1, "user"), ("a", 2, "assistant")], [("a", 3, "user"), ("b", 1, "system")]]
-    stream = batches(spark, tmp_path, "job_id string, n long, role string", parts)
-    got = collected(feeds.append_turns_stream(stream, "n"), tmp_path)
+    parts = [[("a", 2, "assistant", at(2)), ("a", 1, "user", at(1))], [("a", 3, "user", at(3)), ("b", 1, "system", at(2))], [(None, None, None, at(900))]]
+    stream = batches(spark, tmp_path, "job_id string, n long, role string, ts timestamp", parts)
+    got = collected(ordered.append_turns_stream(stream, "n", "ts"), tmp_path)
     assert sorted((r.job_id, r.n, r.sequence) for r in got) == [("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 1, 1)]
 
 
-def test_a_late_request_is_charged_to_no_window(spark, tmp_path):
-    at = lambda s: datetime(2024, 1, 1, 0, 0) + timedelta(seconds=s)
-    parts = [[("a", 1, at(100), "x")], [("a", 2, at(90), "y"), ("a", 3, at(101), "z")]]
+def test_requests_are_judged_in_order_of_time_over_batches(spark, tmp_path):
+    parts = [[("a", 1, at(100), "x")], [("b", 9, at(1000), "w")], [("a", 3, at(101), "z"), ("a", 2, at(90), "y")], [(None, None, at(9000), None)]]
     stream = batches(spark, tmp_path, "client string, n long, ts timestamp, path string", parts)
-    got = collected(feeds.limit_stream(stream, "client", "ts", "n", RateLimit(1, 60), "10 minutes"), tmp_path)
-    assert sorted((r.n, r.path, r.window_count, r.allowed) for r in got) == [(1, "x", 1, True), (2, "y", None, None), (3, "z", 2, False)]
-
-
-def test_heartbeats_until_the_job_ends(spark, tmp_path):
-    stream = batches(spark, tmp_path, "job_id string, event_type string", [[("a", "started"), ("b", "completed")]])
-    query = (
-        feeds.heartbeat_stream(stream, "1 second").writeStream.format("memory").queryName("beats")
-        .trigger(processingTime="300 milliseconds").option("checkpointLocation", str(tmp_path / "state")).start()
-    )
-    deadline = time.time() + 60
-    while time.time() < deadline and spark.table("beats").where("kind = 'heartbeat'").count() < 2:
-        time.sleep(0.5)
-    query.stop()
-    kinds = {(r.job_id, r.kind) for r in spark.table("beats").collect()}
-    assert kinds == {("a", "heartbeat"), ("b", "complete")}
+    got = collected(ordered.limit_stream(stream, "client", "ts", "n", RateLimit(1, 60), "920 seconds"), tmp_path)
+    assert sorted((r.n, r.path, r.window_count, r.allowed) for r in got) == [(1, "x", 2, False), (2, "y", 1, True), (3, "z", 3, False), (9, "w", 1, True)]
+
+
+def test_busy_client_in_small_steps(spark, tmp_path):
+    """One client sends nearly everything; windows equal those of a plain walk."""
+    import random
+
+    rng = random.Random(2)
+    times = sorted(rng.sample(range(20_000), 900))
+    rows = [("hot" if i % 9 else f"c{i % 4}", i, at(t / 10)) for i, t in enumerate(times)]
+    parts = [rows[:300], rows[300:600], rows[600:], [(None, None, at(9000))]]
+    for part in parts:
+        rng.shuffle(part)
+    stream = batches(spark, tmp_path, "client string, n long, ts timestamp", parts)
+    got = {r.n: (r.window_start, r.window_count) for r in collected(ordered.limit_stream(stream, "client", "ts", "n", RateLimit(5, 30), "10 seconds"), tmp_path)}
+    want, open_ = {}, {}
+    for client, n, when in rows:
+        us = int((when - datetime(1970, 1, 1)) / timedelta(microseconds=1))
+        start, count = open_.get(client, (None, 0))
+        start, count = (us, 1) if start is None or us >= start + 30_000_000 else (start, count + 1)
+        open_[client] = want[n] = (start, count)
+    assert got == want
+
+
+def test_late_rows_are_counted_for_every_query(spark, tmp_path):
+    heard = progress.LateRows()
+    spark.streams.addListener(heard)
+    try:
+        parts = [[("a", 1, at(10_000))], [("a", 2, at(20_000))], [("a", 3, at(1)), ("b", 4, at(2)), ("a", 5, at(20_001))]]
+        stream = batches(spark, tmp_path, "client string, n long, ts timestamp", parts)
+        query = feeds.run_once(ordered.limit_stream(stream, "client", "ts", "n", RateLimit(1, 60), "1 second"), str(tmp_path / "out"), str(tmp_path / "state"))
+        assert progress.operator_progress(spark, query).selectExpr("sum(late_rows) AS n").first().n == 2
+        deadline = time.time() + 20
+        while time.time() < deadline and sum(heard.totals.values()) < 2:
+            time.sleep(0.2)
+        assert sum(heard.totals.values()) == 2
+    finally:
+        spark.streams.removeListener(heard)
+
+
+def test_heartbeats_of_idle_stretches(spark, tmp_path):
+    parts = [[("a", 1, "started", at(0), None), ("a", 2, "progress", at(50), None)],
+             [("a", 3, "progress", at(80), '{"status":"completed"}'), ("a", 4, "progress", at(200), None), ("b", 5, "started", at(60), "{}")],
+             [(None, None, None, at(900), None)]]
+    stream = batches(spark, tmp_path, "job_id string, event_id long, event_type string, created_at timestamp, data string", parts)
+    got = collected(ordered.heartbeat_stream(stream, 15), tmp_path)
+    assert sorted((r.job_id, r.kind, (r.first_at - T0).total_seconds(), (r.last_at - T0).total_seconds(), r.beats) for r in got) == [
+        ("a", "complete", 80.0, 80.0, 1), ("a", "heartbeat", 15.0, 45.0, 3), ("a", "heartbeat", 65.0, 65.0, 1)]
+
+
+def test_alert_of_a_single_series(spark, tmp_path):
+    parts = [[(at(10), True), (at(20), False)], [(at(400), True), (at(2000), False)], [(at(9000), False)]]
+    stream = batches(spark, tmp_path, "ts timestamp, bad boolean", parts)
+    from pyspark.sql import functions as F
+
+    got = collected(ordered.rate_alert_stream(stream, "ts", F.col("bad"), 0.001, 300, 60, watermark="1 minute"), tmp_path)
+    base = int((T0 - datetime(1970, 1, 1)).total_seconds())
+    ticks = sorted((r.tick - base, r.hits, r.pending_since - base, r.firing) for r in got)
+    assert ticks == [(t, 1, 30, t >= 90) for t in range(30, 301, 30)] + [(t, 1, 420, t >= 480) for t in range(420, 691, 30)]

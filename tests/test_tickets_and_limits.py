@@ -196,16 +196,6 @@ def test_embedding_widths(spark):
     assert len(rows[1]) == 64 and not any(rows[3]) and abs(sum(x * x for x in rows[1]) - 1) < 1e-6 and not any(rows[2])
 
 
-def test_streams_equal_batches(spark, tmp_path):
-    rows, df = requests(spark, 9, 400)
-    source = str(tmp_path / "in")
-    df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema("event_id long, client string, ts timestamp").parquet(source)
-    feeds.run_once(feeds.limit_stream(stream, "client", "ts", "event_id", RateLimit(2, 7)), str(tmp_path / "out"), str(tmp_path / "state"))
-    got = {r.event_id: r.window_count for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {k: n for k, (_, n) in expected_windows(rows, 7).items()}
-
-
 def test_stream_drops_duplicate_files(spark, tmp_path):
     source = str(tmp_path / "in")
     df = spark.createDataFrame([(i, f"c{i % 4}", T0) for i in range(20)], "file_id long, checksum string, created_at timestamp")
