@@ -14,7 +14,7 @@ from logsieve.plans.measuring import _EVENTS, _JOB_TYPES, _rate_sql
 from logsieve.plans.registry import REGISTRY, query
 from logsieve.plans.ticketing import SYNC_SQL, remote_snapshots
 from logsieve.plans.views import view, with_views
-from logsieve.plans.watching import _MAIN, _OVER, _SAID, _limit_sql, _stamp, _stamp_sql
+from logsieve.plans.watching import _HALF, _MAIN, _OVER, _SAID, _limit_sql, _stamp, _stamp_sql
 from logsieve.session import scratch_dir
 from logsieve.settings import WatchConfig
 from logsieve.streaming import feeds, ordered, progress, sinks
@@ -111,9 +111,6 @@ def stream_debounce_once(spark, sf_dir):
     return ready.withColumns({"created_at": _stamp("created_at"), "ready_at": _stamp("ready_at")})
 
 
-_HALF = "CASE WHEN event_id % 2 = 0 THEN 'busy' ELSE client END"
-
-
 @query("stream_limits", "O-STR-04", with_views("requests", f"""
     , r AS (SELECT event_id, {_HALF} AS client, epoch_us(ts) AS t FROM requests), {_limit_sql("r", "main", _MAIN)}
     SELECT event_id, client, window_start, n AS window_count, n <= {_MAIN.limit} AS allowed, method, endpoint, status_code

@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from logsieve.functions.ordering import time_bucket
@@ -97,17 +98,30 @@ def expected_windows(rows, seconds):
     return out
 
 
-def test_request_anchored_windows_whole_and_as_a_tree(spark):
-    for seed, seconds in [(1, 1), (2, 7), (3, 60)]:
-        rows, df = requests(spark, seed)
-        want = expected_windows(rows, seconds)
-        for busy_rows in (10**6, 50):
-            got = limits.fixed_window(df, ["client"], "ts", "event_id", RateLimit(2, seconds), busy_rows).collect()
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_request_anchored_windows(spark, parts):
+    """In one part, in a few, and in so many that a busy client fills parts one after the other."""
+    was = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for seed, seconds in [(1, 1), (2, 7), (3, 60), (4, 3600)]:
+            rows, df = requests(spark, seed)
+            want = expected_windows(rows, seconds)
+            got = limits.fixed_window(df, ["client"], "ts", "event_id", RateLimit(2, seconds)).collect()
             assert len(got) == len(rows)
             for r in got:
                 start, n = want[r.event_id]
                 assert r.window_count == n and r.allowed == (n <= 2)
                 assert r.window_start == (start - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was[1])
+
+
+def test_no_requests(spark):
+    _, df = requests(spark, 1, 3)
+    assert limits.enforce(df.limit(0), "client", "ts", "event_id", RateLimit(2, 5), RateLimit(1, 1)).count() == 0
 
 
 def test_third_request_of_a_second_is_rejected(spark):
