@@ -1,28 +1,31 @@
 """Embeddings and nearest-neighbour search.
 
-Search cuts queries and corpus into blocks of bounded size and lets every block of queries meet every block
-of the corpus (of the lists it looks into) in a group of its own. Matrices are multiplied there in tiles, and a
-group gives ``k`` rows per query, never its pairs. Scores are rounded to nine digits; equal scores order by id.
+Search sends queries in blocks of bounded size to the scan of the corpus (of the lists they look into), so the corpus is
+never shuffled. Matrices are multiplied there in tiles, and a task gives its best ``k`` rows per query, never its pairs.
+Scores are rounded to nine digits; equal scores order by id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsieve.functions.ordering import top_per_key
 from logsieve.functions.text import let
+from logsieve.session import materialise
 from logsieve.settings import FALLBACK_DIMENSION, MODEL_DIMENSIONS
+from logsieve.sources.sinks import write_table
 
 Embedder = Callable[[list[str]], np.ndarray]
 DIGITS = 9
-#: Rows of a block of queries and of the corpus, and numbers in a tile of scores (32 MB of doubles).
-QUERY_ROWS, CORPUS_ROWS, TILE_CELLS = 4096, 50_000, 4_000_000
+#: Rows of a block of queries, and numbers in a tile of scores (32 MB of doubles).
+QUERY_ROWS, TILE_CELLS = 16_384, 4_000_000
 
 
 def hashed(text: Column, dimension: int = 64) -> Column:
@@ -145,21 +148,27 @@ class _Leaders:
     def __init__(self, n: int, k: int):
         self.k = k
         self.rows: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n
-
-    def offer(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        ids, scores = _best(ids, scores, self.k)
-        held = self.rows[query]
-        if held is not None:
-            ids, scores = _best(np.concatenate([held[0], ids]), np.concatenate([held[1], scores]), self.k)
-        self.rows[query] = (ids, scores)
-
-    def table(self, query_ids: list, id_type: pa.DataType) -> pa.RecordBatch:
-        filled = [(q, *row) for q, row in zip(query_ids, self.rows) if row is not None]
+        self.floor = np.full(n, -np.inf)
+
+    def offer(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """``scores`` has a row per query; queries that none of these comes up to are passed over."""
+        for at in np.flatnonzero(scores.max(1) >= self.floor[queries]):
+            query = queries[at]
+            best = _best(ids, scores[at], self.k)
+            held = self.rows[query]
+            if held is not None:
+                best = _best(np.concatenate([held[0], best[0]]), np.concatenate([held[1], best[1]]), self.k)
+            self.rows[query] = best
+            if len(best[0]) == self.k:
+                self.floor[query] = best[1][-1]
+
+    def table(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        filled = [(q, *row) for q, row in zip(query_ids.tolist(), self.rows) if row is not None]
         counts = [len(ids) for _, ids, _ in filled]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.repeat([q for q, _, _ in filled], counts), type=id_type),
-                pa.array(np.concatenate([ids for _, ids, _ in filled]) if filled else []).cast(pa.int64()),
+                pa.array(np.repeat([q for q, _, _ in filled], counts), type=pa.int64()),
+                pa.array(np.concatenate([ids for _, ids, _ in filled]) if filled else [], type=pa.int64()),
                 pa.array(np.concatenate([s for _, _, s in filled]) if filled else [], type=pa.float64()),
             ],
             names=["query_id", "vec_id", "score"],
@@ -175,63 +184,67 @@ def _finish(candidates: DataFrame, k: int, metric: str) -> DataFrame:
     return ranked.withColumn("score", value)
 
 
-def _block_count(df: DataFrame, rows: int) -> Column:
-    return F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("long")
-
+def _scanned(corpus: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int, metric: str, probes: np.ndarray | None) -> DataFrame:
+    """Candidates of a block of queries from one pass over the corpus: at most ``k`` per query and task leave it."""
+    shared = corpus.sparkSession.sparkContext.broadcast((ids, _prepared(asked, metric), probes))
+    columns = ["vec_id", "embedding", *(["list_id"] if probes is not None else [])]
 
-def _nearest_by_blocks(
-    queries: DataFrame, corpus: DataFrame, k: int, metric: str, lists: bool, query_rows: int, corpus_rows: int
-) -> DataFrame:
-    """Candidates from every pair of a query block and a corpus block, of the same list where there are lists.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked, probes = shared.value
+        leaders, every = _Leaders(len(ids), k), np.arange(len(ids))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found, vectors = batch.column(0).to_numpy(), _prepared(_matrix(batch.column(1)), metric)
+            lists = [(slice(None), every)] if probes is None else [
+                (rows, np.flatnonzero((probes == no).any(1))) for no, rows in _by_value(batch.column(2).to_numpy())]
+            for rows, queries in lists:
+                mine, held = found[rows], vectors[rows]
+                tile = max(1, TILE_CELLS // len(mine))
+                for start in range(0, len(queries), tile):
+                    some = queries[start : start + tile]
+                    leaders.offer(some, mine, _scores(asked[some], held, metric))
+        yield leaders.table(ids)
+
+    return corpus.select(columns).mapInArrow(run, _PAIRS)
+
+
+def _by_value(values: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Places of every different value."""
+    order = np.argsort(values, kind="stable")
+    cuts = np.flatnonzero(np.diff(values[order])) + 1
+    return [(int(values[part[0]]), part) for part in np.split(order, cuts)]
+
+
+def _in_blocks(queries: DataFrame, query_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The queries block by block: ids and vectors. The driver holds one block of at most ``query_rows`` at a time."""
+    slim = queries.select("query_id", "embedding")
+    total = slim.count()
+    blocks = -(-total // query_rows)
+    if blocks > 1:
+        # dealt by a hash, with room for blocks that come out larger than the others
+        blocks = -(-total // max(1, query_rows * 3 // 4))
+        dealt = slim.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        slim = materialise(dealt.repartition("block").sortWithinPartitions("block"), "queries")
+    for block in range(blocks):
+        table = (slim if blocks == 1 else slim.where(F.col("block") == block)).select("query_id", "embedding").toArrow()
+        for at in range(0, table.num_rows, query_rows):
+            part = table.slice(at, query_rows)
+            yield part.column(0).to_numpy(), _matrix(part.column(1))
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", query_rows: int = QUERY_ROWS) -> DataFrame:
+    """Exact ``k`` nearest corpus rows of each query.
 
-    Blocks are counted per list, so a list of any size is as many blocks as it needs and no more.
+    ``queries``: ``query_id, embedding``; ``corpus``: ``vec_id, embedding``, all of one width. The corpus stays where it
+    is: a block of queries of bounded size goes to every task of its scan, and each task returns its best ``k`` per query.
     """
-    within = ["list_id"] if lists else []
-    counts = {"_qn": _block_count(queries, query_rows), "_cn": _block_count(corpus, corpus_rows)}
-
-    def blocks(df: DataFrame, key: str) -> DataFrame:
-        if not lists:
-            both = {n: d.agg(c).scalar() for (n, c), d in zip(counts.items(), (queries, corpus))}
-            return df.select(key, "embedding").withColumns(both)
-        # a row per list, of which there are as many as centroids held by the driver
-        sizes = queries.groupBy("list_id").agg(counts["_qn"].alias("_qn")).join(
-            corpus.groupBy("list_id").agg(counts["_cn"].alias("_cn")), "list_id"
-        )
-        return df.select(key, "embedding", "list_id").join(F.broadcast(sizes), "list_id")
-
-    def dealt(df: DataFrame, key: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
-        return blocks(df, key).select(
-            key, "embedding", *within, F.pmod(F.xxhash64(key), F.col(n_own)).alias(own),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1)).alias(other),
-        )
-
-    left = dealt(queries, "query_id", "_qb", "_qn", "_cb", "_cn")
-    right = dealt(corpus, "vec_id", "_cb", "_cn", "_qb", "_qn")
-
-    def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        leaders = _Leaders(asked.num_rows, k)
-        if asked.num_rows and stored.num_rows:
-            ids, vectors = stored.column("vec_id").to_numpy(), _matrix(stored.column("embedding"))
-            held, matrix = _prepared(vectors, metric), _prepared(_matrix(asked.column("embedding")), metric)
-            tile = max(1, TILE_CELLS // len(ids))
-            for start in range(0, asked.num_rows, tile):
-                for query, scores in enumerate(_scores(matrix[start : start + tile], held, metric), start):
-                    leaders.offer(query, ids, scores)
-        return pa.Table.from_batches([leaders.table(asked.column("query_id").to_pylist(), pa.int64())])
-
-    keys = [*within, "_qb", "_cb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _PAIRS)
-
+    found = [materialise(_scanned(corpus, *block, k, metric, None), "nearest") for block in _in_blocks(queries, query_rows)]
+    return _finish(_all(queries.sparkSession, found), k, metric)
 
-def nearest(
-    queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
-    query_rows: int = QUERY_ROWS, corpus_rows: int = CORPUS_ROWS,
-) -> DataFrame:
-    """Exact ``k`` nearest corpus rows of each query.
 
-    ``queries``: ``query_id, embedding``; ``corpus``: ``vec_id, embedding``, all of one width.
-    """
-    return _finish(_nearest_by_blocks(queries, corpus, k, metric, False, query_rows, corpus_rows), k, metric)
+def _all(spark: SparkSession, found: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _PAIRS)
 
 
 # ---- inverted lists -------------------------------------------------------------------------
@@ -263,37 +276,58 @@ def assign_lists(corpus: DataFrame, centroids: np.ndarray) -> DataFrame:
     return corpus.mapInArrow(run, schema)
 
 
-def _probes(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
-    """One row per query and list it looks into, worked out where the queries are."""
-    shared = queries.sparkSession.sparkContext.broadcast(centroids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                scores = _scores(_matrix(batch.column("embedding")), shared.value, "l2")
-                lists = np.argsort(-scores, axis=1, kind="stable")[:, :nprobe]
-                rows = pa.array(np.repeat(np.arange(batch.num_rows), lists.shape[1]))
-                yield pa.RecordBatch.from_arrays(
-                    [*[c.take(rows) for c in batch.columns], pa.array(lists.ravel().astype(np.int32))],
-                    names=[*batch.schema.names, "list_id"],
-                )
-
-    slim = queries.select("query_id", "embedding")
-    return slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("list_id", T.IntegerType())]))
+def _probed(asked: np.ndarray, centroids: np.ndarray, nprobe: int) -> np.ndarray:
+    """The lists that each query looks into."""
+    return np.argsort(-_scores(asked, centroids, "l2"), axis=1, kind="stable")[:, :nprobe]
 
 
 def nearest_in_lists(
-    queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int, nprobe: int = 10, metric: str = "l2",
-    query_rows: int = QUERY_ROWS, corpus_rows: int = CORPUS_ROWS,
+    queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int, nprobe: int = 10, metric: str = "l2", query_rows: int = QUERY_ROWS
 ) -> DataFrame:
     """Approximate search: each query looks only into the ``nprobe`` lists nearest to it.
 
-    Lists that no query looks into are dropped before the shuffle. With all lists probed the answer is exact.
+    Lists that no query of a block looks into are not read where ``indexed`` is stored by list. With all lists probed
+    the answer is exact.
+    """
+    found = []
+    for ids, asked in _in_blocks(queries, query_rows):
+        probes = _probed(asked, centroids, nprobe)
+        wanted = indexed.where(F.col("list_id").isin([int(n) for n in np.unique(probes)]))
+        found.append(materialise(_scanned(wanted, ids, asked, k, metric, probes), "nearest"))
+    return _finish(_all(queries.sparkSession, found), k, metric)
+
+
+# ---- a kept index -------------------------------------------------------------------------------
+
+
+def write_index(corpus: DataFrame, centroids: np.ndarray, path: str, files_per_list: int = 4) -> None:
+    """Keeps the vectors (``vec_id, embedding``) in a folder per list below ``path``, with the centroids beside them.
+
+    Rows of a list meet in a few tasks by a hash of their id, so a list with a third of all rows is not one task.
     """
-    probes = _probes(queries, centroids, nprobe)
-    wanted = F.broadcast(probes.select("list_id").distinct())  # at most one row per centroid
-    probed = indexed.select("vec_id", "embedding", "list_id").join(wanted, "list_id", "left_semi")
-    return _finish(_nearest_by_blocks(probes, probed, k, metric, True, query_rows, corpus_rows), k, metric)
+    spark = corpus.sparkSession
+    rows = [(i, [float(v) for v in c]) for i, c in enumerate(centroids)]
+    spark.createDataFrame(rows, "list_id int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    write_table(assign_lists(corpus.select("vec_id", "embedding"), centroids), f"{path}/lists", ["list_id"], "overwrite", "vec_id", files_per_list)
+
+
+def add_to_index(spark: SparkSession, more: DataFrame, path: str, files_per_list: int = 1) -> None:
+    """Adds vectors to the lists they belong to; the centroids stay as they are."""
+    write_table(assign_lists(more.select("vec_id", "embedding"), index_centroids(spark, path)), f"{path}/lists", ["list_id"], "append", "vec_id", files_per_list)
+
+
+def index_centroids(spark: SparkSession, path: str) -> np.ndarray:
+    return np.array([r.centroid for r in spark.read.parquet(f"{path}/centroids").orderBy("list_id").collect()])
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """``vec_id, embedding, list_id`` of a kept index; a condition on ``list_id`` reads only those folders."""
+    return spark.read.parquet(f"{path}/lists")
+
+
+def search_index(spark: SparkSession, queries: DataFrame, path: str, k: int, nprobe: int = 10, metric: str = "l2", query_rows: int = QUERY_ROWS) -> DataFrame:
+    """``nearest_in_lists`` over a kept index."""
+    return nearest_in_lists(queries, read_index(spark, path), index_centroids(spark, path), k, nprobe, metric, query_rows)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

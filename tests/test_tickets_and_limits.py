@@ -189,18 +189,40 @@ def test_search_ways_agree(spark):
         return {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 6)) for r in df.collect()}
 
     for metric in ("cosine", "l2"):
-        assert answer(vectors.nearest(asked, corpus, 7, metric)) == answer(vectors.nearest(asked, corpus, 7, metric, query_rows=3, corpus_rows=16))
+        assert answer(vectors.nearest(asked, corpus, 7, metric)) == answer(vectors.nearest(asked, corpus, 7, metric, query_rows=3))
     centroids = vectors.train_lists(corpus, 10)
     indexed = vectors.assign_lists(corpus, centroids)
     exact = vectors.nearest(asked, corpus, 7, "l2")
     assert answer(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=10)) == answer(exact)
-    assert answer(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=10, query_rows=3, corpus_rows=16)) == answer(exact)
+    assert answer(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=10, query_rows=3)) == answer(exact)
     few = vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=3)
-    assert answer(few) == answer(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=3, query_rows=3, corpus_rows=16))
+    assert answer(few) == answer(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=3, query_rows=3))
     some = vectors.recall(vectors.nearest_in_lists(asked, indexed, centroids, 7, nprobe=4), exact)
     assert some.agg(F.avg("recall")).first()[0] > 0.5
 
 
+def test_a_kept_index_is_pruned_and_added_to(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    points = (rng.normal(size=(900, 8)) + 6 * rng.integers(0, 3, size=(900, 8))).astype(np.float32)
+    corpus = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    path = str(tmp_path / "index")
+    vectors.write_index(corpus.where("vec_id < 600"), vectors.train_lists(corpus.where("vec_id < 600"), 9), path)
+    before = vectors.index_centroids(spark, path)
+    vectors.add_to_index(spark, corpus.where("vec_id >= 600"), path)
+    assert np.array_equal(before, vectors.index_centroids(spark, path))
+    stored = vectors.read_index(spark, path)
+    assert stored.count() == 900 and stored.select("vec_id").distinct().count() == 900
+    plan = stored.where(F.col("list_id").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
+    assert "list_id" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    asked = corpus.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = vectors.nearest(asked, corpus, 5, "l2")
+    every = vectors.search_index(spark, asked, path, 5, nprobe=9)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+    some = vectors.recall(vectors.search_index(spark, asked, path, 5, nprobe=4), exact).agg(F.avg("recall")).first()[0]
+    assert some >= 0.9
+    assert vectors.nearest(asked.limit(0), corpus, 5).count() == 0 and vectors.nearest(asked, corpus.limit(0), 5).count() == 0
+
+
 def test_embedding_widths(spark):
     assert vectors.known_dimension("text-embedding-3-small") == 1536 and vectors.known_dimension("other") == 768
     texts = spark.createDataFrame([(1, "Error error x"), (2, ""), (3, None)], "id long, content string")
