@@ -219,15 +219,17 @@ def _by_value(values: np.ndarray) -> list[tuple[int, np.ndarray]]:
 def _in_blocks(queries: DataFrame, query_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The queries block by block: ids and vectors. The driver holds one block of at most ``query_rows`` at a time."""
     slim = queries.select("query_id", "embedding")
-    total = slim.count()
-    blocks = -(-total // query_rows)
-    if blocks > 1:
-        # dealt by a hash, with room for blocks that come out larger than the others
-        blocks = -(-total // max(1, query_rows * 3 // 4))
-        dealt = slim.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        slim = materialise(dealt.repartition("block").sortWithinPartitions("block"), "queries")
+    first = slim.limit(query_rows + 1).toArrow()
+    if first.num_rows <= query_rows:
+        if first.num_rows:
+            yield first.column(0).to_numpy(), _matrix(first.column(1))
+        return
+    # dealt by a hash, with room for blocks that come out larger than the others
+    blocks = -(-slim.count() // max(1, query_rows * 3 // 4))
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    stored = materialise(dealt.repartition("block").sortWithinPartitions("block"), "queries")
     for block in range(blocks):
-        table = (slim if blocks == 1 else slim.where(F.col("block") == block)).select("query_id", "embedding").toArrow()
+        table = stored.where(F.col("block") == block).select("query_id", "embedding").toArrow()
         for at in range(0, table.num_rows, query_rows):
             part = table.slice(at, query_rows)
             yield part.column(0).to_numpy(), _matrix(part.column(1))
