@@ -169,19 +169,20 @@ def job_context(jobs: DataFrame) -> DataFrame:
     """The outcome document of each job from its JSON columns ``outputs`` and ``result_data``.
 
     Adds ``context``, a JSON object: the document, or an empty one, with an entry ``job`` of the job's id and owner
-    unless it has one.
+    unless it has a key of that name, whatever its value. Only objects with an entry are documents: lists, texts,
+    numbers, null and what is no JSON are passed over like an empty one.
     """
 
     def filled(document: Column) -> Column:
-        return F.when(~F.coalesce(document, F.lit("null")).isin("", "{}", "null", "[]"), document)
+        return F.when(F.size(F.json_object_keys(document)) > 0, document)
 
-    nested = F.get_json_object("result_data", "$.outputs")
+    def inner(document: Column, key: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(document), f"$.{key}", "variant"))
+        return F.when(kind.startswith("OBJECT<"), F.get_json_object(document, f"$.{key}"))
+
+    nested = inner(F.col("result_data"), "outputs")
     document = F.coalesce(
-        filled(F.get_json_object("outputs", "$.json")),
-        filled(F.col("outputs")),
-        filled(F.get_json_object(nested, "$.json")),
-        filled(nested),
-        F.lit("{}"),
+        filled(inner(F.col("outputs"), "json")), filled(F.col("outputs")), filled(inner(nested, "json")), filled(nested), F.lit("{}"),
     )
     entry = F.to_json(
         F.struct(F.col("job_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user_id")),
@@ -190,7 +191,7 @@ def job_context(jobs: DataFrame) -> DataFrame:
     found = F.col("_document")
     opened = F.regexp_replace(found, "\\s*\\}\\s*$", "")
     comma = F.when(F.trim(opened) == "{", "").otherwise(",")
-    whole = F.when(F.get_json_object(found, "$.job").isNotNull(), found).otherwise(
+    whole = F.when(F.array_contains(F.json_object_keys(found), "job"), found).otherwise(
         F.concat(opened, comma, F.lit('"job":'), entry, F.lit("}"))
     )
     return jobs.withColumn("_document", document).withColumn("context", whole).drop("_document")

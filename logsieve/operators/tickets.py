@@ -6,6 +6,8 @@ array<string>, categories (array<string> or string), category, tags array<string
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -184,6 +186,30 @@ def made_up_id(platform: Column, as_of: str) -> Column:
     return F.concat(platform, F.lit("-"), F.substring(digest, 1, 8))
 
 
+def _ticket(
+    platform: Column, answered: Column, answer: Callable[[str], Column], toggles: TicketToggles, as_of: str, dry_run: bool
+) -> dict[str, Column]:
+    """Columns of a ticket from what the platform answered; a preview, a disabled platform and a failed call give a dry run."""
+    enabled = platform.isin(toggles.active_platforms) if toggles.active_platforms else F.lit(False)
+    attempted = enabled & F.lit(not dry_run)
+    # Wording of errors and reasons.
+    unconfigured = F.concat(
+        platform, F.lit(" integration is not configured. Provide credentials to enable creation.")
+    )
+    preview, disabled = "preview", "feature-toggle-disabled"
+    # End of fixed values.
+    error = F.when(attempted, F.when(~answered, unconfigured).otherwise(answer("error")))
+    created = attempted & error.isNull()
+    return {
+        "ticket_id": F.when(created, answer("remote_id")).otherwise(made_up_id(platform, as_of)),
+        "url": F.when(created, answer("remote_url")),
+        "status": F.when(created, F.coalesce(answer("remote_status"), F.lit("created"))).otherwise("dry-run"),
+        "dry_run": ~created,
+        "dry_run_reason": F.when(~attempted, F.lit(preview if dry_run else disabled)),
+        "error": error,
+    }
+
+
 def create_tickets(
     prepared: DataFrame, outcomes: DataFrame, toggles: TicketToggles, as_of: str, dry_run: bool = False
 ) -> DataFrame:
@@ -193,26 +219,9 @@ def create_tickets(
     platform, remote_id, remote_url, remote_status, error``, one row per call made; a missing row means
     the platform is not configured. A preview, a disabled platform and a failed call all give a dry run.
     """
-    platform = F.col("platform")
-    enabled = platform.isin(toggles.active_platforms) if toggles.active_platforms else F.lit(False)
-    attempted = enabled & F.lit(not dry_run)
-    unconfigured = F.concat(
-        platform, F.lit(" integration is not configured. Provide credentials to enable creation.")
-    )
-    error = F.when(attempted, F.when(F.col("_answered").isNull(), unconfigured).otherwise(F.col("error")))
-    created = attempted & error.isNull()
-    return (
-        prepared.join(outcomes.withColumn("_answered", F.lit(True)), ["job_id", "platform"], "left")
-        .select(
-            "job_id", "platform", "profile_name", "payload",
-            F.when(created, F.col("remote_id")).otherwise(made_up_id(platform, as_of)).alias("ticket_id"),
-            F.when(created, F.col("remote_url")).alias("url"),
-            F.when(created, F.coalesce("remote_status", F.lit("created"))).otherwise("dry-run").alias("status"),
-            (~created).alias("dry_run"),
-            F.when(~attempted, F.lit("preview") if dry_run else F.lit("feature-toggle-disabled"))
-            .alias("dry_run_reason"),
-            error.alias("error"),
-        )
+    columns = _ticket(F.col("platform"), F.col("_answered").isNotNull(), F.col, toggles, as_of, dry_run)
+    return prepared.join(outcomes.withColumn("_answered", F.lit(True)), ["job_id", "platform"], "left").select(
+        "job_id", "platform", "profile_name", "payload", *[c.alias(n) for n, c in columns.items()]
     )
 
 
@@ -229,50 +238,43 @@ def dispatch(
 
     ``outcomes_of_jobs`` may hold ``servicenow_overrides`` and ``jira_overrides`` structs. With dual
     tracking, a real incident is named in the description of the job's Jira issue: the link replaces
-    the generated description, or follows an overriding one.
+    the generated description, or follows an overriding one. The answers of a job, one per platform, are put in one row
+    and joined once; both payloads and the link are worked out there before a job unfolds into its tickets.
     """
-    rows = outcomes_of_jobs
-    if "profile_name" not in rows.columns:
-        rows = rows.withColumn("profile_name", F.lit(None).cast("string"))
-    made: list[DataFrame] = []
-    incidents = None
-    for order, platform in enumerate(toggles.active_platforms):
-        if platform == "servicenow":
-            ready = servicenow_payload(rows, servicenow)
-        else:
-            ready = jira_payload(rows, jira)
+    platforms = toggles.active_platforms
+    if not platforms:
+        raise ValueError("no platform is enabled")
+    ready = outcomes_of_jobs
+    if "profile_name" not in ready.columns:
+        ready = ready.withColumn("profile_name", F.lit(None).cast("string"))
+    told = F.struct("remote_id", "remote_url", "remote_status", "error")
+    called = answers.groupBy("job_id").agg(
+        *[F.first(F.when(F.col("platform") == p, told), ignorenulls=True).alias(f"_answer_{p}") for p in platforms])
+    ready = ready.join(called, "job_id", "left")
+    linked = {c: F.lit(None).cast("string") for c in ("linked_ticket_id", "linked_url")}
+    for order, platform in enumerate(platforms, 1):
+        ready = servicenow_payload(ready, servicenow) if platform == "servicenow" else jira_payload(ready, jira)
         overrides = f"{platform}_overrides"
-        given = overrides in rows.columns
-        if platform == "jira" and toggles.dual_tracking and incidents is not None:
-            real = incidents.where(~F.col("dry_run")).select(
-                "job_id", F.col("ticket_id").alias("linked_ticket_id"), F.col("url").alias("linked_url")
-            )
-            ready = _link(ready.join(real, "job_id", "left"), overrides, given)
-            given = True
+        given = overrides in ready.columns
+        if platform == "jira" and toggles.dual_tracking:
+            real = ~F.col("_servicenow.dry_run")
+            linked = {"linked_ticket_id": F.when(real, F.col("_servicenow.ticket_id")), "linked_url": F.when(real, F.col("_servicenow.url"))}
+            ready = _link(ready.withColumns(linked), overrides, given)
+            linked, given = {c: F.col(c) for c in linked}, True
         if given:
             ready = apply_overrides(ready, "payload", overrides)
-        linked = [c for c in ("linked_ticket_id", "linked_url") if c in ready.columns]
-        prepared = ready.select(
-            "job_id", F.lit(platform).alias("platform"), F.to_json("payload").alias("payload"), "profile_name", *linked
-        )
-        tickets = create_tickets(prepared.drop(*linked), answers, toggles, as_of, dry_run)
-        if linked:
-            tickets = tickets.join(prepared.select("job_id", *linked), "job_id")
-        else:
-            tickets = tickets.withColumns({
-                "linked_ticket_id": F.lit(None).cast("string"), "linked_url": F.lit(None).cast("string")
-            })
-        tickets = tickets.withColumn("dispatch_order", F.lit(order + 1))
-        if platform == "servicenow":
-            incidents = tickets
-        made.append(tickets)
-    if not made:
-        raise ValueError("no platform is enabled")
-    return made[0] if len(made) == 1 else made[0].unionByName(made[1])
+        answer = F.col(f"_answer_{platform}")
+        columns = {"platform": F.lit(platform), "profile_name": F.col("profile_name"), "payload": F.to_json("payload")}
+        columns |= _ticket(F.lit(platform), answer.isNotNull(), answer.getField, toggles, as_of, dry_run)
+        columns |= linked | {"dispatch_order": F.lit(order)}
+        ready = ready.withColumn(f"_{platform}", F.struct(*[c.alias(n) for n, c in columns.items()])).drop("payload")
+    return ready.select("job_id", F.explode(F.array(*[f"_{p}" for p in platforms])).alias("_ticket")).select("job_id", "_ticket.*")
 
 
 def _link(ready: DataFrame, overrides: str, given: bool) -> DataFrame:
+    # Wording of the link.
     link = F.concat(F.lit("Linked ServiceNow Incident: "), F.col("linked_ticket_id"))
+    # End of fixed values.
     if not given:
         return ready.withColumn(overrides, F.struct(link.alias("description")))
     names = ready.schema[overrides].dataType.names

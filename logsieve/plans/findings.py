@@ -115,6 +115,20 @@ def log_line_keywords(spark, sf_dir):
     return profiling.top_keywords(words, ["file_id"]).select("file_id", "word", "n", "rank")
 
 
+@query("log_sketched_keywords", "O-LOG-05", with_views("files", """
+    , w AS (SELECT job_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM files),
+      c AS (SELECT job_id, word, count(*) AS n, sum(count(*)) OVER (PARTITION BY job_id) AS words FROM w GROUP BY job_id, word)
+    SELECT job_id, word, CAST(n AS BIGINT) AS n, CAST(words AS BIGINT) AS words, true AS exact FROM c WHERE 500 * n >= words"""))
+def log_sketched_keywords(spark, sf_dir):
+    """Words that are two in a thousand of a job's, from sketches kept per hour and combined."""
+    texts = view(spark, sf_dir, "files").withColumn("hour", F.date_format("created_at", "yyyy-MM-dd-HH"))
+    path = scratch_dir(spark, "sketches")
+    made = profiling.keyword_sketches(profiling.words_of_texts(texts, ["job_id", "hour"]), ["job_id", "hour"], 200_000)
+    sinks.write_table(made, path, ["hour"])
+    kept = profiling.combine_sketches(spark.read.parquet(path), ["job_id"], 200_000)
+    return profiling.sketched_keywords(kept, ["job_id"], 500, 200_000).where("500 * n >= words")
+
+
 @query("log_samples", "O-LOG-06", with_views("files", f"""
     , l AS (SELECT file_id, {split_sql("text")} AS lines FROM files)
     SELECT file_id, md5(array_to_string(lines[1:5], chr(10))) AS head,
@@ -376,6 +390,22 @@ def log_prompt(spark, sf_dir):
     return reports.whole(reports.prompts(jobs, made, time_bucket("created_at")), "prompt")
 
 
+@query("report_pieces", "O-LOG-14", _report_sql(
+    """'- ' || filename || ' (lines=' || line_count || ', errors=' || error_count || ', warnings=' || warning_count
+       || ', critical=' || critical_count || ', top_keywords=' || array_to_string(top_keywords[1:5], ', ') || ')'""",
+    """SELECT job_id, CAST(unnest(range(0, len(x))) AS BIGINT) AS piece_no, md5(unnest(x)) AS digest FROM (SELECT job_id, list_concat(
+             ['Job ID: ' || job_id || chr(10) || 'Scenario: log_analysis' || chr(10) || chr(10)
+              || 'Provide a concise root cause assessment and remediation plan based on the following file summaries:'],
+             list_transform(blocks, lambda b: chr(10) || b),
+             [chr(10) || chr(10) || 'Focus on likely causes, impacted areas, and actionable remediation steps.']) AS x FROM p)"""))
+def report_pieces(spark, sf_dir):
+    """The prompt of every job written in pieces, which no task has to hold together, and read back."""
+    jobs, made = report_inputs(spark, sf_dir)
+    path = scratch_dir(spark, "pieces")
+    sinks.write_pieces(reports.prompts(jobs, made, time_bucket("created_at")), path)
+    return spark.read.parquet(path).select("job_id", "piece_no", digest(F.col("text")).alias("digest"))
+
+
 @query("report_markdown", "O-LOG-15", _report_sql(
     """concat_ws(chr(10), '### ' || filename, '- Lines: ' || line_count || ', Errors: ' || error_count || ', Warnings: '
        || warning_count || ', Critical: ' || critical_count, '- Top Keywords: ' || array_to_string(top_keywords[1:5], ', '),

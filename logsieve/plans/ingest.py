@@ -8,7 +8,7 @@ from logsieve.functions.ordering import time_bucket
 from logsieve.operators import chunks, privacy
 from logsieve.plans.registry import query
 from logsieve.plans.views import table, view, with_views
-from logsieve.session import materialise
+from logsieve.session import materialise, scratch_dir
 from logsieve.settings import FilePolicy, PrivacyPolicy, WatchConfig
 from logsieve.sources import files, records
 
@@ -16,14 +16,48 @@ _EXT = "lower(regexp_extract(regexp_extract(filename, '([^/]*)/*$', 1), '^.+\\.(
 _ALLOWED = "('log', 'txt', 'json', 'xml', 'csv', 'yaml', 'yml')"
 
 
-@query("source_discover", "O-SRC-01", with_views("paths", """
-    SELECT file_id, path FROM paths
-    WHERE regexp_matches(path, '\\.(log|txt|json|csv)$') AND NOT regexp_matches(path, '/~[^/]*$')
-      AND NOT path LIKE '%.tmp'"""))
-def source_discover(spark, sf_dir):
+_KEPT = """regexp_matches(path, '\\.(log|txt|json|csv)$') AND NOT regexp_matches(path, '/~[^/]*$') AND NOT path LIKE '%.tmp'"""
+
+
+@query("source_paths", "O-SRC-01", with_views("paths", f"SELECT file_id, path FROM paths WHERE {_KEPT}"))
+def source_paths(spark, sf_dir):
     return files.matching_paths(view(spark, sf_dir, "paths"), WatchConfig()).select("file_id", "path")
 
 
+def _write_files(rows, folder: str) -> None:
+    """One file per row (``file_id, path, content``) below ``folder``, which the executors share."""
+
+    def run(batches):
+        import pyarrow.fs
+
+        store, root = pyarrow.fs.FileSystem.from_uri(folder) if ":/" in folder else (pyarrow.fs.LocalFileSystem(), folder)
+        for batch in batches:
+            for number, path, content in zip(*[c.to_pylist() for c in batch.columns]):
+                name = f"{root}/{number % 100}/{number}{path}"
+                store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(name) as out:
+                    out.write(content)
+            yield batch.slice(0, 0)
+
+    slim = rows.select("file_id", "path", "content")
+    slim.mapInArrow(run, slim.schema).write.format("noop").mode("overwrite").save()
+
+
+@query("source_discover", "O-SRC-01", with_views("paths", f"""
+    SELECT file_id, path, CAST(octet_length(encode(text)) AS BIGINT) AS length, sha256(text) AS checksum FROM paths
+    WHERE {_KEPT} AND octet_length(encode(text)) <= 1048576"""))
+def source_discover(spark, sf_dir):
+    """Every document written as a file, and those found that a watched folder takes, up to a megabyte."""
+    folder = scratch_dir(spark, "watched")
+    _write_files(view(spark, sf_dir, "paths").withColumn("content", F.col("text").cast("binary")), folder)
+    found = files.discover(spark, WatchConfig(roots=(folder,), max_file_size_mb=1))
+    own = r"/[0-9]+/([0-9]+)(/data/.*)$"
+    return found.select(
+        F.regexp_extract("path", own, 1).cast("long").alias("file_id"), F.regexp_extract("path", own, 2).alias("path"),
+        "length", F.sha2("content", 256).alias("checksum"),
+    )
+
+
 @query("source_precheck", "O-SRC-02", with_views("uploads", f"""
     , e AS (SELECT *, {_EXT} AS ext FROM uploads)
     SELECT file_id, ext IN {_ALLOWED} AND file_size <= 104857600 AS is_allowed,
@@ -37,19 +71,16 @@ def source_precheck(spark, sf_dir):
 
 
 def _odd_uploads(spark, sf_dir):
-    """Uploads with some contents empty and some mostly not printable."""
+    """All uploads, every 13th behind a head that does not print, and an empty file beside every 11th."""
     uploads = view(spark, sf_dir, "uploads")
-    odd = (
-        F.when(F.col("file_id") % 11 == 0, F.lit(""))
-        .when(F.col("file_id") % 13 == 0, F.concat(F.lit("é" * 50), F.substring("text", 1, 20)))
-        .otherwise(F.col("text"))
-    )
-    return uploads.withColumn("content", odd.cast("binary"))
+    odd = F.when(F.col("file_id") % 13 == 0, F.concat(F.lit("é" * 2048), F.col("text"))).otherwise(F.col("text"))
+    empty = uploads.where("file_id % 11 = 0").withColumns({"file_id": -F.col("file_id") - 1, "content": F.lit("").cast("binary")})
+    return uploads.withColumn("content", odd.cast("binary")).unionByName(empty)
 
 
 @query("source_upload_gate", "O-SRC-03", with_views("uploads", f"""
-    , c AS (SELECT *, {_EXT} AS ext, encode(CASE WHEN file_id % 11 = 0 THEN ''
-              WHEN file_id % 13 = 0 THEN repeat('é', 50) || substr(text, 1, 20) ELSE text END) AS content FROM uploads),
+    , c AS (SELECT file_id, {_EXT} AS ext, encode(CASE WHEN file_id % 13 = 0 THEN repeat('é', 2048) || text ELSE text END) AS content FROM uploads
+            UNION ALL SELECT -file_id - 1, {_EXT}, encode('') FROM uploads WHERE file_id % 11 = 0),
       s AS (SELECT *, regexp_extract_all(substr(hex(content), 1, 8192), '..') AS bytes FROM c)
     SELECT file_id, CASE WHEN ext <> '' AND ext NOT IN {_ALLOWED} THEN 'Unsupported file extension ''.' || ext || ''''
         WHEN octet_length(content) = 0 THEN 'Empty files are not allowed'

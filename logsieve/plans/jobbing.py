@@ -138,21 +138,21 @@ def jobs_retention(spark, sf_dir):
 
 
 @query("jobs_with_children", "O-JOB-10", with_views("jobs", """
-    , c AS (SELECT l_orderkey AS job_id, CAST(l_linenumber AS BIGINT) AS child_id, 'line' AS child_kind FROM lineitem
-            UNION ALL SELECT conv_id, turn, 'turn' FROM conversations)
-    SELECT job_id, status, child_id, child_kind FROM jobs LEFT JOIN c USING (job_id)"""))
+    , c AS (SELECT l_orderkey AS job_id, CAST(l_linenumber AS BIGINT) AS child_id, 'line' AS child_kind,
+                   md5('{"l_partkey":' || l_partkey || ',"l_suppkey":' || l_suppkey || '}') AS child FROM lineitem
+            UNION ALL SELECT conv_id, turn, 'turn', md5(text) FROM conversations)
+    SELECT job_id, status, child_id, child_kind, child FROM jobs LEFT JOIN c USING (job_id)"""))
 def jobs_with_children(spark, sf_dir):
+    """Every job with its line items as JSON and its turns as text; the payload is shown by its digest."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").cast("long").alias("child_id"),
-        F.to_json(F.struct("l_quantity", "l_shipdate")).alias("child"),
+        F.to_json(F.struct("l_partkey", "l_suppkey")).alias("child"),
     )
     turns = view(spark, sf_dir, "turns").select(
         "job_id", F.col("sequence").alias("child_id"), F.col("content").alias("child")
     )
     every = view(spark, sf_dir, "jobs").select("job_id", "status")
-    return jobs.jobs_with_children(every, {"line": lines, "turn": turns}).select(
-        "job_id", "status", "child_id", "child_kind"
-    )
+    return jobs.jobs_with_children(every, {"line": lines, "turn": turns}).withColumn("child", F.md5(F.col("child").cast("binary")))
 
 
 @query("jobs_child_counts", "O-JOB-10", with_views("jobs", """
@@ -180,12 +180,16 @@ def _documented(spark, sf_dir):
 
 
 @query("jobs_context", "O-JOB-11", with_views("jobs", """
-    SELECT job_id, user_id, '{' || CASE job_id % 5 WHEN 0 THEN '"severity":"high","n":' || job_id || ','
+    SELECT job_id, user_id, CASE WHEN job_id % 5 = 4 AND job_id % 3 = 2 THEN '{"job":null,"n":1}' ELSE
+           '{' || CASE job_id % 5 WHEN 0 THEN '"severity":"high","n":' || job_id || ','
            WHEN 1 THEN '"severity":"low","n":' || job_id || ',' WHEN 2 THEN '"severity":"critical","n":' || job_id || ','
            WHEN 3 THEN '"severity":"moderate","n":' || job_id || ',' ELSE '' END
-           || '"job":{"id":"' || job_id || '","user_id":"' || user_id || '"}}' AS context FROM jobs"""))
+           || '"job":{"id":"' || job_id || '","user_id":"' || user_id || '"}}' END AS context FROM jobs"""))
 def jobs_context(spark, sf_dir):
-    return jobs.job_context(_documented(spark, sf_dir)).select("job_id", "user_id", "context")
+    """Documents in all places; among the jobs without one some have a list, a text or a document with a null job."""
+    odd = F.when(F.col("job_id") % 5 != 4, F.col("outputs")).when(F.col("job_id") % 3 == 0, "[1, 2]").when(
+        F.col("job_id") % 3 == 1, '"text"').otherwise('{"job":null,"n":1}')
+    return jobs.job_context(_documented(spark, sf_dir).withColumn("outputs", odd)).select("job_id", "user_id", "context")
 
 
 @query("jobs_summary", "O-JOB-12", with_views("jobs", """

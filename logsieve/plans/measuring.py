@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logsieve.functions.text import extension
 from logsieve.operators import metrics
 from logsieve.plans.registry import query
 from logsieve.plans.views import view, with_views
 from logsieve.settings import HISTOGRAM_BOUNDS
+from logsieve.sources import files
 
 
 @query("metric_counters", "O-MET-01", with_views("requests", """
@@ -22,6 +24,40 @@ def metric_job_counters(spark, sf_dir):
     return metrics.counter(view(spark, sf_dir, "jobs"), ["job_type", "status"])
 
 
+@query("metric_file_counters", "O-MET-01", with_views("uploads", """
+    , f AS (SELECT file_size, lower(regexp_extract(regexp_extract(filename, '([^/]*)/*$', 1), '^.+\\.([^.]+)$', 1)) AS file_type FROM uploads),
+      g AS (SELECT *, CASE WHEN file_type IN ('log', 'txt', 'json', 'xml', 'csv', 'yaml', 'yml') AND file_size <= 104857600
+                      THEN 'accepted' ELSE 'rejected' END AS status FROM f)
+    SELECT file_type, status, CAST(count(*) AS BIGINT) AS total, CAST(sum(file_size) AS BIGINT) AS bytes FROM g GROUP BY ALL"""))
+def metric_file_counters(spark, sf_dir):
+    """Files and bytes by type and by what the check of their name and size said."""
+    checked = files.precheck(view(spark, sf_dir, "uploads"))
+    said = checked.select(extension(F.col("filename")).alias("file_type"), "file_size", F.when(F.col("is_allowed"), "accepted").otherwise("rejected").alias("status"))
+    labels = ["file_type", "status"]
+    sizes = metrics.counter(said, labels, F.col("file_size")).withColumnRenamed("total", "bytes")
+    return metrics.counter(said, labels).join(sizes, labels)
+
+
+@query("metric_embedding_counters", "O-MET-01", with_views("model_calls", """
+    SELECT provider, CAST(sum(asked) AS BIGINT) AS total FROM model_calls WHERE status = 'success' GROUP BY provider"""))
+def metric_embedding_counters(spark, sf_dir):
+    """Embeddings by provider; a call gives as many as it asked for."""
+    calls = view(spark, sf_dir, "model_calls").where("status = 'success'")
+    return metrics.counter(calls, ["provider"], F.col("asked"))
+
+
+@query("metric_error_counters", "O-MET-01", with_views("requests model_calls", """
+    SELECT CASE WHEN status_code >= 500 THEN 'server' ELSE 'client' END AS error_type, endpoint AS component,
+           CAST(count(*) AS BIGINT) AS total FROM requests WHERE status_code >= 400 GROUP BY ALL
+    UNION ALL SELECT 'inference', provider, CAST(count(*) AS BIGINT) FROM model_calls WHERE status = 'error' GROUP BY provider"""))
+def metric_error_counters(spark, sf_dir):
+    """Errors by type and component: failed requests by endpoint, failed model calls by provider."""
+    failed = view(spark, sf_dir, "requests").where("status_code >= 400").select(
+        F.when(F.col("status_code") >= 500, "server").otherwise("client").alias("error_type"), F.col("endpoint").alias("component"))
+    calls = view(spark, sf_dir, "model_calls").where("status = 'error'").select(F.lit("inference").alias("error_type"), F.col("provider").alias("component"))
+    return metrics.counter(failed.unionByName(calls), ["error_type", "component"])
+
+
 @query("metric_histogram", "O-MET-02", with_views("requests", f"""
     , b AS (SELECT unnest([{', '.join(map(str, HISTOGRAM_BOUNDS))}, CAST('inf' AS DOUBLE)]) AS bound)
     SELECT method, endpoint, CASE WHEN isinf(bound) THEN '+Inf' ELSE CAST(bound AS VARCHAR) END AS le,

@@ -22,19 +22,24 @@ def discover(spark: SparkSession, config: WatchConfig) -> DataFrame:
     Names outside the include globs are dropped when folders are listed, and the size limit is pushed to the reader,
     so neither is read.
     """
+    reader = spark.read.format("binaryFile").options(**_listing(config))
+    return matching_paths(_small(reader.load(list(config.roots)), config), config)
+
+
+def _listing(config: WatchConfig) -> dict[str, str]:
     names = sorted({glob.rsplit("/", 1)[-1] for glob in config.include_globs})
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(names) + "}")
-    small = reader.load(list(config.roots)).where(F.col("length") <= FilePolicy().max_bytes)
-    return matching_paths(small, config)
+    return {"recursiveFileLookup": "true", "pathGlobFilter": "{" + ",".join(names) + "}"}
+
+
+def _small(found: DataFrame, config: WatchConfig) -> DataFrame:
+    return found.where(F.col("length") <= config.max_file_size_mb * 1024 * 1024)
 
 
 def discover_stream(spark: SparkSession, config: WatchConfig, files_per_trigger: int = 1000) -> DataFrame:
-    """The same as an endless source; each root is watched by its own file stream."""
+    """The same as an endless source; each root is watched by its own file stream. Other names and large files are not read."""
     streams = [
-        spark.readStream.format("binaryFile").schema(BINARY_FILE)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .load(root)
+        _small(spark.readStream.format("binaryFile").schema(BINARY_FILE).options(**_listing(config))
+               .option("maxFilesPerTrigger", files_per_trigger).load(root), config)
         for root in config.roots
     ]
     found = streams[0]

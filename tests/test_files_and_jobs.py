@@ -81,10 +81,10 @@ def test_stored_names_skip_names_in_use(spark):
 
 
 def test_discovery_reads_and_streams_folders(spark, tmp_path):
-    for name in ("a.log", "sub/b.txt", "~c.log", "d.tmp", "e.bin"):
+    for name in ("a.log", "sub/b.txt", "~c.log", "d.tmp", "e.bin", "large.log"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).write_bytes(b"hello")
-    config = WatchConfig(roots=(str(tmp_path),))
+        (tmp_path / name).write_bytes(b"hello" * (300_000 if "large" in name else 1))
+    config = WatchConfig(roots=(str(tmp_path),), max_file_size_mb=1)
     found = {r.path.rsplit("/", 1)[1] for r in files.discover(spark, config).select("path").collect()}
     assert found == {"a.log", "b.txt"}
     stream = files.discover_stream(spark, config).select("path")
@@ -93,6 +93,37 @@ def test_discovery_reads_and_streams_folders(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1] for r in spark.table("found").collect()} == found
 
 
+def test_only_objects_are_job_contexts(spark):
+    rows = [("a", '[1,2]', None), ("b", '"text"', None), ("c", "no json", None), ("d", "7", None), ("e", '{"job":null,"x":1}', None), ("f", ' {"x":1} ', None),
+            ("g", '{"json":[1],"y":2}', None), ("h", '{"json":{"z":3},"y":2}', None), ("i", "{}", '{"outputs":{"json":"{}","w":1}}'),
+            ("j", None, '{"outputs":[1]}'), ("k", '{"json":{}}', None), ("l", None, None)]
+    given = spark.createDataFrame([(i, "u", o, r) for i, o, r in rows], "job_id string, user_id string, outputs string, result_data string")
+    got = {r.job_id: json.loads(r.context) for r in jobs.job_context(given).collect()}
+    own = {i: {"id": i, "user_id": "u"} for i, *_ in rows}
+    assert got == {i: {"job": own[i]} for i in "abcdjl"} | {
+        "e": {"job": None, "x": 1}, "f": {"x": 1, "job": own["f"]}, "g": {"json": [1], "y": 2, "job": own["g"]}, "h": {"z": 3, "job": own["h"]},
+        "i": {"json": "{}", "w": 1, "job": own["i"]}, "k": {"json": {}, "job": own["k"]}}
+
+
+def test_sketched_keywords(spark):
+    """Exact while a sketch holds all words; with fewer places within the stated error, and no frequent word is missed."""
+    import random
+
+    rng = random.Random(6)
+    words = [f"w{int(rng.paretovariate(1))}" for _ in range(20_000)]
+    rows = spark.createDataFrame([("j", i % 7, w) for i, w in enumerate(words)], "job_id string, day int, word string")
+    truth = {w: words.count(w) for w in set(words)}
+    for tracked in (10_000, 40):
+        kept = profiling.combine_sketches(profiling.keyword_sketches(rows, ["job_id", "day"], tracked), ["job_id"], tracked)
+        got = profiling.sketched_keywords(kept, ["job_id"], 5, tracked).collect()
+        assert {r.exact for r in got} == {tracked == 10_000} and {r.words for r in got} == {20_000}
+        error = 0 if tracked == 10_000 else 3.5 * 20_000 / tracked
+        assert all(abs(r.n - truth[r.word]) <= error for r in got)
+        assert {w for w, n in truth.items() if n > error and sum(m > n for m in truth.values()) < 5} <= {r.word for r in got}
+        if not error:
+            assert sorted((r.n for r in got), reverse=True) == sorted(truth.values(), reverse=True)[:5]
+
+
 def test_log_records_keep_broken_lines(spark):
     rows = spark.createDataFrame([(json.dumps({"level": "INFO", "line": 3, "timestamp": "2024-01-01T00:00:00+00:00"}),), ("oops",)], "line string")
     good, bad = sorted(records.parse_log_records(rows).collect(), key=lambda r: r.level is None)
