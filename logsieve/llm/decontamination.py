@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from logsieve.llm.words import byte_words
+from logsieve.session import materialise
 
 #: Words that may be inserted, deleted or changed: a similarity of 0.8 or more.
 MOST_EDITS = 0.2
-#: Keys of a window, and sampled coordinates of its embedding in each key. At the bound the embeddings of a window
-#: and its item agree in about half of the coordinates, so a key meets with 1/4 and all miss with under 1 %. That holds
-#: for items of so many words at most: walks of longer ones fall out of step, so their windows are all compared.
-TABLES, SAMPLED, KEYED = 20, 2, 40
+#: Items of more words are cut into pieces of about this length, at most. Where a passage is within the bound of an item,
+#: it is within the bound of one piece at least, as the edits of the pieces add up to those of the item.
+PIECE = 24
+#: Keys of a window, and sampled coordinates of its embedding in each key. Walks of longer windows fall further out of
+#: step, which is why items are cut: the recall of these keys holds for pieces, and so for items of any length.
+TABLES, SAMPLED = 28, 2
 #: Items are sent to the tasks in blocks of so many words at most; each block is a pass over the documents.
 BLOCK_WORDS = 2_000_000
 
@@ -88,32 +94,31 @@ def distance(window: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """From and to of the pieces of an item of ``n`` words, of nearly equal length."""
+    count = -(-n // PIECE)
+    cuts = [n * i // count for i in range(count + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
 class Items:
-    """A block of benchmark items as word numbers, with what places and keys windows."""
+    """A block of benchmark items as word numbers, their pieces, and the runs that place windows."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]]):
+    def __init__(self, items: list[tuple[object, list[bytes]]]):
         vocabulary = sorted({w for _, ws in items for w in ws})
         number = {w: i for i, w in enumerate(vocabulary)}
         self.vocabulary = [w.decode("utf-8", "replace") for w in vocabulary]
         self.words = [np.array([number[w] for w in ws], np.int32) for _, ws in items]
         self.ids = [i for i, _ in items]
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        self.long_seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        short: dict[int, list[tuple[int, int, int]]] = {}
-        long: dict[int, list[tuple[int, int, int]]] = {}
-        for k, ws in enumerate(self.words):
-            n = len(ws)
-            by_run, tag = (short, n) if n <= KEYED else (long, k)
-            by_run.setdefault(run_length(n), []).extend((int(c), q, tag) for q, c in enumerate(self.codes(ws, run_length(n))))
-        for by_run, seeds in ((short, self.seeds), (long, self.long_seeds)):
-            for r, rows in by_run.items():
-                a = np.array(sorted(set(rows)), np.int64)
-                seeds[r] = (a[:, 0], a[:, 1], a[:, 2])
-        self.counts = {k: np.unique(w, return_counts=True) for k, w in enumerate(self.words) if len(w) > KEYED}
-        self.keys: set[int] = set()
-        for n in {len(w) for w in self.words if len(w) <= KEYED}:
-            self.keys.update(keys(np.stack([w for w in self.words if len(w) == n])).ravel().tolist())
-        self.known_keys = np.array(sorted(self.keys), np.int64)
+        self.counts = [np.unique(w, return_counts=True) for w in self.words]
+        #: Item, place in it and length of every piece.
+        self.pieces = np.array([(k, a, b - a) for k, w in enumerate(self.words) for a, b in pieces(len(w))], np.int64).reshape(-1, 3)
+        self.keys = self.holders = np.zeros(0, np.int64)
+        runs: dict[int, set[tuple[int, int, int]]] = {}
+        for k, a, n in self.pieces.tolist():
+            r = run_length(n)
+            runs.setdefault(r, set()).update((c, q, n) for q, c in enumerate(self.codes(self.words[k][a : a + n], r).tolist()))
+        self.seeds = {r: tuple(np.array(sorted(rows), np.int64).T) for r, rows in runs.items()}
 
     @staticmethod
     def codes(ids: np.ndarray, run: int) -> np.ndarray:
@@ -124,67 +129,55 @@ class Items:
             h = _hash(h ^ _hash(ids[k : k + n], 3), k)
         return h.view(np.int64)
 
-    @staticmethod
-    def met(ids: np.ndarray, doc: np.ndarray, seeds: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Where runs of items lie: place, offset in the item, and what the seeds say of the item."""
-        for r, (codes, offsets, tags) in seeds.items():
+    def keyed(self, spark: SparkSession) -> Items:
+        """Adds the keys of all pieces, worked out by tasks."""
+        rows = pa.table({
+            "piece": pa.array(range(len(self.pieces)), pa.int32()),
+            "words": pa.array([self.words[k][a : a + n] for k, a, n in self.pieces.tolist()], _WINDOW),
+        })
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lengths = pc.list_value_length(batch.column(1)).to_numpy()
+                for n in np.unique(lengths):
+                    at = np.flatnonzero(lengths == n)
+                    words = np.array(batch.column(1).take(pa.array(at)).to_pylist(), np.int64)
+                    flat = keys(words).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(pa.array(np.repeat(at, TABLES)))], names=["key", "piece"])
+
+        found = spark.createDataFrame(rows).mapInArrow(run, "key long, piece int").distinct().orderBy("key", "piece").toArrow()
+        self.keys, self.holders = found.column(0).to_numpy(), found.column(1).to_numpy().astype(np.int64)
+        return self
+
+    def places(self, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Text, start and length of the windows that may hold a piece: where a run of one lies in place."""
+        found = [np.zeros((3, 0), np.int64)]
+        for r, (codes, offsets, sizes) in self.seeds.items():
             n = len(ids) - r + 1
             if n <= 0:
                 continue
-            ok = np.ones(n, bool)
+            ok = doc[:n] == doc[r - 1 :]
             for k in range(r):
                 ok &= ids[k : k + n] >= 0
-            ok &= doc[:n] == doc[r - 1 :]
             at = np.flatnonzero(ok)
             h = np.zeros(len(at), np.uint64)
             for k in range(r):
                 h = _hash(h ^ _hash(ids[at + k], 3), k)
             h = h.view(np.int64)
             low, high = np.searchsorted(codes, h, "left"), np.searchsorted(codes, h, "right")
-            hits = high - low
-            at, first, hits = at[hits > 0], low[hits > 0], hits[hits > 0]
-            which = np.repeat(first, hits) + np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
-            yield np.repeat(at, hits), offsets[which], tags[which]
-
-    def places(self, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and lengths of the windows that may hold an item: where a run of it lies in place."""
-        found = [np.stack([at - q, size]) for at, q, size in self.met(ids, doc, self.seeds)]
-        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        return both[0], both[1]
-
-    def long_places(self, ids: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """``text, item, low, high``: stretches around the runs of long items, slack included, that have words enough.
-
-        Windows of an item that start within its slack of the first are one stretch, for the closest part of a stretch
-        is looked for anyway. A part within the bound has all words of the item but for the edits, so a stretch
-        with fewer holds none.
-        """
-        found = [np.stack([doc[at], k, at - q]) for at, q, k in self.met(ids, doc, self.long_seeds)]
-        every = np.unique(np.concatenate(found, axis=1), axis=1).T.tolist() if found else []
-        stretches: list[list[int]] = []
-        for text, k, start in every:
-            if stretches and stretches[-1][:2] == [text, k] and start - stretches[-1][2] <= allowed(len(self.words[k])):
-                stretches[-1][3] = start
-            else:
-                stretches.append([text, k, start, start])
-        for text, k, start, last in stretches:
-            n = len(self.words[k])
-            low = max(start - allowed(n), int(np.searchsorted(doc, text, "left")))
-            high = min(last + n + allowed(n), int(np.searchsorted(doc, text, "right")))
-            values, counts = self.counts[k]
-            have, times = np.unique(ids[low:high], return_counts=True)
-            _, mine, theirs = np.intersect1d(values, have, assume_unique=True, return_indices=True)
-            if np.minimum(counts[mine], times[theirs]).sum() >= n - allowed(n):
-                yield text, k, low, high
-
-
-def own_key(item: int) -> int:
-    """The key of a long item's stretches."""
-    return int(_hash(np.array([item]), 77_777).view(np.int64)[0])
+            at, which = _spread(at, low, high)
+            found.append(np.stack([doc[at], at - offsets[which], sizes[which]]))
+        return np.unique(np.concatenate(found, axis=1), axis=1)
+
+
+def _spread(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row with every number from its ``low`` to its ``high``."""
+    hits = high - low
+    which = np.repeat(low - np.cumsum(hits) + hits, hits) + np.arange(hits.sum())
+    return np.repeat(rows, hits), which
 
 
 _WINDOW = pa.list_(pa.int32())
-_FIELDS = ["id", "start", "length", "words", "keys"]
 
 
 def _numbered(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -197,126 +190,119 @@ def _numbered(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.nda
     return ids[full], doc[full]
 
 
-def windows_of(ids: np.ndarray, doc: np.ndarray, items: Items):
-    """``text, start in it, length, words with slack around, keys that some item has`` of the windows to look up."""
-    starts, lengths = items.places(ids, doc)
-    first = np.searchsorted(doc, np.arange(doc[-1] + 2)) if len(doc) else np.zeros(1, np.int64)
-    for text, k, low, high in items.long_places(ids, doc):
-        yield text, low - int(first[text]), len(items.words[k]), ids[low:high], [own_key(k)]
-    for n in np.unique(lengths):
-        at = starts[lengths == n]
-        # a window at the edge of a text keeps its size; what lies outside is no word of the item
-        seed = np.clip(at + n // 2, 0, len(ids) - 1)
-        grid = at[:, None] + np.arange(n)
-        owner = doc[seed]
-        inside = (grid >= 0) & (grid < len(ids))
-        cut = np.clip(grid, 0, len(ids) - 1)
-        for part in range(0, len(at), 4096):
-            rows = slice(part, part + 4096)
-            votes = doc[cut[rows]]
-            mine = inside[rows]
-            here = np.where(mine, votes, -1)
-            # the text with most of the window: runs lie in one text, so it is one of the two ends or the middle
-            best, most = owner[rows], (here == owner[rows][:, None]).sum(1)
-            for side in (0, -1):
-                count = (here == votes[:, side][:, None]).sum(1)
-                best, most = np.where(count > most, votes[:, side], best), np.maximum(count, most)
-            words = np.where(mine & (votes == best[:, None]), ids[cut[rows]], -1).astype(np.int64)
-            k = keys(words)
-            known = np.isin(k, items.known_keys)
-            for i in np.flatnonzero(known.any(1)):
-                text, slack = int(best[i]), allowed(int(n))
-                low = max(int(at[part + i]) - slack, int(first[text]))
-                high = min(int(at[part + i]) + int(n) + slack, int(first[text + 1]))
-                yield text, low - int(first[text]), int(n), ids[low:high], k[i][known[i]]
-
-
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """``id_col, item_col, distance, n_words, start`` of every item found in a document, with its closest place.
+def met(ids: np.ndarray, doc: np.ndarray, items: Items) -> np.ndarray:
+    """Text, item and place where its first word would stand, of every window that shares a key with a piece of its length."""
+    text, start, length = items.places(ids, doc)
+    found = [np.zeros((3, 0), np.int64)]
+    for n in np.unique(length):
+        mine = np.flatnonzero(length == n)
+        for part in range(0, len(mine), 4096):
+            rows = mine[part : part + 4096]
+            grid = start[rows, None] + np.arange(n)
+            cut = np.clip(grid, 0, len(ids) - 1)
+            # a window at the edge of a text keeps its size; what lies outside is no word of the item
+            here = (grid == cut) & (doc[cut] == text[rows, None])
+            k = keys(np.where(here, ids[cut], -1).astype(np.int64)).ravel()
+            row, which = _spread(np.repeat(rows, TABLES), np.searchsorted(items.keys, k, "left"), np.searchsorted(items.keys, k, "right"))
+            piece = items.pieces[items.holders[which]]
+            found.append(np.stack([text[row], piece[:, 0], start[row] - piece[:, 1]])[:, piece[:, 2] == n])
+    return np.unique(np.concatenate(found, axis=1), axis=1)
+
+
+def verified(ids: np.ndarray, doc: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int]]:
+    """``text, item, distance, start in it`` of the passages within the bound, by exact edit distance.
+
+    Places of an item within its slack of the first are one stretch, for the closest part of a stretch is looked for
+    anyway. A part within the bound has all words of the item but for the edits; a stretch with fewer holds none.
+    """
+    stretches: list[list[int]] = []
+    for text, k, start in met(ids, doc, items).T.tolist():
+        if stretches and stretches[-1][:2] == [text, k] and start - stretches[-1][2] <= allowed(len(items.words[k])):
+            stretches[-1][3] = start
+        else:
+            stretches.append([text, k, start, start])
+    for text, k, start, last in stretches:
+        item = items.words[k]
+        n, first = len(item), int(np.searchsorted(doc, text, "left"))
+        low, high = max(start - allowed(n), first), min(last + n + allowed(n), int(np.searchsorted(doc, text, "right")))
+        values, counts = items.counts[k]
+        have, times = np.unique(ids[low:high], return_counts=True)
+        _, mine, theirs = np.intersect1d(values, have, assume_unique=True, return_indices=True)
+        if np.minimum(counts[mine], times[theirs]).sum() < n - allowed(n):
+            continue
+        d, begin, _ = distance(ids[low:high], item)
+        if d <= allowed(n):
+            yield text, k, d, low - first + begin
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """Items with words, in blocks of about ``BLOCK_WORDS`` words; the driver holds one at a time."""
+    block, size = [], 0
+    for row in items.select(items[id_col], items[text_col]).where(items[text_col].isNotNull()).distinct().toLocalIterator():
+        words = byte_words(row[1])
+        if words:
+            block.append((row[0], words))
+            size += len(words)
+        if size >= BLOCK_WORDS:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
-    An item is found where the words of some part of the document (A-Z lower-cased) are within ``MOST_EDITS`` of it in
-    edit distance over words. Such a part keeps a run of ``run_length`` words of the item in place, so windows of the
-    item's size are laid where one does. A window is embedded by random walks; keys made of sampled coordinates of
-    the embedding are joined with those of the items of its size, and every meeting is verified. The recall is that
-    of ``TABLES`` keys; unchanged passages always meet. Items of more than ``KEYED`` words need no keys: wherever a
-    run of one lies among enough of its words it is compared, so none is missed.
 
-    Items without words and null items are never found; null and empty texts hold nothing. Documents that share an id
-    give one row per item together; a null id gives rows with a null id; repeated items count as one row per item id;
-    other columns are not read; empty tables give no rows. The benchmark is the query set: it goes to the tasks in
-    blocks of bounded size, whatever its own, and every block meets all documents.
-    """
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str) -> DataFrame:
+    """``id, text_hash, item, distance, n_words, start`` of every passage within the bound."""
     spark = docs.sparkSession
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    id_kind, item_kind = slim.schema["id"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    found, block, size = [], [], 0
-    wanted = items.select(items[item_col], items["text"]).where("text is not null").distinct()
+    text = docs[text_col]
+    slim = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    item_type = items.schema[item_col].dataType
+    schema = T.StructType([slim.schema["id"], slim.schema["text_hash"], T.StructField("item", item_type), T.StructField("distance", T.IntegerType()),
+                           T.StructField("n_words", T.IntegerType()), T.StructField("start", T.LongType())])
 
-    def look(block: list[tuple[int, list[bytes]]]) -> DataFrame:
-        held = Items(block)
+    def look(held: Items) -> DataFrame:
         sent = spark.sparkContext.broadcast(held)
 
-        def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary = pa.array(sent.value.vocabulary, pa.string())
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = sent.value
+            vocabulary = pa.array(held.vocabulary, pa.string())
             for batch in batches:
                 for part in _parts(batch):
-                    rows = list(windows_of(*_numbered(part.column(1), vocabulary), sent.value))
+                    rows = list(verified(*_numbered(part.column(2), vocabulary), held))
                     if rows:
-                        text, start, length, words, found_keys = zip(*rows, strict=True)
+                        at, k, d, start = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays(
-                            [part.column(0).take(pa.array(text)), pa.array(start, pa.int64()), pa.array(length, pa.int32()),
-                             pa.array(words, _WINDOW), pa.array(found_keys, pa.list_(pa.int64()))], names=_FIELDS)
+                            [part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array([held.ids[i] for i in k], to_arrow_type(item_type)),
+                             pa.array(d, pa.int32()), pa.array([len(held.words[i]) for i in k], pa.int32()), pa.array(start, pa.int64())], names=schema.names)
 
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for i, (k, start, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
-                    item = sent.value.words[k]
-                    d, begin, _ = distance(np.array(words, np.int32), item)
-                    if d <= allowed(len(item)):
-                        out.append((i, sent.value.ids[k], d, len(item), start + begin))
-                at, ids, d, n, begin = zip(*out, strict=True) if out else ((),) * 5
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, _arrow(item_kind)), pa.array(d, pa.int32()),
-                     pa.array(n, pa.int32()), pa.array(begin, pa.int64())], names=["id", "item", "distance", "n_words", "start"])
-
-        laid = slim.mapInArrow(lay, f"id {id_kind}, start long, length int, words array<int>, keys array<long>")
-        own = [(own_key(k), k) for k in held.counts]
-        for n in {len(w) for w in held.words if len(w) <= KEYED}:
-            which = [k for k, w in enumerate(held.words) if len(w) == n]
-            rows = keys(np.stack([held.words[k] for k in which]))
-            own += [(int(v), k) for k, row in zip(which, rows, strict=True) for v in row]
-        item_keys = spark.createDataFrame(own, "key long, k int").distinct()
-        met = laid.select("id", "start", "words", F.explode("keys").alias("key")).join(item_keys, "key")
-        pairs = met.select("id", "k", "start", "words").distinct()
-        return pairs.mapInArrow(verify, f"id {id_kind}, item {item_kind}, distance int, n_words int, start long")
-
-    for row in wanted.toLocalIterator():
-        words = byte_words(row[1])
-        if words:
-            block.append((row[0], words))
-            size += len(words)
-        if size >= BLOCK_WORDS:
-            found.append(look(block))
-            block, size = [], 0
-    if block:
-        found.append(look(block))
-    if not found:
-        return spark.createDataFrame([], f"{id_col} {id_kind}, {item_col} {item_kind}, distance int, n_words int, start long")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    best = every.groupBy("id", "item").agg(F.min(F.struct("distance", "n_words", "start")).alias("b"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.*")
+        made = materialise(slim.mapInArrow(run, schema), "passages")
+        sent.unpersist()
+        return made
 
+    found = [look(Items(block).keyed(spark)) for block in _blocks(items, item_col, "text")]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """``id_col, item_col, distance, n_words, start`` of every item found in a document, with its closest place.
+
+    An item is found where the words of some part of the document (A-Z lower-cased) are within ``MOST_EDITS`` of it in
+    edit distance over words. Items are looked for by their pieces (``PIECE``). A part within the bound of a piece keeps a run of
+    ``run_length`` words of it in place, so windows of the piece's size are laid where one does. A window is embedded by
+    random walks; keys made of sampled coordinates of the embedding are looked up among those of the pieces of its size,
+    and every meeting is verified against the whole item. The recall is that of ``TABLES`` keys; unchanged passages always meet.
+
+    Items without words and null items are never found; null and empty texts hold nothing. Documents that share an id
+    give one row per item together; a null id gives rows with a null id; repeated items count as one row per item id;
+    other columns are not read; empty tables give no rows. The benchmark is the query set: it goes to the tasks in
+    blocks of bounded size, whatever its own; every block meets all documents where they are read, one after the other.
+    """
+    best = _found(docs, items, id_col, text_col, item_col).groupBy("id", "item").agg(F.min(F.struct("distance", "n_words", "start")).alias("b"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.*")
 
 
 def _parts(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of about ``most`` bytes of text; a single text is never cut."""
-    lengths = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
     ends, start = np.cumsum(lengths), 0
     while start < len(lengths):
         done = ends[start - 1] if start else 0
@@ -325,7 +311,10 @@ def _parts(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBat
         start = stop
 
 
-def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id has no item; rows with a null id stay only if no such row has one."""
-    hit = find_items(docs, items, id_col, text_col).select(F.col(id_col).alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit"]), "left_anti")
+def without_items(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item. Rows are told by id and text, so others that share an id, or have none, stay."""
+    hit = _found(docs, items, id_col, text_col, item_col).select(F.col("id").alias("_hit"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs[id_col].eqNullSafe(hit["_hit"]) & (F.xxhash64(docs[text_col]) == hit["_hash"])
+    return docs.join(hit, same, "left_anti")

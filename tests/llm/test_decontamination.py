@@ -81,8 +81,8 @@ def test_found_as_brute_force_finds(spark, seed):
     assert set(got) <= set(best) and len(got) >= 0.97 * len(best)
     assert all(got[k] >= best[k] for k in got) and all(k in got for k, d in best.items() if d == 0)
     kept = without_items(frame, item_frame).collect()
-    hit = {i for i, _ in got}
-    assert sorted(str(r.doc_id) for r in kept) == sorted(str(i) for i, _ in docs if i not in hit)
+    hit = {(i, t) for i, t in docs if any((i, k) in got and plain_distance([w.decode() for w in byte_words(t)], item) <= allowed(len(item)) for k, item in items)}
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(i), str(t)) for i, t in docs if (i, t) not in hit)
     assert find_items(frame.limit(0), item_frame).count() == 0 and find_items(frame, item_frame.limit(0)).count() == 0
 
 
@@ -94,3 +94,14 @@ def test_blocks_of_items(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"some words {t} more words") for i, t in items], "doc_id long, text string")
     got = find_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id, r.distance, r.n_words, r.start) for r in got) == [(i, i, 0, 20, 2) for i in range(5)]
+
+
+def test_clean_rows_that_share_an_id_or_have_none_stay(spark):
+    item = " ".join(f"i{j}" for j in range(20))
+    rows = [(None, f"a {item} b"), (None, "clean words"), (7, f"c {item}"), (7, "other clean words"), (8, "more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for kind in ("smallint", "string", "decimal(5,0)", "int"):
+        items = spark.createDataFrame([("1", item)], "item_id string, text string").selectExpr(f"CAST(item_id AS {kind}) AS item_id", "text")
+        assert sorted(map(str, without_items(docs, items).collect())) == sorted(map(str, [
+            r for r in docs.collect() if "clean" in r.text or r.text == "more"]))
+        assert {str(r.item_id) for r in find_items(docs, items).collect()} == {"1"}
