@@ -17,28 +17,48 @@ from logsieve.session import materialise
 _BLANK = 0
 
 
-def sketch(text: str, min_words: int) -> tuple[list[int], list[int], list[int | None]]:
-    """Hash and words of every line, and for each line the hash of the run that starts there.
+def line_hashes(text: str) -> tuple[list[int], list[int]]:
+    """Hash and words of every line; lines are equal if their words are, and one without words has hash 0."""
+    words = [line.split() for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
+    return [int.from_bytes(xxhash.xxh3_64_digest(b" ".join(w)), "big", signed=True) or 1 if w else _BLANK for w in words], list(map(len, words))
+
+
+def run_hashes(hashes: list[int], counts: list[int], min_words: int) -> tuple[list[int | None], list[int | None]]:
+    """For each line the hash of the run that starts there, and of the run that ends there.
 
-    A run is the fewest lines in a row that hold ``min_words`` words; lines without words (hash 0) count for nothing
-    and start none. Lines are equal if their words are.
+    A run is the fewest lines in a row that hold ``min_words`` words; lines without words count for nothing. Every line
+    of a longer stretch lies in a run of that stretch, if not in one that starts there or before, in the one it ends.
     """
-    words = [line.split() for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
-    hashes = [int.from_bytes(xxhash.xxh3_64_digest(b" ".join(w)), "big", signed=True) or 1 if w else _BLANK for w in words]
-    counts = list(map(len, words))
-    runs: list[int | None] = [None] * len(counts)
+    starts: list[int | None] = [None] * len(counts)
+    ends: list[int | None] = [None] * len(counts)
     full = [i for i, n in enumerate(counts) if n]
-    held, stop = 0, 0
     packed = np.array([hashes[i] for i in full], "<i8").tobytes()
+    name = lambda a, b: int.from_bytes(xxhash.xxh3_64_digest(packed[8 * a : 8 * b]), "big", signed=True)
+    held, stop = 0, 0
     for start, i in enumerate(full):
         while held < min_words and stop < len(full):
             held += counts[full[stop]]
             stop += 1
         if held < min_words:
             break
-        runs[i] = int.from_bytes(xxhash.xxh3_64_digest(packed[8 * start : 8 * stop]), "big", signed=True)
+        starts[i] = name(start, stop)
         held -= counts[i]
-    return hashes, counts, runs
+    held, start = 0, 0
+    for stop, i in enumerate(full):
+        held += counts[i]
+        while held - counts[full[start]] >= min_words:
+            held -= counts[full[start]]
+            start += 1
+        if held >= min_words:
+            ends[i] = name(start, stop + 1)
+    return starts, ends
+
+
+def sketch(text: str, min_words: int) -> tuple[list[int], list[int], list[int]]:
+    """Hash and words of every line, and the different runs."""
+    hashes, counts = line_hashes(text)
+    starts, ends = run_hashes(hashes, counts, min_words)
+    return hashes, counts, sorted({r for r in (*starts, *ends) if r is not None})
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -85,9 +105,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def deleted_lines(
-    later: list[int], counts: list[int], runs: list[int | None], earlier: list[int], earlier_runs: list[int | None], min_words: int
-) -> list[int]:
+def deleted_lines(later: list[int], counts: list[int], earlier: list[int], earlier_counts: list[int], min_words: int) -> list[int]:
     """Places of the lines of ``later`` in aligned blocks of ``min_words`` words with ``earlier``.
 
     Blocks that the alignment leaves out, as they stand in another order or repeat, are found by their runs and go too.
@@ -105,17 +123,21 @@ def deleted_lines(
             block = []
         block.append(i)
         last = (i, j)
-    first: dict[int, int] = {}
-    for j, at in enumerate(theirs):
-        if earlier_runs[at] is not None:
-            first.setdefault(earlier_runs[at], j)
-    for i, at in enumerate(mine):
-        if i in gone or runs[at] not in first:
-            continue
-        j = first[runs[at]]
-        while i < len(a) and j < len(b) and a[i] == b[j]:
-            gone.add(i)
-            i, j = i + 1, j + 1
+    own, other = run_hashes(later, counts, min_words), run_hashes(earlier, earlier_counts, min_words)
+    for runs, their_runs, step in zip(own, other, (1, -1), strict=True):
+        first: dict[int, int] = {}
+        for j, at in enumerate(theirs):
+            if their_runs[at] is not None:
+                first.setdefault(their_runs[at], j)
+        for i, at in enumerate(mine):
+            if runs[at] not in first:
+                continue
+            j, held = first[runs[at]], 0
+            # on from there while the lines agree; once past the run, what is gone already need not be gone through again
+            while 0 <= i < len(a) and 0 <= j < len(b) and a[i] == b[j] and not (held >= min_words and i in gone):
+                gone.add(i)
+                held += counts[mine[i]]
+                i, j = i + step, j + step
     return sorted(mine[i] for i in gone)
 
 
@@ -129,7 +151,7 @@ def sketches(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [sketch(t or "", min_words) for t in batch.column(2).to_pylist()]
-            full = [i for i, m in enumerate(made) if any(r is not None for r in m[2])]
+            full = [i for i, m in enumerate(made) if m[2]]
             lines, counts, runs = zip(*(made[i] for i in full), strict=True) if full else ((), (), ())
             keep = pa.array(full, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -150,7 +172,7 @@ def pairs(sketched: DataFrame) -> DataFrame:
     taken before the shuffle too.
     """
     key = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
-    held = sketched.select(key.alias("key"), F.explode(F.array_distinct(F.filter("runs", lambda r: r.isNotNull()))).alias("run"))
+    held = sketched.select(key.alias("key"), F.explode("runs").alias("run"))
     owners = held.groupBy("run").agg(F.min("key").alias("owner"), F.max("key").alias("newest")).where("owner <> newest")
     met = held.join(owners.drop("newest"), "run").where("key <> owner").select("key", "owner").distinct()
     return met.select("key.id", "key.text_hash", F.col("owner.id").alias("e_id"), F.col("owner.text_hash").alias("e_hash"))
@@ -176,7 +198,7 @@ def _deduped(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("lines", "counts", "runs", "e_lines", "e_runs")]
+            columns = [batch.column(c).to_pylist() for c in ("lines", "counts", "e_lines", "e_counts")]
             gone = [deleted_lines(*row, min_words) for row in zip(*columns, strict=True)]
             words = [[c[i] for i in g] for g, c in zip(gone, columns[1], strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -185,13 +207,13 @@ def _deduped(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Dat
                 names=["id", "text_hash", "e_id", "gone", "words"])
 
     found, owner = pairs(sketched), sketched.select(
-        F.col("id").alias("o_id"), F.col("text_hash").alias("o_hash"), F.col("lines").alias("e_lines"), F.col("runs").alias("e_runs")
+        F.col("id").alias("o_id"), F.col("text_hash").alias("o_hash"), F.col("lines").alias("e_lines"), F.col("counts").alias("e_counts")
     ).dropDuplicates(["o_id", "o_hash"])
-    own = sketched.select(F.col("id").alias("s_id"), F.col("text_hash").alias("s_hash"), "lines", "counts", "runs").dropDuplicates(["s_id", "s_hash"])
+    own = sketched.select(F.col("id").alias("s_id"), F.col("text_hash").alias("s_hash"), "lines", "counts").dropDuplicates(["s_id", "s_hash"])
     of_own = F.col("id").eqNullSafe(F.col("s_id")) & (F.col("text_hash") == F.col("s_hash"))
     of_owner = F.col("e_id").eqNullSafe(F.col("o_id")) & (F.col("e_hash") == F.col("o_hash"))
     both = found.join(own, of_own).join(owner, of_owner)
-    aligned = both.select("id", "text_hash", "e_id", "lines", "counts", "runs", "e_lines", "e_runs").mapInArrow(
+    aligned = both.select("id", "text_hash", "e_id", "lines", "counts", "e_lines", "e_counts").mapInArrow(
         run, f"id {id_kind}, text_hash long, e_id {id_kind}, gone array<int>, words array<int>"
     )
     line = F.explode(F.arrays_zip("gone", "words")).alias("g")
@@ -219,9 +241,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
 
     A block is a stretch of lines, equal and in a row in both documents but for lines without words, that holds
     ``min_words`` words or more; shorter agreement (a licence line, a heading) stays. Documents meet through runs, the
-    fewest lines in a row with that many words: rare enough to mean something, and in every block. Each document is
-    aligned with the first owner of each of its runs, so every deleted block stays in some earlier document. Lines are
-    compared whole and by their words; those without words are never deleted.
+    fewest lines in a row with that many words, from a line on or up to it: rare enough to mean something, and every
+    line of a block is in one. Each document is aligned with the first owner of each of its runs, so all lines of every
+    block that any earlier document has are deleted, and each stays in some earlier document. Lines are compared whole
+    and by their words; those without words are never deleted.
 
     Rows that agree in id and text are one document and get the same result; rows that share an id only are ordered by
     the hash of the text. Null ids come last. Null texts stay null, and an empty table gives no rows. Places in

@@ -42,12 +42,11 @@ def plain_lines(docs, least=50):
     out, owner, seen = [], {}, {}
     for d in sorted(docs, key=lambda d: d["doc_id"]):
         lines, counts, runs = sketch(d["text"], least)
-        seen[d["doc_id"]] = (lines, runs)
-        earlier = {owner[r] for r in runs if r is not None and r in owner}
+        seen[d["doc_id"]] = (lines, counts)
+        earlier = {owner[r] for r in runs if r in owner}
         for r in runs:
-            if r is not None:
-                owner.setdefault(r, d["doc_id"])
-        gone = {i for e in earlier for i in deleted_lines(lines, counts, runs, *seen[e], least)}
+            owner.setdefault(r, d["doc_id"])
+        gone = {i for e in earlier for i in deleted_lines(lines, counts, *seen[e], least)}
         text = "\n".join(x for i, x in enumerate(d["text"].split("\n")) if i not in gone)
         if not gone or text.encode().split():
             out.append(d | {"text": text, "n_chars": len(text)})
