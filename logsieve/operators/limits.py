@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsieve.session import materialise
+from logsieve.session import discard, materialise
 from logsieve.settings import RateLimit
 
 _MICROS = 1_000_000
@@ -196,8 +196,12 @@ def _entries(parts: DataFrame) -> DataFrame:
     places = spark.createDataFrame([(r, p, i) for r, p, i, *_ in members], "_run int, _part int, _no int")
     tables = parts.join(places, "_part").select("_run", F.col("_no").alias("_part"), "_at", "_ends", "_counts", "_rows")
     longest = max(i for _, _, i, *_ in members) + 1
+    before = None
     for level in range(math.ceil(math.log2(longest)) if longest > 1 else 0):
         tables = materialise(_doubled(tables, 1 << level), "limits")
+        if before is not None:
+            discard(before)
+        before = tables
     opened = spark.createDataFrame([(r, e, c) for r, _, i, e, c in members if i == 0], "_run int, _e long, _c long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

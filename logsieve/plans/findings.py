@@ -498,6 +498,19 @@ def sink_chunk_table(spark, sf_dir):
     )
 
 
+@query("sink_file_table", "O-SRC-11", with_views("files", f"""{_SUMMARY_SQL}
+    SELECT job_id, summaries.file_id, filename, line_count, error_count, chunk_count, {HITS} > 0 AS redaction_applied, sha256(f.text) AS checksum
+    FROM summaries JOIN (SELECT file_id, text FROM files) f USING (file_id)""", recursive=True))
+def sink_file_table(spark, sf_dir):
+    """What is known of every file written as a table beside the chunks, and read back."""
+    path = scratch_dir(spark, "file-metadata")
+    made = sinks.with_job_bucket(profiling.analysis_metadata(_summaries(spark, sf_dir)), 16)
+    sinks.write_table(made, path, ["job_bucket"], spread_by="file_id")
+    return spark.read.parquet(path).select(
+        "job_id", "file_id", "filename", "analysis_summary.line_count", "error_count", "chunk_count", "redaction_applied", "checksum"
+    )
+
+
 @query("chunk_counts", "O-CHK-03", with_views("files", f"""{_CHUNKED.replace("SOURCE", "files")}
     SELECT job_id, CAST(count(*) AS BIGINT) AS chunk_count FROM chunked JOIN files USING (file_id) GROUP BY job_id""",
     recursive=True))

@@ -46,8 +46,38 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back: cuts lineage and survives executor loss."""
-    path = scratch_dir(df.sparkSession, purpose)
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._scratch_path = path
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``df``, once nothing that is still to run reads it."""
+    spark, path = df.sparkSession, df._scratch_path
+    _delete(spark, path)
+    _WRITTEN[spark.sparkContext.applicationId].remove(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all that ``materialise`` wrote for this application and is still there; results read from it are gone then.
+
+    For the end of a job, when its results are stored: intermediate tables may hold texts.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)

@@ -49,13 +49,24 @@ JIRA_PRIORITY = {"critical": "Highest", "high": "High", "moderate": "Medium", "l
 SERVICENOW_STATES = {
     "1": "New", "2": "In Progress", "3": "On Hold", "4": "Resolved", "6": "Cancelled", "7": "Closed",
 }
+ALLOWED_TYPES = ("log", "txt", "json", "xml", "csv", "yaml", "yml")
+MAX_FILE_MB = 100
+WATCH_INCLUDE = ("**/*.log", "**/*.txt", "**/*.json", "**/*.csv")
+WATCH_EXCLUDE = ("**/~*", "**/*.tmp")
+WATCH_MIME_TYPES = ("text/plain", "application/json")
+BATCH_SECONDS = 5
+DEBOUNCE_SECONDS = 5
+PERIOD_SECONDS = {
+    "second": 1, "sec": 1, "s": 1, "minute": 60, "min": 60, "m": 60,
+    "hour": 3600, "h": 3600, "day": 86400, "d": 86400,
+}
 # End of fixed values.
 
 
 @dataclass(frozen=True)
 class FilePolicy:
-    allowed_types: tuple[str, ...] = ("log", "txt", "json", "xml", "csv", "yaml", "yml")
-    max_file_size_mb: int = 100
+    allowed_types: tuple[str, ...] = ALLOWED_TYPES
+    max_file_size_mb: int = MAX_FILE_MB
 
     @property
     def extensions(self) -> list[str]:
@@ -150,12 +161,12 @@ def as_list(value) -> list[str] | None:
 class WatchConfig:
     enabled: bool = True
     roots: tuple[str, ...] = ("watch-folder",)
-    include_globs: tuple[str, ...] = ("**/*.log", "**/*.txt", "**/*.json", "**/*.csv")
-    exclude_globs: tuple[str, ...] = ("**/~*", "**/*.tmp")
-    max_file_size_mb: int = 100
-    allowed_mime_types: tuple[str, ...] = ("text/plain", "application/json")
-    batch_window_seconds: int = 5
-    debounce_seconds: int = 5
+    include_globs: tuple[str, ...] = WATCH_INCLUDE
+    exclude_globs: tuple[str, ...] = WATCH_EXCLUDE
+    max_file_size_mb: int = MAX_FILE_MB
+    allowed_mime_types: tuple[str, ...] = WATCH_MIME_TYPES
+    batch_window_seconds: int = BATCH_SECONDS
+    debounce_seconds: int = DEBOUNCE_SECONDS
     auto_create_jobs: bool = True
 
     def updated(self, **changes) -> "WatchConfig":
@@ -165,12 +176,6 @@ class WatchConfig:
         })
 
 
-PERIOD_SECONDS = {
-    "second": 1, "sec": 1, "s": 1, "minute": 60, "min": 60, "m": 60,
-    "hour": 3600, "h": 3600, "day": 86400, "d": 86400,
-}
-
-
 @dataclass(frozen=True)
 class RateLimit:
     """``limit`` requests per ``seconds``; a limit of 0 means unlimited."""

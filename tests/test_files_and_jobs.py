@@ -105,6 +105,21 @@ def test_only_objects_are_job_contexts(spark):
         "i": {"json": "{}", "w": 1, "job": own["i"]}, "k": {"json": {}, "job": own["k"]}}
 
 
+def test_scratch_is_deleted_when_it_is_done_with(spark, tmp_path):
+    import os
+
+    from logsieve import session
+
+    kept, gone = (session.materialise(spark.range(3), "some") for _ in range(2))
+    session.discard(gone)
+    assert not os.path.exists(gone._scratch_path) and kept.count() == 3
+    assert kept._scratch_path in session._WRITTEN[spark.sparkContext.applicationId]
+    others = session._WRITTEN[spark.sparkContext.applicationId][:-1]
+    session._WRITTEN[spark.sparkContext.applicationId] = [kept._scratch_path]
+    assert session.clear_scratch(spark) == 1 and not os.path.exists(kept._scratch_path)
+    session._WRITTEN[spark.sparkContext.applicationId] = others
+
+
 def test_sketched_keywords(spark):
     """Exact while a sketch holds all words; with fewer places within the stated error, and no frequent word is missed."""
     import random
