@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.session import materialise
+from logsieve.session import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node of ``edges`` (two columns of one type that has an order); ``root`` is the least node it reaches.
 
     Alternates the two star steps until the edges no longer change, a number of rounds that grows with the logarithm
-    of the longest path. Each round is written, so a lost executor repeats one round. Repeated edges do no harm;
+    of the longest path. Each round is written, so a lost executor repeats one round, and the round before it deleted. Repeated edges do no harm;
     a node whose only edge is a loop, and no edges at all, give no rows. A node with very many neighbours only meets them in minima and in joins that
     adaptive execution splits.
     """
@@ -44,4 +44,5 @@ def connected(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 now.select("v", "v")
             ).distinct()
-        mark, now = sums, materialise(_small_star(_large_star(now)), "edges")
+        before, mark, now = now, sums, materialise(_small_star(_large_star(now)), "edges")
+        discard(before)
