@@ -19,6 +19,8 @@ from logsieve.session import materialise
 SEED = 42
 _BYTES = 8
 _STRIDE = 65_536
+#: Parts over which the rows of one fingerprint are dealt where they meet the name of their component.
+_SLOTS = 256
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -118,18 +120,20 @@ def near_duplicates(
 
     Where different texts share an id two components may have one ``component_id``; ``root``, a fingerprint, is unique.
 
-    Rows with one fingerprint are a class and enter the search once, so a third of all rows may be copies. Texts
+    Rows with one fingerprint are a class and enter the search once, so a third of all rows may be copies; they are
+    dealt over a fixed number of slots, each of which gets the class's name, so no task has them all. Texts
     without words (null and empty ones too) have fingerprint zero and link like others. Repeated rows give a row
     each. A null id belongs to its component but never names one that has another id. Further columns are not
     read, an empty table gives no rows.
     """
-    rows = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    slot = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_SLOTS)).cast("short").alias("slot")
+    rows = materialise(fingerprints(docs, shingle, id_col, text_col).select("*", slot), "fingerprints")
     # the least node of a component bears its least id, so that no row of a component has to meet the others for its name
     node = F.struct(F.col("least").isNull().alias("unnamed"), "least", "fp").alias("node")
-    classes = rows.groupBy("fp").agg(F.min("id").alias("least")).select("fp", node)
+    classes = rows.groupBy("fp").agg(F.min("id").alias("least"), F.collect_set("slot").alias("slots")).select("fp", node, "slots")
     roots = connected(links(classes, most_bucket)).select(F.col("node.fp").alias("fp"), "root")
-    named = classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    return rows.join(named, "fp").select(
+    named = classes.join(roots, "fp", "left").select("fp", F.explode("slots").alias("slot"), F.coalesce("root", "node").alias("root"))
+    return rows.join(named, ["fp", "slot"]).select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("root.least").alias("component_id"), "text_hash", F.col("root.fp").alias("root"),
     )
