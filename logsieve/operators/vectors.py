@@ -33,7 +33,14 @@ def hashed(text: Column, dimension: int = 64) -> Column:
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), 0)
     buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimension)
     places = F.sequence(F.lit(0), F.lit(dimension - 1))
-    counts = let(buckets, lambda found: F.transform(places, lambda i: F.size(F.filter(found, lambda b: b == i)).cast("double")))
+
+    def counted(found: Column) -> Column:
+        """Sizes of the runs of equal buckets, in order; every bucket is put in once more, so that none has no run."""
+        opens = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda j: (j == 0) | (F.get(found, j) != F.get(found, j - 1)))
+        size = F.size(found)
+        return let(opens, lambda at: F.transform(at, lambda a, i: (F.coalesce(F.get(at, i + 1), size) - a - 1).cast("double")))
+
+    counts = let(F.sort_array(F.concat(buckets, places.cast("array<bigint>"))), counted)
 
     def scaled(v: Column) -> Column:
         length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
