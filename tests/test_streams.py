@@ -179,3 +179,38 @@ def test_alert_of_a_single_series(spark, tmp_path):
     base = int((T0 - datetime(1970, 1, 1)).total_seconds())
     ticks = sorted((r.tick - base, r.hits, r.pending_since - base, r.firing) for r in got)
     assert ticks == [(t, 1, 30, t >= 90) for t in range(30, 301, 30)] + [(t, 1, 420, t >= 480) for t in range(420, 691, 30)]
+
+
+def test_rows_wait_in_pieces_and_not_one_by_one(spark, tmp_path):
+    """Thousands of rows of a key, none within a second of another, are a few entries of the state and come out exact."""
+    n = 3000
+    big = (1 << 60) + 1
+    rows = [("k", None if i == 7 else big + i, at(10 * i)) for i in range(n)]
+    parts = [rows[n // 2 :] + rows[: n // 2], [("k", 1, at(10 * n + 5))], [(None, None, at(60 * n))]]
+    stream = batches(spark, tmp_path, "client string, n long, ts timestamp", parts)
+    seen = []
+    query = feeds.run_once(ordered.limit_stream(stream, "client", "ts", "n", RateLimit(1, 15), f"{40 * n} seconds"), "", str(tmp_path / "state"),
+                           "append", lambda batch, _: seen.extend(batch.collect()))
+    held = [r.state_rows for r in progress.operator_progress(spark, query).orderBy("batch_id").collect()]
+    assert 0 < max(held) < n // 50
+    told = sorted((r.ts, r.n, r.window_count) for r in seen if r.n is not None)
+    assert [t[1] for t in told[:-1]] == [big + i for i in range(n) if i != 7]
+    assert [t[2] for t in told[:4]] == [1, 2, 1, 2]
+
+
+def test_ticket_state_is_on_disk(spark, tmp_path):
+    """Tickets and snapshots wait in stores that are not in the memory of the JVM."""
+    for name in ("t", "s"):
+        (tmp_path / name).mkdir()
+    tickets = batches(spark, tmp_path / "t", "platform string, ticket_id string, created_at timestamp, status string, dry_run boolean",
+                      [[("jira", "A", at(0), "New", False)], [("", "", at(10**8), None, None)]])
+    snaps = batches(spark, tmp_path / "s", "platform string, ticket_id string, seen_at timestamp, version int, raw string",
+                    [[("jira", "A", at(5), 1, '{"fields":{"status":{"name":"Done"}}}')], [("", "", at(10**8), None, None)]])
+    seen = []
+    query = feeds.run_once(feeds.sync_stream(tickets, snaps, "1 day", "1 day"), "", str(tmp_path / "state"), "append",
+                           lambda batch, _: seen.extend(batch.collect()))
+    assert [(r.ticket_id, r.status) for r in seen] == [("A", "Done")]
+    import json
+
+    metrics = [op["customMetrics"] for p in query.recentProgress for op in json.loads(p.json if hasattr(p, "json") else json.dumps(p))["stateOperators"]]
+    assert metrics and all(any(name.startswith("rocksdb") for name in m) for m in metrics)
