@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.ordering import top_per_key
 from logsieve.functions.text import let, split_lines
+from logsieve.session import materialise
 from logsieve.settings import SAMPLE_LINES, SIGNAL_TERMS, TOP_KEYWORDS
 
 _WORD = "[a-z]{4,}"
@@ -112,10 +113,30 @@ def top_keywords(words: DataFrame, keys: list[str], n: int = TOP_KEYWORDS) -> Da
 
 
 def keyword_lists(words: DataFrame, keys: list[str], n: int = TOP_KEYWORDS) -> DataFrame:
+    return ranked_lists(top_keywords(words, keys, n), keys)
+
+
+def top_text_keywords(texts: DataFrame, keys: list[str], text: str = "text", n: int = TOP_KEYWORDS) -> DataFrame:
+    """``top_keywords`` of whole texts: ``keys, word, n, first_place, rank``.
+
+    Words of a text whose key no other row has are counted within its row, so they are never shuffled. Keys of several
+    rows are found by the key columns alone; only their words are added up over rows.
+    """
+    repeated = materialise(texts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select(
+        *[F.col(k).alias(f"_{k}") for k in keys]), "repeated-keys")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    slim = texts.select(*keys, F.col(text).alias("_text"))
+    alone = slim.join(repeated, same, "left_anti").select(*keys, F.inline_outer(_longest_runs(F.col("_text"), n))).where("word IS NOT NULL")
+    shared = top_keywords(words_of_texts(slim.join(repeated, same, "left_semi"), keys, "_text"), keys, n)
+    own = alone.select(*keys, "word", (-F.col("less")).cast("long").alias("n"), F.col("place").alias("first_place"), (F.col("_nth") + 1).alias("rank"))
+    return own.unionByName(shared)
+
+
+def ranked_lists(ranked: DataFrame, keys: list[str]) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("rank", "word")))
-    return top_keywords(words, keys, n).groupBy(*keys).agg(
-        F.transform(ordered, lambda x: x["word"]).alias("top_keywords")
-    )
+    return ranked.groupBy(*keys).agg(F.transform(ordered, lambda x: x["word"]).alias("top_keywords"))
 
 
 def keyword_sketches(words: DataFrame, keys: list[str], tracked: int = 10_000) -> DataFrame:
@@ -145,7 +166,12 @@ def sketched_keywords(sketches: DataFrame, keys: list[str], n: int = TOP_KEYWORD
 
 
 def text_keywords(text: Column, n: int = TOP_KEYWORDS) -> Column:
-    """Keywords of a whole text within its row: sorted words are runs, the longest runs are the keywords."""
+    """Keywords of a whole text within its row."""
+    return F.transform(_longest_runs(text, n), lambda x: x["word"])
+
+
+def _longest_runs(text: Column, n: int) -> Column:
+    """Sorted words are runs, the longest runs are the keywords: ``less`` (minus their count), ``place, word, _nth``."""
     found = F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})"), 1)
     ordered = F.sort_array(F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("place"))))
 
@@ -161,7 +187,7 @@ def text_keywords(text: Column, n: int = TOP_KEYWORDS) -> Column:
             (x["at"] - F.coalesce(F.get(runs, k + 1)["at"], x["all"])).alias("less"), x["place"].alias("place"),
             x["word"].alias("word"),
         ))
-        return F.transform(F.slice(F.sort_array(ranked), 1, n), lambda x: x["word"])
+        return F.transform(F.slice(F.sort_array(ranked), 1, n), lambda x, k: F.struct(x["less"], x["place"], x["word"], k.alias("_nth")))
 
     return let(let(ordered, first_of_runs), longest)
 

@@ -132,3 +132,16 @@ def test_rules_of_the_other_dialect(spark):
     with pytest.warns(UserWarning, match="odd"):
         got = [r.text for r in privacy.redact(texts, PrivacyPolicy(entries=rules, token="#")).orderBy("file_id").collect()]
     assert got == ["id # #", "tail#"]
+
+
+def test_top_keywords_of_texts_shuffle_no_words(spark, odd_texts):
+    """Keys of one row are counted within it; repeated and null keys are added up as before, ties and counts alike."""
+    rows = [(i, t) for i, t in enumerate(odd_texts)] + [(3, "zebra error error"), (None, "alpha beta beta"), (None, "alpha gamma"), (900, None)]
+    texts = spark.createDataFrame(rows, "file_id long, text string")
+    want = profiling.top_keywords(profiling.words_of_texts(texts, ["file_id"]), ["file_id"])
+    made = profiling.top_text_keywords(texts, ["file_id"])
+    told = lambda d: sorted(map(str, d.select("file_id", "word", "n", "rank").collect()))
+    assert told(made) == told(want) and dict(made.dtypes) == dict(want.dtypes)
+    single = profiling.top_text_keywords(texts.where("file_id > 5"), ["file_id"])
+    alone = single._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+    assert "Aggregate" not in alone and "Window" not in alone
