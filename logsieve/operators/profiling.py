@@ -7,6 +7,11 @@ line (``file_id, line_no, line``), where one file may be any share of the table.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,9 +133,24 @@ def top_text_keywords(texts: DataFrame, keys: list[str], text: str = "text", n:
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     slim = texts.select(*keys, F.col(text).alias("_text"))
-    alone = slim.join(repeated, same, "left_anti").select(*keys, F.inline_outer(_longest_runs(F.col("_text"), n))).where("word IS NOT NULL")
+    alone = slim.join(repeated, same, "left_anti").select(*keys, F.lower("_text").alias("_text"))
+    kinds = ", ".join(f"`{k}` {alone.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(_WORD).findall
+        for batch in batches:
+            told = []
+            for i, lowered in enumerate(batch.column(len(keys)).to_pylist()):
+                words = find(lowered or "")
+                # of equal counts, those seen first come first
+                told += [(i, w, c, words.index(w), r) for r, (w, c) in enumerate(Counter(words).most_common(n), 1)]
+            row, *made = zip(*told) if told else [()] * 5
+            own = [c.take(pa.array(row, pa.int64())) for c in batch.columns[: len(keys)]]
+            kept = [pa.array(v, t) for v, t in zip(made, (pa.string(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*own, *kept], names=[*keys, "word", "n", "first_place", "rank"])
+
+    own = alone.mapInArrow(run, f"{kinds}, word string, n long, first_place int, rank int")
     shared = top_keywords(words_of_texts(slim.join(repeated, same, "left_semi"), keys, "_text"), keys, n)
-    own = alone.select(*keys, "word", (-F.col("less")).cast("long").alias("n"), F.col("place").alias("first_place"), (F.col("_nth") + 1).alias("rank"))
     return own.unionByName(shared)
 
 
@@ -166,12 +186,7 @@ def sketched_keywords(sketches: DataFrame, keys: list[str], n: int = TOP_KEYWORD
 
 
 def text_keywords(text: Column, n: int = TOP_KEYWORDS) -> Column:
-    """Keywords of a whole text within its row."""
-    return F.transform(_longest_runs(text, n), lambda x: x["word"])
-
-
-def _longest_runs(text: Column, n: int) -> Column:
-    """Sorted words are runs, the longest runs are the keywords: ``less`` (minus their count), ``place, word, _nth``."""
+    """Keywords of a whole text within its row: sorted words are runs, the longest runs are the keywords."""
     found = F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})"), 1)
     ordered = F.sort_array(F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("place"))))
 
@@ -187,7 +202,7 @@ def _longest_runs(text: Column, n: int) -> Column:
             (x["at"] - F.coalesce(F.get(runs, k + 1)["at"], x["all"])).alias("less"), x["place"].alias("place"),
             x["word"].alias("word"),
         ))
-        return F.transform(F.slice(F.sort_array(ranked), 1, n), lambda x, k: F.struct(x["less"], x["place"], x["word"], k.alias("_nth")))
+        return F.transform(F.slice(F.sort_array(ranked), 1, n), lambda x: x["word"])
 
     return let(let(ordered, first_of_runs), longest)
 
