@@ -182,7 +182,7 @@ def op8(spark, sf_dir):
     from logsieve.llm.quality_model import score_quality
 
     labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality = 1 AS good")
-    return score_quality(table(spark, sf_dir, "documents"), labels, most_labelled=20_000)
+    return score_quality(table(spark, sf_dir, "documents"), labels, block=20_000)
 
 
 @query("op3_benchmark_passages")

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from logsieve.llm.quality_model import BOUNDARY, FEATURES, GRAMS, fit, gram_shares, score_quality
+from logsieve.llm.quality_model import BOUNDARY, FEATURES, GRAMS, dealt, features, fit, fit_table, gram_shares, loss_sums, newton, score_quality, value_at
 from test_quality_rules import measured
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -105,3 +105,53 @@ def test_features_pairs_and_scores_worked_out_again(spark):
     for i, score in got.items():
         raw = np.clip(x[i] @ w - cut, -30, 30) + np.log(BOUNDARY / (1 - BOUNDARY))
         assert abs(score - 1 / (1 + np.exp(-raw))) < 1e-4, i
+
+
+def taught_rows(spark, texts):
+    rows = [(i, t, "bad" not in t) for i, t in enumerate(texts)]
+    made = features(spark.createDataFrame(rows, "doc_id long, text string, good boolean").drop("good"))
+    return made.join(spark.createDataFrame([(i, g) for i, _, g in rows], "id long, good boolean"), "id")
+
+
+def plain_table(taught):
+    rows = taught.selectExpr("*", "xxhash64(id) AS h").orderBy("h").collect()
+    return np.array([[*(r[c] for c in FEATURES), *r.grams] for r in rows]), np.array([r.good for r in rows])
+
+
+def test_every_labelled_document_teaches(spark):
+    """Only the last documents of the order have what tells the labels, so a sample of the first ones would not learn it."""
+    ids = [r.id for r in spark.range(400).selectExpr("id", "xxhash64(id) AS h").orderBy("h").collect()]
+    late = set(ids[200:])
+    texts = [("bad " if i % 2 else "fine ") + f"word{i} and then " * 30 + ("### " * 40 if i % 2 and i in late else "") for i in range(400)]
+    taught = taught_rows(spark, texts)
+    x, good = plain_table(taught)
+    symbols = FEATURES.index("symbol_rate")
+    assert not x[:200, symbols].any() and x[200:, symbols].any()
+    model = fit_table(taught, block=100)
+    # the same, block after block: rows of a label are dealt evenly over the blocks
+    spread = np.where(x.std(0) > 0, x.std(0), 1)
+    parts = {label: np.flatnonzero(good == label) for label in (True, False)}
+    blocks = [np.sort(np.concatenate([p[[k * 4 // len(p) == b for k in range(len(p))]] for p in parts.values()])) for b in range(4)]
+    assert sorted(np.concatenate(blocks)) == list(range(400))
+    d = np.concatenate([dealt(x[b] / spread, good[b], 4, 7) for b in blocks])
+    w = newton(lambda w: loss_sums(d, w), x.shape[1], 1.0, 40) / spread
+    assert np.allclose(model.weights, w, atol=1e-6) and abs(w[symbols]) > 0.1
+    assert abs(model.cut - np.quantile(x @ w, (~good).mean(), method="midpoint")) < 1e-5
+
+
+def test_one_block_is_the_fit_in_memory_and_a_rare_label_is_in_every_block(spark):
+    taught = taught_rows(spark, [("bad " if i % 40 == 0 else "") + f"word{i * i} and then " * (5 + i % 9) for i in range(90)])
+    x, good = plain_table(taught)
+    model, plain = fit_table(taught), fit(x, good)
+    assert np.allclose(model.weights, plain.weights, atol=1e-6) and abs(model.cut - plain.cut) < 1e-5
+    many = fit_table(taught, block=10)  # nine blocks, three bad documents
+    raw = x @ np.array(many.weights)
+    assert (raw[good].min() > raw[~good].max()) and set(many.weights) != {0.0}
+
+
+def test_value_at_a_place_is_exact(spark):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.normal(size=3000), np.full(1000, 0.25), rng.normal(size=1000) * 1e-12, [1e9, -1e9, np.nextafter(0.25, 1)]])
+    table = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3)
+    ordered = np.sort(values)
+    assert all(value_at(table, "v", k) == ordered[k] for k in (0, 1, 2000, 2500, 3500, 4200, len(values) - 1))
