@@ -6,24 +6,171 @@ size limit of the policy, so one file fits one row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.functions.ordering import block_bucket, numbered, running_sum
 from logsieve.functions.text import any_glob, base_name, extension
+from logsieve.session import materialise
 from logsieve.settings import PRINTABLE_SHARE, SCAN_BYTES, FilePolicy, WatchConfig
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+#: Entries a task sees below one folder before it hands the rest on, folders a task is given, and rows it returns at once.
+_WALKED, _FOLDERS, _ROWS = 2000, 2000, 8192
+#: Files and bytes a task reads, and bytes it holds.
+_FILES, _READ, _HELD = 4000, 64 << 20, 8 << 20
 
 
 def discover(spark: SparkSession, config: WatchConfig) -> DataFrame:
     """Files below the watched roots that match an include glob and no exclude glob, up to the size limit.
 
-    Names outside the include globs are dropped when folders are listed, and the size limit is pushed to the reader,
-    so neither is read.
+    Folders are listed and files are read by tasks, so neither names nor contents pass through the driver; what the
+    globs or the size limit leave out is not read. Roots may be globs. Columns are those of Spark's reader of binary
+    files, and as there hidden names (``.x``, ``_x``) and empty files are passed over. Folders are listed at the call, contents are read
+    when the result is. Tasks reach files through ``pyarrow.fs``; roots in a store it does not know go to Spark's reader,
+    which lists on the driver.
+    """
+    listed, elsewhere = [], []
+    for root in _resolved(spark, config.roots):
+        (listed if _reachable(root) else elsewhere).append(root)
+    found = []
+    if listed or not elsewhere:
+        found.append(_with_content(matching_paths(_small(list_files(spark, listed), config), config)))
+    if elsewhere:
+        reader = spark.read.format("binaryFile").options(**_listing(config))
+        found.append(matching_paths(_small(reader.load(elsewhere), config), config))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """``path, modificationTime, length`` of every file below the roots (full URIs).
+
+    A task walks a folder until it has seen ``_WALKED`` entries and returns the folders it has not come to; they are
+    dealt out anew until none is left. One folder is listed by one task, whatever it holds.
     """
-    reader = spark.read.format("binaryFile").options(**_listing(config))
-    return matching_paths(_small(reader.load(list(config.roots)), config), config)
+    kinds = "path string, modificationTime timestamp, length long, is_folder boolean"
+    folders, parts, files = spark.createDataFrame([(r,) for r in roots], "path string"), max(1, len(roots)), None
+    while True:
+        seen = materialise(folders.repartition(parts, "path").mapInArrow(_walk, kinds), "listed")
+        here = seen.where("not is_folder").drop("is_folder")
+        files = here if files is None else files.unionByName(here)
+        folders = seen.where("is_folder").select("path")
+        left = folders.count()
+        if not left:
+            return files
+        parts = max(spark.sparkContext.defaultParallelism, -(-left // _FOLDERS)) if left > 1 else 1
+
+
+def _resolved(spark: SparkSession, roots: tuple[str, ...]) -> list[str]:
+    """Roots as full URIs, globs expanded; a root that another one covers goes, so that no file comes twice."""
+    conf, found = spark.sparkContext._jsc.hadoopConfiguration(), set()
+    for root in roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        store = path.getFileSystem(conf)
+        matched = store.globStatus(store.makeQualified(path))
+        if not matched:
+            raise FileNotFoundError(f"watched folder {root} does not exist")
+        found.update(status.getPath().toString() for status in matched)
+
+    def covered(root: str) -> bool:
+        return any(
+            root.startswith(f"{other.rstrip('/')}/") and not any(_hidden(name, True) for name in root[len(other.rstrip("/")) + 1 :].split("/"))
+            for other in found if other != root
+        )
+
+    return sorted(r for r in found if not covered(r))
+
+
+def _hidden(name: str, folder: bool) -> bool:
+    """What Spark's readers pass over."""
+    if folder and name.startswith(("_common_metadata", "_metadata")):
+        return False
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _store(uri: str):
+    """File system of a URI, and what stands before its paths there and in the URI. Hadoop's URIs are not escaped."""
+    import pyarrow.fs
+
+    scheme, rest = uri.split(":", 1)
+    if scheme == "file":
+        return pyarrow.fs.LocalFileSystem(), "", "file:"
+    authority = rest[2:].split("/", 1)[0]
+    store, base = pyarrow.fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return store, base.rstrip("/"), f"{scheme}://{authority}"
+
+
+def _reachable(uri: str) -> bool:
+    try:
+        _store(uri)
+    except (OSError, pa.ArrowException):
+        return False
+    return True
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow.fs import FileSelector, FileType
+
+    def batch(made: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.timestamp("us", tz="UTC"), pa.int64(), pa.bool_()]
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*made, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["path", "modificationTime", "length", "is_folder"])
+
+    def rows(start: str) -> Iterator[tuple]:
+        store, base, prefix = _store(start)
+        waiting, walked = [base + start[len(prefix) :]], 0
+        first = store.get_file_info(waiting)[0]
+        while waiting and walked < _WALKED:
+            folder = waiting.pop()
+            entries = [first] if first.type == FileType.File else store.get_file_info(FileSelector(folder, allow_not_found=True))
+            walked += 1 + len(entries)
+            for entry in entries:
+                if _hidden(entry.base_name, entry.type == FileType.Directory):
+                    continue
+                if entry.type == FileType.Directory:
+                    waiting.append(entry.path)
+                elif entry.type == FileType.File and entry.size:
+                    yield prefix + entry.path[len(base) :], entry.mtime_ns // 1_000_000 * 1000, entry.size, False
+        for path in waiting:
+            yield prefix + path[len(base) :], None, None, True
+
+    found = (row for given in batches for start in given.column(0).to_pylist() for row in rows(start))
+    while made := list(islice(found, _ROWS)):
+        yield batch(made)
+
+
+def _with_content(listed: DataFrame) -> DataFrame:
+    """``content`` of every listed file; a task holds files of ``_HELD`` bytes, or one that is larger."""
+    listed = materialise(listed, "wanted")
+    n, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    parts = max(1, -(-n // _FILES), -(-size // _READ))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores: dict[str, tuple] = {}
+
+        def content(path: str) -> bytes:
+            root = "/".join(path.split("/", 3)[:3]) if "://" in path else "file:"
+            if root not in stores:
+                stores[root] = _store(path)
+            store, base, prefix = stores[root]
+            with store.open_input_stream(base + path[len(prefix) :]) as stream:
+                return stream.read()
+
+        for batch in batches:
+            first, held, contents = 0, 0, []
+            for at, path in enumerate(batch.column(0).to_pylist(), 1):
+                contents.append(content(path))
+                held += len(contents[-1])
+                if held >= _HELD or at == batch.num_rows:
+                    piece = batch.slice(first, at - first)
+                    yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(contents, pa.binary())], names=[*piece.schema.names, "content"])
+                    first, held, contents = at, 0, []
+
+    return listed.repartition(parts, "path").mapInArrow(run, BINARY_FILE)
 
 
 def _listing(config: WatchConfig) -> dict[str, str]:

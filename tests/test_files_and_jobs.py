@@ -3,6 +3,7 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from logsieve.functions.ordering import block_bucket, following, numbered, previous, time_bucket
@@ -93,6 +94,49 @@ def test_discovery_reads_and_streams_folders(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1] for r in spark.table("found").collect()} == found
 
 
+def test_discovery_lists_in_tasks_what_the_reader_of_spark_finds(spark, tmp_path):
+    names = ("a.log", "with space/b c%20#1.txt", ".hidden.log", "_h.log", "_k=1/a.log", ".git/a.log", "_out/a.csv", "deep/" * 9 + "z.json", "x._COPYING_",
+             "~c.log", "d.tmp", "_metadata.log", "_metadata.d/m.log", "empty.log", "[1]{2}.log", "large.log", *(f"many/{i % 50}/{i}/{i}.log" for i in range(900)))
+    for name in names:
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(name.encode() * (300_000 if "large" in name else "empty" not in name))
+    (tmp_path / "in/nothing").mkdir()
+    (tmp_path / "in2").mkdir()
+    (tmp_path / "in2/one.log").write_bytes(b"one")
+    roots = (str(tmp_path / "in"), f"{tmp_path}/in*", str(tmp_path / "in/deep"), str(tmp_path / "in/_out"), f"file:{tmp_path}/in/.git/a.log", str(tmp_path / "in/_h.log"))
+    config = WatchConfig(roots=roots, max_file_size_mb=1)
+    found = files.discover(spark, config)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots))
+    want = files.matching_paths(reader.where("length <= 1048576"), config)
+    assert found.dtypes == want.dtypes
+    key = lambda r: r.path
+    assert sorted(found.collect(), key=key) == sorted(want.collect(), key=key) and found.count() > 900
+    # the plan names no watched file: before, the driver held them all
+    assert not [f for f in found.inputFiles() if "/in/" in f]
+    one = WatchConfig(roots=(str(tmp_path / "in/nothing"),))
+    assert files.discover(spark, one).count() == 0
+    with pytest.raises(FileNotFoundError):
+        files.discover(spark, WatchConfig(roots=(str(tmp_path / "not there"),)))
+
+
+def test_a_walk_hands_on_the_folders_it_has_not_come_to(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    for i in range(30):
+        (tmp_path / f"f{i}").mkdir()
+        (tmp_path / f"f{i}/a.log").write_bytes(b"a")
+    monkeypatch.setattr(files, "_WALKED", 40)
+    monkeypatch.setattr(files, "_ROWS", 7)
+    waiting, seen, turns = [f"file:{tmp_path}"], [], 0
+    while waiting:
+        batches = list(files._walk(iter([pa.RecordBatch.from_pydict({"path": waiting})])))
+        assert max(b.num_rows for b in batches) <= 7
+        rows = [r for b in batches for r in b.to_pylist()]
+        seen += [r["path"] for r in rows if not r["is_folder"]]
+        waiting, turns = [r["path"] for r in rows if r["is_folder"]], turns + 1
+    assert sorted(seen) == sorted(f"file:{tmp_path}/f{i}/a.log" for i in range(30)) and turns == 2
+
+
 def test_only_objects_are_job_contexts(spark):
     rows = [("a", '[1,2]', None), ("b", '"text"', None), ("c", "no json", None), ("d", "7", None), ("e", '{"job":null,"x":1}', None), ("f", ' {"x":1} ', None),
             ("g", '{"json":[1],"y":2}', None), ("h", '{"json":{"z":3},"y":2}', None), ("i", "{}", '{"outputs":{"json":"{}","w":1}}'),
