@@ -1,12 +1,17 @@
 """Stateful streams over several micro-batches."""
 
+import json
+import random
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
+from pyspark.sql import types as T
 
+from logsieve.plans import streams
 from logsieve.settings import RateLimit
-from logsieve.streaming import feeds, ordered, progress, sinks
+from logsieve.streaming import feeds, matched, ordered, progress, sinks
 
 T0 = datetime(2024, 1, 1)
 
@@ -214,3 +219,90 @@ def test_ticket_state_is_on_disk(spark, tmp_path):
 
     metrics = [op["customMetrics"] for p in query.recentProgress for op in json.loads(p.json if hasattr(p, "json") else json.dumps(p))["stateOperators"]]
     assert metrics and all(any(name.startswith("rocksdb") for name in m) for m in metrics)
+
+
+def test_tickets_wait_in_tables_and_not_one_by_one(spark, tmp_path):
+    """Thousands of tickets and snapshots are a row of state for each bucket; what is late or out of time is not taken."""
+    for name in ("t", "s"):
+        (tmp_path / name).mkdir()
+    n, said = 4000, '{"fields":{"status":{"name":"%s"}}}'
+    rows = [("jira", f"T{i}", at(i % 100), "New", False) for i in range(n)]
+    tickets = batches(spark, tmp_path / "t", "platform string, ticket_id string, created_at timestamp, status string, dry_run boolean",
+                      [rows, rows[:10] + [("jira", None, at(150), "New", False)], [("jira", "A", at(5), "New", False)], [("", "", at(10**8), None, None)]])
+    first = [("jira", f"T{i}", at(i % 100 + 5), v, said % f"{i}-{v}") for i in range(n) for v in (9, 10)]
+    more = [("jira", "T1", at(90), 1, said % "later"), ("jira", "T2", at(5000), 1, said % "out"), ("jira", None, at(120), 1, said % "x")]
+    snaps = batches(spark, tmp_path / "s", "platform string, ticket_id string, seen_at timestamp, version int, raw string",
+                    [first, more, [("jira", "T3", at(50), 1, said % "late")], [("", "", at(10**8), None, None)]])
+    seen = []
+    query = feeds.run_once(feeds.sync_stream(tickets, snaps, "1000 seconds", "10 seconds", "5 seconds"), "", str(tmp_path / "state"), "append",
+                           lambda batch, _: seen.extend(batch.collect()))
+    told = progress.operator_progress(spark, query).orderBy("batch_id").collect()
+    assert 0 < max(r.state_rows for r in told) <= 1024 and sum(r.late_rows for r in told) == 2
+    assert sorted((r.ticket_id or "", r.status) for r in seen) == sorted(
+        [("", "New"), *((f"T{i}", "later" if i == 1 else f"{i}-10") for i in range(n))])
+
+
+@pytest.mark.parametrize("piece, turn", [(7, 1 << 19), (50, 40), (1 << 16, 1 << 19)])
+def test_the_latest_is_exact_however_rows_are_merged(monkeypatch, piece, turn):
+    """Random rows against plain search, with ties, repeats, null keys and rows out of order."""
+    monkeypatch.setattr(matched, "_PIECE", piece)
+    monkeypatch.setattr(matched, "_MERGED", turn)
+
+    class State:
+        exists, get, hasTimedOut = False, None, False
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutTimestamp(self, ms):
+            assert ms >= self.mark
+
+        def getCurrentWatermarkMs(self):
+            return self.mark
+
+    rng = random.Random(piece)
+    kind = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.DoubleType())])
+    early, late = 40_000, 70_000
+    step, state, out, waiting, theirs = matched._Latest(kind, early, late), State(), [], set(), []
+    for batch in range(12):
+        state.mark = 20 * batch  # ms
+        rows = []
+        for _ in range(rng.randrange(30)):
+            key, c = rng.choice(["a", "b", "c", None]), (state.mark + rng.randrange(1, 40)) * 1000
+            rows.append((1, True, key, c - early, c + late, f"{key}:{c}", None))
+        for _ in range(rng.randrange(120)):
+            s = (state.mark + rng.randrange(1, 60)) * 1000
+            version = rng.choice([None, {"a": 9, "b": 1.5}, {"a": 10}, {"a": 10, "b": "NaN"}, {"a": 10, "b": 2.0}])
+            rows.append((1, False, rng.choice("abc"), s, s, json.dumps({"version": version} if version else {}), rng.choice([None, "x", "y"])))
+        waiting |= {r[2:6] for r in rows if r[1]}
+        theirs += [r for r in rows if not r[1]]
+        frames = [pd.DataFrame(rows[i : i + 16], columns=["bucket", "mine", "key", "low", "high", "what", "raw"]) for i in range(0, len(rows), 16)]
+        out += [r for f in step((1,), iter(frames), state) for r in f.itertuples(index=False, name=None)]
+    state.mark, state.hasTimedOut = 10**6, True
+    out += [r for f in step((1,), iter(()), state) for r in f.itertuples(index=False, name=None)]
+    assert not state.exists
+
+    def best(key, low, high):
+        def place(r):
+            v = json.loads(r[5]).get("version")
+            b = (v or {}).get("b")
+            return r[3], v is not None, (v or {}).get("a") or -1, b is not None, b == "NaN", 0 if b in (None, "NaN") else b, r[6] or ""
+        found = max((r for r in theirs if r[2] == key and low <= r[3] <= high), key=place, default=None)
+        return (str(found[3]), found[6]) if found else (None, None)
+
+    wanted = {what: best(key, low, high) for key, low, high, what in waiting}
+    assert len(wanted) == len(waiting) == len(out) and {r[0]: r[1:] for r in out} == wanted
+
+
+def test_a_quarter_in_several_files_is_one_micro_batch(spark, monkeypatch, tmp_path):
+    """Also where a quarter has fewer rows than it has files."""
+    monkeypatch.setattr(streams, "_FILE", 10)
+    monkeypatch.setattr(streams, "scratch_dir", lambda spark, name: str(tmp_path / name))
+    counts = [200, 1, 3, 60]
+    rows = spark.createDataFrame([(at(100 * q + i * 0.25), i) for q, n in enumerate(counts) for i in range(n)] + [(at(400), 0)], "ts timestamp, n int")
+    stream, seen = streams.as_stream(spark, rows, "ts", "quarters", clock="1 day"), []
+    feeds.run_once(stream, "", str(tmp_path / "state"), "append", lambda batch, _: seen.append(batch.count()))
+    assert seen == [200, 1, 3, 61, 1] and len(list((tmp_path / "quarters").glob("*.parquet"))) == 4 * 6 + 1
