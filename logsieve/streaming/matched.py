@@ -133,18 +133,19 @@ class _Latest:
             waiting = pa.concat_tables([_WAITING.empty_table(), *(self._read(p, turn, turns) for p in pieces if p[0])])
             if waiting.num_rows:  # ``what`` is all of a row
                 waiting = waiting.take(np.unique(waiting["what"].combine_chunks().dictionary_encode().indices.to_numpy(), return_index=True)[1])
+            over = waiting["high"].to_numpy() + self.longer < mark
             seen, fresh = _SEEN.empty_table(), []
             for i, piece in enumerate(theirs, 1):
                 fresh.append(self._read(piece, turn, turns))
-                if i == len(theirs) or sum(t.num_rows for t in fresh) >= 2 * _PIECE:
-                    seen, fresh = self._thinned(waiting, pa.concat_tables([seen, *fresh]), mark), []
-            over = waiting["high"].to_numpy() + self.longer < mark
+                if i < len(theirs) and sum(t.num_rows for t in fresh) >= 2 * _PIECE:
+                    seen, code, at, best = self._placed(waiting, pa.concat_tables([seen, *fresh]))
+                    seen, fresh = seen.filter(self._useful(code, at, best, mark)), []
+            seen, code, at, best = self._placed(waiting, pa.concat_tables([seen, *fresh]))
             if over.any():
-                yield from self._told(waiting.filter(pa.array(over)), seen)
-                waiting = waiting.filter(pa.array(~over))
-                seen = self._thinned(waiting, seen, mark)
+                yield from self._told(waiting.filter(pa.array(over)), seen, best[over])
+                waiting, best = waiting.filter(pa.array(~over)), best[~over]
             self._keep(kept, waiting, True, True)
-            self._keep(kept, seen, False, True)
+            self._keep(kept, seen.filter(self._useful(code, at, best, mark)), False, True)
             least = min(least, self._over(waiting))
         return least
 
@@ -186,18 +187,16 @@ class _Latest:
     def _version(self, what: str, raw: str | None) -> tuple:
         return self.rank(json.loads(what, parse_float=Decimal).get("version")), () if raw is None else (raw,)
 
-    def _thinned(self, waiting: pa.Table, seen: pa.Table, mark: int) -> pa.Table:
-        """The rows that are the latest for one that waits, or may be for one that comes after the watermark ``mark``."""
-        seen, code, at, best = self._placed(waiting, seen)
+    def _useful(self, code: np.ndarray, at: np.ndarray, best: np.ndarray, mark: int) -> pa.Array:
+        """Which placed rows are the latest for one that waits, or may be for one that comes after the watermark ``mark``."""
         ahead = at > mark + self.late
         last = ~ahead
         last[:-1] &= (code[1:] != code[:-1]) | ahead[1:]
-        kept = (ahead | last) & (at > mark - self.early)
-        kept[best[best >= 0]] = True
-        return seen.filter(pa.array(kept))
+        useful = (ahead | last) & (at > mark - self.early)
+        useful[best[best >= 0]] = True
+        return pa.array(useful)
 
-    def _told(self, over: pa.Table, seen: pa.Table) -> Iterator[pd.DataFrame]:
-        seen, _, at, best = self._placed(over, seen)
+    def _told(self, over: pa.Table, seen: pa.Table, best: np.ndarray) -> Iterator[pd.DataFrame]:
         place = pa.array(best, mask=best < 0)
         told = pa.table([over["what"], pc.cast(seen["at"].take(place), pa.string()), seen["raw"].take(place)], names=_TOLD)
         for start in range(0, told.num_rows, _SHOWN):
